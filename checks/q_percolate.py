@@ -35,7 +35,7 @@ SELECT m.watch_id, k.keywords,
        CASE WHEN m.seniority[1] = 'senior' THEN 'senior' WHEN m.seniority[1] = 'staff' THEN 'staff,intern' ELSE '' END AS seniority,
        {_MESSY_PAY} AS min_salary,
        CASE WHEN {_MESSY_PAY} IS NOT NULL AND trim(salary_currency) <> 'dollars' THEN upper(trim(salary_currency)) END AS salary_currency,
-       CAST(least(floor(max_experience_years + 0.5), 60) AS INTEGER) AS max_experience_years,
+       CAST(CASE WHEN max_experience_years IS NOT NULL THEN least(floor(max_experience_years + 0.5), 60) END AS INTEGER) AS max_experience_years,
        coalesce(include_unknown, true) AS include_unknown, false AS remote_only
   FROM m JOIN k USING (watch_id)""")
 def e01(i):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobdelta.functions.text import is_remote, seniority
+from jobdelta.functions.text import is_remote, search_text, seniority
 from jobdelta.operators.changes import assign_change_ids, diff_postings
 
 
@@ -34,3 +34,14 @@ def events(i) -> DataFrame:
 
 def changes(i) -> DataFrame:
     return assign_change_ids(events(i))
+
+
+def change_log(i) -> DataFrame:
+    """Every current posting as one change, for the operators that read a change log."""
+    p = postings(i.fx_now)
+    fields = [c for c in p.columns if c not in ("resource_id", "complete")]
+    kind = F.when(F.col("ordinal") % 5 == 0, "JOB_REMOVED").when(F.col("ordinal") % 5 == 1, "JOB_UPDATED").otherwise("JOB_ADDED")
+    return p.select(
+        (F.col("ordinal") + 1).alias("change_id"), "resource_id", kind.alias("type"), F.col("key").alias("item_key"),
+        F.struct(*fields).alias("job"), F.concat(F.lit("Posting "), "title").alias("summary"),
+        search_text(*[F.col(c) for c in ("title", "location", "department", "company")]).alias("search_text"))

@@ -258,9 +258,15 @@ ORACLE_VIEWS["ox_changes"] = """
 SELECT row_number() OVER (ORDER BY substr(md5(resource_id), 1, 3), resource_id, event_no) AS change_id, * FROM ox_events"""
 
 
-# Which of the searches' terms each text matches: the terms are few, so this is done once per term.
-ORACLE_VIEWS["ox_terms"] = """
-SELECT DISTINCT unnest(list_concat(keywords, exclude_keywords)) AS term FROM fx_watches"""
+def ox_hits(text: str) -> str:
+    """Which of the terms of fx_watches a text matches."""
+    tests = ", ".join(f"CASE WHEN {ox_term_const(text, t)} THEN '{t}' END" for t in
+                      ("ring", "gear", "widget", "bolt", "engineer", "manager", "zzz"))
+    return f"list_filter([{tests}], lambda x: x IS NOT NULL)"
+
+
+def ox_term_const(text: str, term: str) -> str:
+    return rf"regexp_matches({text}, '(^|[^\p{{L}}\p{{N}}]){term}(s|es)?($|[^\p{{L}}\p{{N}}])')"
 
 
 def ox_passes(p: str = "p.", w: str = "w.") -> str:
@@ -279,14 +285,26 @@ ORACLE_VIEWS["ox_change_jobs"] = f"""
 SELECT c.change_id, c.resource_id, c.type, c.item_key, c.title, c.search_text, c.summary,
        CASE WHEN c.type = 'JOB_REMOVED' THEN {ox_remote('c.title', 'c.location')} ELSE n.remote END AS remote,
        n.pay, n.currency, n.experience_years, n.posted_at, c.company, c.location, n.url,
-       coalesce((SELECT list(term) FROM ox_terms WHERE {ox_term('c.search_text', 'term')}), []) AS hits
+       {ox_hits('c.search_text')} AS hits
   FROM ox_changes c LEFT JOIN ox_now n ON n.resource_id = c.resource_id AND n.key = c.item_key"""
 
 ORACLE_VIEWS["ox_open_jobs"] = f"""
-SELECT n.*, coalesce((SELECT list(term) FROM ox_terms WHERE {ox_term('n.search_text', 'term')}), []) AS hits FROM ox_now n"""
+SELECT n.*, {ox_hits('n.search_text')} AS hits FROM ox_now n"""
 
 ORACLE_VIEWS["ox_seen"] = f"""
 SELECT p.*, w.watch_id, w.client_id, w.baseline, w.cursor_id, w.resource_id AS w_resource_id
   FROM ox_change_jobs p JOIN fx_watches w
     ON ((w.resource_id = p.resource_id) OR (w.resource_id IS NULL AND p.type = 'JOB_ADDED'))
    AND {ox_passes()}"""
+
+# A change log with many rows: every current posting as one change.
+ORACLE_VIEWS["ox_log"] = f"""
+SELECT ordinal + 1 AS change_id, resource_id, CASE ordinal % 5 WHEN 0 THEN 'JOB_REMOVED' WHEN 1 THEN 'JOB_UPDATED' ELSE 'JOB_ADDED' END AS type,
+       key AS item_key, title, company, location, concat('Posting ', title) AS summary, search_text, remote, pay, annual_min, annual_max,
+       currency, experience_years, hits
+  FROM ox_open_jobs"""
+ORACLE_VIEWS["ox_log_seen"] = f"""
+SELECT p.*, w.watch_id, w.client_id, w.baseline, w.cursor_id, w.resource_id AS w_resource_id
+  FROM ox_log p JOIN fx_watches w
+    ON ((w.resource_id = p.resource_id) OR (w.resource_id IS NULL AND p.type = 'JOB_ADDED'))
+   AND {ox_passes()}"""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
 from math import floor, isfinite
 
 from pyspark.sql import Column, DataFrame
@@ -101,17 +100,29 @@ def match_columns(job: Callable[[str], Column], search: Column | None = None) ->
     }
 
 
+_BEFORE, _AFTER = r"(?:^|[^\p{L}\p{N}])", r"(?:s|es)?(?:$|[^\p{L}\p{N}])"
+
+
+def _quoted(term: str) -> str:
+    return re.sub(r"([\\^$.*+?()\[\]{}|/\-&#~])", r"\\\1", term)
+
+
 def _any_of(terms, text: Column) -> Column:
-    """Whether any term matches; `terms` is an array column, or a Python list of literals."""
+    """Whether any term matches; `terms` is an array column, or a list of plain terms (one regex for all)."""
     if isinstance(terms, Column):
         return F.exists(terms, lambda k: term_match(text, k))
-    return reduce(lambda a, b: a | b, [term_match(text, F.lit(t)) for t in terms], F.lit(False))
+    if not terms:
+        return F.lit(False)
+    return F.rlike(text, F.lit(f"{_BEFORE}(?:{'|'.join(map(_quoted, terms))}){_AFTER}"))
 
 
 def _all_of(terms, text: Column) -> Column:
     if isinstance(terms, Column):
         return F.forall(terms, lambda k: term_match(text, k))
-    return reduce(lambda a, b: a & b, [term_match(text, F.lit(t)) for t in terms], F.lit(True))
+    if not terms:
+        return F.lit(True)
+    ahead = "".join(rf"(?=[\s\S]*?{_BEFORE}{_quoted(t)}{_AFTER})" for t in terms)
+    return F.rlike(text, F.lit(rf"^{ahead}"))
 
 
 def matches(w: Callable[[str], object]) -> Column:

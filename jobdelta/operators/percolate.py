@@ -115,7 +115,7 @@ def percolate(events: DataFrame, watches: DataFrame, carry: list[str] | None = N
     e = e.select(*carry, *[c for c in ("resource_id", "type") if c not in carry],
                  "m_text", "m_location", "m_remote", "m_seniority", "m_pay", "m_currency", "m_years", "e_anchors") \
         .withColumn("salt", F.pmod(F.xxhash64("m_text", *[c for c in ("item_key", "change_id") if c in carry]), F.lit(salts)).cast("int")) \
-        .withColumn("anchor", F.explode("e_anchors"))
+        .withColumn("anchor", F.explode_outer("e_anchors"))
 
     w = normalize_filters(default_change_types(live(watches)))
     extra = [c for c in w.columns if c not in WATCH_COLUMNS and c not in ("resource_id", "deleted_at") and c not in carry]
@@ -123,7 +123,7 @@ def percolate(events: DataFrame, watches: DataFrame, carry: list[str] | None = N
         F.col("resource_id").isNull(), search_anchors()).otherwise(F.array(_h("b", F.col("resource_id")))))
     w = w.select(*extra, *[F.col(c).alias(f"w_{c}") for c in WATCH_COLUMNS],
                  F.col("resource_id").alias("w_resource_id"), "w_anchors") \
-        .withColumn("anchor", F.explode("w_anchors"))
+        .withColumn("anchor", F.explode_outer("w_anchors"))
     w = w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     # A pair may share several anchors: only the smallest shared one lets it through.
