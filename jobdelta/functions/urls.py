@@ -39,6 +39,11 @@ def _part(c: Column, group: int) -> Column:
     return F.regexp_extract(c, _URL, group)
 
 
+def _let(value: Column, use) -> Column:
+    """`use(value)` with `value` computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def is_url(c: Column) -> Column:
     return F.coalesce(F.rlike(c, F.lit(_URL)), F.lit(False))
 
@@ -57,23 +62,27 @@ def path_of(c: Column) -> Column:
     return F.coalesce(F.nullif(_part(c, 4), F.lit("")), F.lit("/"))
 
 
-def query_params(c: Column) -> Column:
-    """Decoded (name, value) pairs of the query, in order."""
-    raw = F.filter(F.split(F.substring(_part(c, 5), F.lit(2), F.length(c)), "&", -1), lambda p: p != "")
+def query_params(search: Column) -> Column:
+    """Decoded (name, value) pairs of a query string that begins with `?`, in order."""
+    raw = F.filter(F.split(F.substring(search, F.lit(2), F.length(search)), "&", -1), lambda p: p != "")
     decode = lambda t: F.coalesce(F.try_url_decode(t), t)
     return F.transform(raw, lambda p: F.struct(
         decode(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"),
         decode(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
 
 
-def param(c: Column, name: str) -> Column:
-    hit = F.filter(query_params(c), lambda p: p["k"] == name)
+def _param(search: Column, name: str) -> Column:
+    hit = F.filter(query_params(search), lambda p: p["k"] == name)
     return F.get(hit, 0)["v"]
 
 
+def param(c: Column, name: str) -> Column:
+    return _param(_part(c, 5), name)
+
+
 def canonical_url(c: Column) -> Column:
     """Equal for equivalent URLs: lower host, no fragment, default port or tracking parameter, sorted query."""
-    kept = F.filter(query_params(c), lambda p: ~F.rlike(p["k"], F.lit(TRACKING)))
+    kept = F.filter(query_params(_part(c, 5)), lambda p: ~F.rlike(p["k"], F.lit(TRACKING)))
     ordered = F.array_sort(F.transform(kept, lambda p: F.struct(
         F.lower(p["k"]).alias("a"), p["k"].alias("k"), F.lower(p["v"]).alias("b"), p["v"].alias("v"))))
     text = F.array_join(F.transform(ordered, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
@@ -94,14 +103,19 @@ def resolve_source(c: Column, successfactors_hosts: Column | None = None) -> Col
 
     `successfactors_hosts` is an array of hosts served by that platform; nothing in such a URL says so itself.
     """
-    host = host_of(c)
-    segs = F.filter(F.split(path_of(c), "/", -1), lambda s: s != "")
+    parts = F.struct(host_of(c).alias("host"), path_of(c).alias("path"), _part(c, 5).alias("search"))
+    found = _let(parts, lambda p: _resolve(c, p["host"], p["path"], p["search"], successfactors_hosts))
+    return F.when(is_url(c), found)
+
+
+def _resolve(c: Column, host: Column, path: Column, search: Column, successfactors_hosts: Column | None) -> Column:
+    segs = F.filter(F.split(path, "/", -1), lambda s: s != "")
     seg = lambda i: F.coalesce(F.get(segs, i), F.lit(""))
     word = r"^[A-Za-z0-9_-]+$"
     found = lambda h, p: F.rlike(h, F.lit(p))
     eu = F.when(host.contains(".eu."), F.lit(".eu")).otherwise(F.lit(""))
 
-    token = F.when(seg(0) == "embed", F.coalesce(param(c, "for"), F.lit(""))).otherwise(seg(0))
+    token = F.when(seg(0) == "embed", F.coalesce(_param(search, "for"), F.lit(""))).otherwise(seg(0))
     workable = F.when(host == "apply.workable.com", seg(0)).otherwise(F.regexp_extract(host, r"^([A-Za-z0-9_-]+)\.workable\.com$", 1))
     recruitee = F.regexp_extract(host, r"^([A-Za-z0-9_-]+)\.recruitee\.com$", 1)
     tenant = F.regexp_extract(host, r"^([A-Za-z0-9_-]+)\.wd[0-9]+\.myworkdayjobs\.com$", 1)
@@ -110,13 +124,13 @@ def resolve_source(c: Column, successfactors_hosts: Column | None = None) -> Col
     icims = F.regexp_extract(host, r"^([A-Za-z0-9_-]+)\.icims\.com$", 1)
     oracle_host = found(host, r"^[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)*\.oraclecloud\.com$")
     at = F.array_position(segs, "sites").cast("int")
-    decoded = F.coalesce(F.try_url_decode(_part(c, 5)), _part(c, 5))
+    decoded = F.coalesce(F.try_url_decode(search), search)
     oracle_site = F.when(
         (seg(0) == "hcmUI") & (seg(1) == "CandidateExperience") & (at > 1), F.coalesce(F.get(segs, at), F.lit("")),
-    ).when(path_of(c) == ORACLE_PATH, F.regexp_extract(decoded, "siteNumber=([^,;&]+)", 1)).otherwise(F.lit(""))
+    ).when(path == ORACLE_PATH, F.regexp_extract(decoded, "siteNumber=([^,;&]+)", 1)).otherwise(F.lit(""))
     ef = F.regexp_extract(host, r"^([A-Za-z0-9_-]+)\.eightfold\.ai$", 1)
-    ef_domain = F.lower(F.coalesce(param(c, "domain"), F.concat(ef, F.lit(".com"))))
-    ef_legacy = ef.isin(EIGHTFOLD_LEGACY) | (path_of(c) == EIGHTFOLD_LEGACY_PATH)
+    ef_domain = F.lower(F.coalesce(_param(search, "domain"), F.concat(ef, F.lit(".com"))))
+    ef_legacy = ef.isin(EIGHTFOLD_LEGACY) | (path == EIGHTFOLD_LEGACY_PATH)
 
     rules: list[tuple[Column, str, Column]] = [
         (found(host, r"^(job-)?boards(\.eu)?\.greenhouse\.io$") & _slug(token, word), "greenhouse",
@@ -141,7 +155,7 @@ def resolve_source(c: Column, successfactors_hosts: Column | None = None) -> Col
          _url("https://", host, "/wday/cxs/", seg(1), "/", seg(2), "/jobs")),
         ((icims != "") & ~icims.isin(ICIMS_RESERVED), "icims", _url("https://", host, "/sitemap.xml")),
         (host == "jobs.apple.com", "apple", F.lit(APPLE_API)),
-        ((host == "careers.google.com") | ((host == "www.google.com") & found(path_of(c), r"^/about/careers/applications(/|$)")),
+        ((host == "careers.google.com") | ((host == "www.google.com") & found(path, r"^/about/careers/applications(/|$)")),
          "google", F.lit(GOOGLE_SITEMAP)),
         (found(host, r"^(www\.)?amazon\.jobs$"), "amazon", F.lit(AMAZON_API)),
         (found(host, r"^(apply\.|jobs\.)?careers\.microsoft\.com$"), "microsoft",
@@ -162,7 +176,7 @@ def resolve_source(c: Column, successfactors_hosts: Column | None = None) -> Col
         row = F.struct(F.lit(adapter).alias("adapter"), url.alias("fetch_url"))
         chain = F.when(test, row) if chain is None else chain.when(test, row)
     other = F.struct(F.lit("html").alias("adapter"), canonical_url(c).alias("fetch_url"))
-    return F.when(is_url(c), chain.otherwise(other))
+    return chain.otherwise(other)
 
 
 # Where each platform's endpoint carries the board's slug.

@@ -154,6 +154,13 @@ BOARD_LINKS = [
 ]
 
 
+PLATFORM_HOSTS = {
+    "greenhouse": "greenhouse.io/", "lever": "lever.co/", "ashby": "jobs.ashbyhq.com/", "workable": "apply.workable.com/",
+    "smartrecruiters": "smartrecruiters.com/", "recruitee": ".recruitee.com", "workday": ".myworkdayjobs.com/",
+    "oracle": "oraclecloud.com/", "eightfold": ".eightfold.ai/careers",
+}
+
+
 def _link_url(platform: str, a: Column, b: Column) -> Column:
     low, eu = F.lower(a), F.lower(a)
     return {
@@ -172,19 +179,20 @@ def _link_url(platform: str, a: Column, b: Column) -> Column:
 
 def board_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """Boards each page links to or embeds, the most mentioned first. Whole pages are read."""
-    c = F.col(html)
-    found = []
-    for k, (pattern, platform) in enumerate(BOARD_LINKS):
-        a, b = (F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (1, 2))
-        named = a_named = platform in ("workday", "eightfold")
-        pairs = F.arrays_zip(a.alias("a"), b.alias("b"))
-        kept = F.filter(pairs, lambda p, named=a_named: ~F.lower(p["0"] if named else p["1"]).isin("", *NOT_A_BOARD)) \
-            if named else F.filter(pairs, lambda p: ~F.lower(p["1"]).isin("", *NOT_A_BOARD))
-        found.append(F.transform(kept, lambda p, platform=platform, k=k: F.struct(
-            F.lit(k).alias("rule"), _link_url(platform, p["0"], p["1"]).alias("board"))))
+    def links_of(k: int, pattern: str, platform: str) -> Column:
+        # A plain substring test decides whether the page is worth the platform's regex.
+        found = F.when(F.col("_low").contains(PLATFORM_HOSTS[platform]), F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(0)))
+        pairs = F.transform(found, lambda m: F.struct(
+            F.regexp_extract(m, pattern, 1).alias("a"), F.regexp_extract(m, pattern, 2).alias("b")))
+        named = "a" if platform in ("workday", "eightfold") else "b"
+        kept = F.filter(pairs, lambda p: ~F.lower(p[named]).isin("", *NOT_A_BOARD))
+        links = F.transform(kept, lambda p: F.struct(F.lit(k).alias("rule"), _link_url(platform, p["a"], p["b"]).alias("board")))
+        return F.coalesce(links, F.array().cast("array<struct<rule:int,board:string>>"))
+
+    found = [links_of(k, pattern, platform) for k, (pattern, platform) in enumerate(BOARD_LINKS)]
     keep = [x for x in pages.columns if x != html]
-    links = pages.select(*keep, F.posexplode(F.concat(*found)).alias("pos", "link"))
-    usable = links.filter(resolve_source(F.col("link.board"))["adapter"] != "html")
+    links = pages.withColumn("_low", F.lower(html)).select(*keep, F.posexplode_outer(F.concat(*found)).alias("pos", "link"))
+    usable = links.filter(F.col("link").isNotNull()).filter(resolve_source(F.col("link.board"))["adapter"] != "html")
     counted = usable.groupBy(*keep, F.col("link.board").alias("board")).agg(F.count("*").alias("mentions"), F.min("pos").alias("first"))
     w = Window.partitionBy(*keep).orderBy(F.col("mentions").desc(), "first")
     return counted.select(*keep, "board", "mentions", F.row_number().over(w).alias("rank"))

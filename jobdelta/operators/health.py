@@ -85,7 +85,7 @@ def check_windows(log: DataFrame, length: str = "15 minutes", slide: str = "5 mi
     per = log.groupBy(F.window("checked_at", length, slide).alias("w")).agg(
         F.count("*").alias("checks"), F.count_if(F.col("outcome") == "error").alias("errors"), F.count(secs).alias("timed"),
         *[F.count_if(secs <= b).alias(f"b{_le(b)}") for b in BUCKETS])
-    return per.select(F.col("w.end").alias("at"), "checks", "errors",
+    return per.select(F.col("w.end").alias("ends_at"), "checks", "errors",
                       (F.col("errors") / F.col("checks")).alias("error_ratio"), _quantile(0.95).alias("p95"))
 
 
@@ -97,24 +97,24 @@ def log_alerts(log: DataFrame) -> DataFrame:
     sorted in one task.
     """
     step = 300
-    marks = check_windows(log).select("at", F.explode(F.array(
+    marks = check_windows(log).select("ends_at", F.explode(F.array(
         F.struct(F.lit("errors_high").alias("alert"), (F.col("error_ratio") > 0.25).alias("bad")),
         F.struct(F.lit("slow").alias("alert"), (F.col("p95") > 10).alias("bad")))).alias("m")) \
-        .filter("m.bad").select("at", "m.alert")
+        .filter("m.bad").select("ends_at", "m.alert")
     # A window that saw no check has no row: list every 5 minutes between the first and the last check.
     seen = log.agg(F.min("checked_at").alias("a"), F.max("checked_at").alias("b"))
     floor = lambda c: F.timestamp_seconds(F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / step) * step).cast("timestamp_ntz")
     ticks = seen.filter("a is not null").select(F.explode(F.sequence(
-        floor("a") + F.expr("interval 30 minutes"), floor("b"), F.expr("interval 5 minutes"))).alias("at"))
-    busy = check_windows(log, "30 minutes").select("at")
-    stalled = ticks.join(busy, "at", "left_anti").select("at", F.lit("stalled").alias("alert"))
+        floor("a") + F.expr("interval 30 minutes"), floor("b"), F.expr("interval 5 minutes"))).alias("ends_at"))
+    busy = check_windows(log, "30 minutes").select("ends_at")
+    stalled = ticks.join(busy, "ends_at", "left_anti").select("ends_at", F.lit("stalled").alias("alert"))
 
     def held(df: DataFrame, evaluations: int) -> DataFrame:
         """Instants whose last `evaluations` readings, 5 minutes apart, were all bad."""
         after = F.explode(F.transform(F.sequence(F.lit(0), F.lit(evaluations - 1)),
-                                      lambda k: F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), k * 5)))
-        return df.select("alert", after.alias("at")).groupBy("alert", "at").agg(F.count("*").alias("n")) \
-            .filter(F.col("n") == evaluations).select("alert", "at")
+                                      lambda k: F.col("ends_at") + F.make_dt_interval(F.lit(0), F.lit(0), k * 5)))
+        return df.select("alert", after.alias("ends_at")).groupBy("alert", "ends_at").agg(F.count("*").alias("n")) \
+            .filter(F.col("n") == evaluations).select("alert", "ends_at")
 
     return held(marks, 7).unionByName(held(stalled, 4))
 
