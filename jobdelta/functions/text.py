@@ -91,10 +91,9 @@ def part_text(c: Column) -> Column:
     return F.when(c.contains("<") | c.contains("&"), html_to_text(c)).otherwise(c)
 
 
-def posting_text(parts: list[Column], limit: int = 60_000) -> Column:
-    """Non-empty parts joined by " . ", up to the documented number of characters."""
-    texts = [part_text(F.nullif(p, F.lit(""))) for p in parts]
-    return F.substring(F.concat_ws(" . ", *texts), 1, limit)
+def posting_text(parts: list[Column]) -> Column:
+    """The whole text of a posting: its non-empty parts joined by " . "."""
+    return F.concat_ws(" . ", *[part_text(F.nullif(p, F.lit(""))) for p in parts])
 
 
 def is_remote(title: Column, location: Column) -> Column:
