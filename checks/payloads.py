@@ -5,6 +5,8 @@ A board holds a fixed number of parts, so boards and payloads grow with the tabl
 
 from __future__ import annotations
 
+import re
+
 # adapter -> (parts per board, parts per page, expression of one job, body around `@` = the job list, fetch url, content type)
 SHAPES: dict[str, tuple] = {}
 # adapter -> expected posting columns, as SQL over part (DuckDB), and which parts are listed
@@ -25,7 +27,7 @@ def payload_sql(adapter: str) -> str:
     size = f"(SELECT count(*) FROM part x WHERE x.p_partkey DIV {per_board} = b)"
     return f"""SELECT concat('{adapter}', b) AS resource_id, '{adapter}' AS adapter, {url} AS fetch_url, CAST(page AS INT) AS page_no,
        CASE WHEN '{adapter}' = 'eightfold' AND b % 3 = 1 AND page = 2 THEN 429 ELSE 200 END AS status, '{ctype}' AS content_type,
-       {body.replace('@TOTAL', 'CAST(t.n AS STRING)').replace('@', 'jobs')} AS body
+       {re.sub('@(?![a-z])', 'jobs', body.replace('@TOTAL', 'CAST(t.n AS STRING)'))} AS body
   FROM (SELECT {board} AS b, {page} AS page, {_list(job)} AS jobs FROM part GROUP BY 1, 2) JOIN (SELECT {board} AS b, count(*) AS n FROM part GROUP BY 1) t USING (b)"""
 
 
