@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from checks import payloads as Y
-from checks.q_extract import companies, payloads, shown
+from checks.q_extract import payloads
 from checks.q_usage import OTHER_COUNTERS, ACCESS, LIMITS, _HITS
 from checks.registry import query
 from checks.shapes import postings
-from checks.views import ORACLE_VIEWS
-from jobdelta.functions.time import at
 from jobdelta.operators import extract as X
 from jobdelta.operators.usage import page_views
 from jobdelta.plans.check import check_boards
@@ -86,12 +82,12 @@ def a05(i):
 
 
 @query("a06_write_changes", """
-SELECT CAST(l_shipdate AS DATE) AS detected_day, count(*) AS n, count(DISTINCT l_orderkey * 10 + l_linenumber) AS ids FROM lineitem GROUP BY 1""")
+SELECT CAST(date_trunc('year', l_shipdate) AS DATE) AS detected_day, count(*) AS n, count(DISTINCT l_orderkey * 10 + l_linenumber) AS ids FROM lineitem GROUP BY 1""")
 def a06(i):
     path = scratch_path(i.spark, "a06")
     rows = i.sql("SELECT l_orderkey * 10 + l_linenumber AS change_id, l_returnflag, l_shipdate FROM lineitem")
     for half in (rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag <> 'R'")):
-        K.write_changes(half.repartition(F.to_date("l_shipdate")), path, F.col("l_shipdate"))
+        K.write_changes(half, path, F.date_trunc("year", "l_shipdate").cast("timestamp_ntz"))
     return i.spark.read.parquet(path).groupBy("detected_day").agg(F.count("*").alias("n"), F.count_distinct("change_id").alias("ids"))
 
 
@@ -171,7 +167,10 @@ _ROUNDS = """SELECT concat('sm', p_partkey // 50) AS resource_id, concat('job:sm
 @query("d18b_check_boards", _ROUNDS)
 def check(i):
     first, _ = X.extract_postings(_round(i, 1), adapters=["smartrecruiters"])
-    return check_boards(_round(i, 2), first, adapters=["smartrecruiters"]).changes.select("resource_id", "item_key", "type")
+    path = scratch_path(i.spark, "d18b")
+    K.write_snapshot(first, path, buckets=8)
+    stored = K.read_snapshot(i.spark, path)
+    return check_boards(_round(i, 2), stored, adapters=["smartrecruiters"]).changes.select("resource_id", "item_key", "type")
 
 
 @query("d18_stream_changes", _ROUNDS)

@@ -25,11 +25,11 @@ def check_postings(current: DataFrame, previous: DataFrame, boards: DataFrame, s
 
     Boards whose posting set did not change are dropped early, before the wide join.
     """
-    whole = carry_forward(current, previous)
+    whole = materialize(carry_forward(current, previous), "current")
     moved = changed_boards(whole, previous).select("resource_id")
     emptied = boards.filter(~F.col("failed") & (F.col("jobs_count") == 0)).select("resource_id")
     todo = moved.unionByName(emptied).distinct()
-    whole = materialize(whole.join(todo, "resource_id", "left_semi"), "current")
+    whole = whole.join(todo, "resource_id", "left_semi")
     before = previous.join(todo, "resource_id", "left_semi")
     complete = boards.join(todo, "resource_id", "left_semi").select("resource_id", "complete")
     events = materialize(diff_postings(before, whole, complete=complete), "events")

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(df: DataFrame, late: str) -> DataFrame:
+    return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def _day(df: DataFrame, late: str) -> DataFrame:
-    return df.withWatermark("ts", late).withColumn("w", F.window("ts", "1 day"))
+    return _timed(df, late).withColumn("w", F.window("ts", "1 day"))
 
 
 def stream_usage_daily(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -24,6 +28,6 @@ def stream_counts_daily(counter_events: DataFrame, late: str = "1 day") -> DataF
 
 def stream_window_limits(access_log: DataFrame, name: str, limit: int, seconds: int, late: str = "1 hour") -> DataFrame:
     """Calls per key and fixed window of one limit, and whether the limit was passed."""
-    return access_log.filter(F.col("name") == name).withWatermark("ts", late) \
+    return _timed(access_log.filter(F.col("name") == name), late) \
         .groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "key").agg(F.count("*").alias("calls")) \
         .select(F.lit(name).alias("name"), "key", F.col("w.start").alias("window_start"), "calls", (F.col("calls") > limit).alias("over_limit"))
