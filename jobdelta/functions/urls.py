@@ -82,6 +82,10 @@ def param(c: Column, name: str) -> Column:
 
 def canonical_url(c: Column) -> Column:
     """Equal for equivalent URLs: lower host, no fragment, default port or tracking parameter, sorted query."""
+    return _let(c, _canonical)
+
+
+def _canonical(c: Column) -> Column:
     kept = F.filter(query_params(_part(c, 5)), lambda p: ~F.rlike(p["k"], F.lit(TRACKING)))
     ordered = F.array_sort(F.transform(kept, lambda p: F.struct(
         F.lower(p["k"]).alias("a"), p["k"].alias("k"), F.lower(p["v"]).alias("b"), p["v"].alias("v"))))
@@ -103,9 +107,11 @@ def resolve_source(c: Column, successfactors_hosts: Column | None = None) -> Col
 
     `successfactors_hosts` is an array of hosts served by that platform; nothing in such a URL says so itself.
     """
-    parts = F.struct(host_of(c).alias("host"), path_of(c).alias("path"), _part(c, 5).alias("search"))
-    found = _let(parts, lambda p: _resolve(c, p["host"], p["path"], p["search"], successfactors_hosts))
-    return F.when(is_url(c), found)
+    def parts(u: Column) -> Column:
+        return F.struct(u.alias("url"), host_of(u).alias("host"), path_of(u).alias("path"), _part(u, 5).alias("search"))
+
+    return _let(c, lambda u: F.when(is_url(u), _let(parts(u), lambda p: _resolve(
+        p["url"], p["host"], p["path"], p["search"], successfactors_hosts))))
 
 
 def _resolve(c: Column, host: Column, path: Column, search: Column, successfactors_hosts: Column | None) -> Column:
@@ -212,7 +218,10 @@ def board_slug(adapter: Column, url: Column) -> Column:
 
 def company_from_board(adapter: Column, url: Column) -> Column:
     """A readable company name from the board's slug, NULL when there is none."""
-    slug = board_slug(adapter, url)
+    return _let(board_slug(adapter, url), _company)
+
+
+def _company(slug: Column) -> Column:
     # A "+" stays a "+": only percent escapes are decoded here.
     text = F.coalesce(F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B"))), slug)
     return F.nullif(word_initials(trim_ws(F.regexp_replace(text, "[-_.]+", " "))), F.lit(""))
@@ -232,6 +241,10 @@ def oracle_site(url: Column) -> Column:
 
 def board_page_url(adapter: Column, url: Column) -> Column:
     """The page of a board that a person opens, from the endpoint it is read from."""
+    return _let(F.struct(adapter.alias("adapter"), url.alias("url")), lambda b: _page(b["adapter"], b["url"]))
+
+
+def _page(adapter: Column, url: Column) -> Column:
     slug = F.coalesce(board_slug(adapter, url), F.lit("undefined"))
     eu = F.when(F.rlike(host_of(url), F.lit(r"\.eu\.")), F.lit(".eu")).otherwise(F.lit(""))
     return _by_adapter(adapter, {
