@@ -89,9 +89,9 @@ def e06(i):
 SELECT p.resource_id, p.key, w.watch_id, {ox_passes()} AS passes
   FROM ox_open_jobs p JOIN fx_watches w ON w.resource_id = p.resource_id""")
 def e07(i):
-    tested = postings(i.fx_now).withColumns(L.match_columns(F.col))
+    tested = L.mark_text(postings(i.fx_now).withColumns(L.match_columns(F.col)))
     watches = L.normalize_filters(i.fx_watches.filter("resource_id is not null"))
-    w = watches.select("watch_id", "resource_id", *[F.col(c).alias(f"w_{c}") for c in L.LISTS + L.OTHERS])
+    w = L.prepare_terms(watches).select("watch_id", "resource_id", *[F.col(c).alias(f"w_{c}") for c in L.LISTS + L.OTHERS])
     return tested.join(w, "resource_id").select(
         "resource_id", "key", "watch_id", L.matches(lambda c: F.col(f"w_{c}")).alias("passes"))
 

@@ -130,6 +130,30 @@ def term_match(text: Column, term: Column) -> Column:
     return F.contains(text, term) & F.rlike(text, pattern)
 
 
+# Where a run of letters and digits begins or ends, in text and terms prepared for many matches.
+_MARK = "\u0001"
+_TURN = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])|(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"
+
+
+def mark_words(text: Column) -> Column:
+    """`text` with its word edges marked, once per text."""
+    return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), _TURN, _MARK)
+
+
+def needles(terms: Column) -> Column:
+    """Terms with the marked form to look for; NULL for a term that begins or ends with a symbol."""
+    worded = lambda t: F.rlike(t, F.lit(r"(?s)^[\p{L}\p{N}](.*[\p{L}\p{N}])?$"))
+    return F.transform(terms, lambda t: F.struct(
+        t.alias("term"), F.when(worded(t), F.concat(F.lit(_MARK), F.regexp_replace(t, _TURN, _MARK))).alias("needle")))
+
+
+def needle_match(text: Column, marked: Column, k: Column) -> Column:
+    """`term_match` by plain substring search, where the term allows it: no regex is compiled per pair."""
+    has = lambda end: F.contains(marked, F.concat(k["needle"], F.lit(end + _MARK)))
+    return F.when(k["needle"].isNotNull(), F.contains(marked, k["needle"]) & (has("") | has("s") | has("es"))) \
+        .otherwise(term_match(text, k["term"]))
+
+
 def posting_label(title: Column, location: Column) -> Column:
     place = F.when(F.coalesce(location, F.lit("")) != "", F.concat(F.lit(" ("), location, F.lit(")")))
     return F.concat(title, F.coalesce(place, F.lit("")))

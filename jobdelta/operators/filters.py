@@ -9,7 +9,7 @@ from math import floor, isfinite
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobdelta.functions.text import location_text, search_text, term_match, trim_ws
+from jobdelta.functions.text import location_text, mark_words, needle_match, needles, search_text, trim_ws
 from jobdelta.schema import CHANGE_TYPES, JOB_ADDED, MAX_TERMS, SENIORITIES
 
 LISTS = ["keywords", "all_keywords", "exclude_keywords", "locations", "seniority"]
@@ -87,6 +87,19 @@ def default_change_types(watches: DataFrame) -> DataFrame:
     ).otherwise(F.array(*[F.lit(t) for t in CHANGE_TYPES])))
 
 
+TERM_LISTS = ["keywords", "all_keywords", "exclude_keywords", "locations"]
+
+
+def prepare_terms(watches: DataFrame, prefix: str = "") -> DataFrame:
+    """Term lists of normalised filters in the form `matches` looks for, prepared once per search."""
+    return watches.withColumns({f"{prefix}{c}": needles(F.col(f"{prefix}{c}")) for c in TERM_LISTS})
+
+
+def mark_text(postings: DataFrame) -> DataFrame:
+    """Adds the marked texts that `matches` searches for prepared terms."""
+    return postings.withColumns({f"{c}_marked": mark_words(F.col(c)) for c in ("m_text", "m_location")})
+
+
 def match_columns(job: Callable[[str], Column], search: Column | None = None) -> dict[str, Column]:
     """The columns of a posting that filters read, from an accessor of its fields."""
     return {
@@ -107,30 +120,31 @@ def _quoted(term: str) -> str:
     return re.sub(r"([\\^$.*+?()\[\]{}|/\-&#~])", r"\\\1", term)
 
 
-def _any_of(terms, text: Column) -> Column:
-    """Whether any term matches; `terms` is an array column, or a list of plain terms (one regex for all)."""
+def _any_of(terms, text: str) -> Column:
+    """Whether any term matches; `terms` is an array from `needles`, or a list of plain terms (one regex for all)."""
     if isinstance(terms, Column):
-        return F.exists(terms, lambda k: term_match(text, k))
+        return F.exists(terms, lambda k: needle_match(F.col(text), F.col(f"{text}_marked"), k))
     if not terms:
         return F.lit(False)
-    return F.rlike(text, F.lit(f"{_BEFORE}(?:{'|'.join(map(_quoted, terms))}){_AFTER}"))
+    return F.rlike(F.col(text), F.lit(f"{_BEFORE}(?:{'|'.join(map(_quoted, terms))}){_AFTER}"))
 
 
-def _all_of(terms, text: Column) -> Column:
+def _all_of(terms, text: str) -> Column:
     if isinstance(terms, Column):
-        return F.forall(terms, lambda k: term_match(text, k))
+        return F.forall(terms, lambda k: needle_match(F.col(text), F.col(f"{text}_marked"), k))
     if not terms:
         return F.lit(True)
     ahead = "".join(rf"(?=[\s\S]*?{_BEFORE}{_quoted(t)}{_AFTER})" for t in terms)
-    return F.rlike(text, F.lit(rf"^{ahead}"))
+    return F.rlike(F.col(text), F.lit(rf"^{ahead}"))
 
 
 def matches(w: Callable[[str], object]) -> Column:
     """Whether the posting in the `m_*` columns passes the normalised filters of `w`.
 
-    `w` gives each filter as a column (many searches) or as a plain value (one search).
+    `w` gives each filter as a column (many searches, their terms through `prepare_terms`) or as a plain value
+    (one search).
     """
-    text, place = F.col("m_text"), F.col("m_location")
+    text, place = "m_text", "m_location"
     pay, years = F.col("m_pay"), F.col("m_years")
     value = lambda c: w(c) if isinstance(w(c), Column) else F.lit(w(c))
     none = lambda c: F.size(w(c)) == 0 if isinstance(w(c), Column) else F.lit(not w(c))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobdelta.operators.filters import default_change_types, match_columns, matches, normalize_filters
+from jobdelta.operators.filters import default_change_types, mark_text, match_columns, matches, normalize_filters, prepare_terms
 from jobdelta.operators.snapshot import live
 from jobdelta.schema import JOB_ADDED
 
@@ -109,11 +109,11 @@ def percolate(events: DataFrame, watches: DataFrame, carry: list[str] | None = N
     keep; all other watch columns are kept. No pair appears twice, and no pair is ever cut.
     """
     carry = carry if carry is not None else [c for c in events.columns if c not in ("job", "before", "search_text")]
-    e = events.withColumns(match_columns(lambda c: F.col(f"job.{c}"), F.col("search_text")))
+    e = mark_text(events.withColumns(match_columns(lambda c: F.col(f"job.{c}"), F.col("search_text"))))
     board = F.array(_h("b", F.col("resource_id")))
     e = e.withColumn("e_anchors", F.when(F.col("type") == JOB_ADDED, F.concat(board, posting_anchors())).otherwise(board))
     e = e.select(*carry, *[c for c in ("resource_id", "type") if c not in carry],
-                 "m_text", "m_location", "m_remote", "m_seniority", "m_pay", "m_currency", "m_years", "e_anchors") \
+                 "m_text", "m_location", "m_text_marked", "m_location_marked", "m_remote", "m_seniority", "m_pay", "m_currency", "m_years", "e_anchors") \
         .withColumn("salt", F.pmod(F.xxhash64("m_text", *[c for c in ("item_key", "change_id") if c in carry]), F.lit(salts)).cast("int")) \
         .withColumn("anchor", F.explode_outer("e_anchors"))
 
@@ -121,16 +121,15 @@ def percolate(events: DataFrame, watches: DataFrame, carry: list[str] | None = N
     extra = [c for c in w.columns if c not in WATCH_COLUMNS and c not in ("resource_id", "deleted_at") and c not in carry]
     w = w.withColumn("w_anchors", F.when(
         F.col("resource_id").isNull(), search_anchors()).otherwise(F.array(_h("b", F.col("resource_id")))))
-    w = w.select(*extra, *[F.col(c).alias(f"w_{c}") for c in WATCH_COLUMNS],
+    w = prepare_terms(w).select(*extra, *[F.col(c).alias(f"w_{c}") for c in WATCH_COLUMNS],
                  F.col("resource_id").alias("w_resource_id"), "w_anchors") \
         .withColumn("anchor", F.explode_outer("w_anchors"))
     w = w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     # A pair may share several anchors: only the smallest shared one lets it through.
-    first_shared = F.col("anchor") == F.array_min(F.array_intersect("e_anchors", "w_anchors"))
+    first_shared = ~F.exists("w_anchors", lambda a: (a < F.col("anchor")) & F.array_contains("e_anchors", a))
     pairs = e.join(w, ["anchor", "salt"]).filter(
-        first_shared
-        & F.array_contains("w_change_types", F.col("type"))
+        F.array_contains("w_change_types", F.col("type"))
         & (F.col("w_resource_id").isNull() | (F.col("w_resource_id") == F.col("resource_id")))
-        & matches(lambda c: F.col(f"w_{c}")))
+        & matches(lambda c: F.col(f"w_{c}")) & first_shared)
     return pairs.select(*carry, *extra)
