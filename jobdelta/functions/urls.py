@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobdelta.functions.binding import let
 from jobdelta.functions.text import one_line, trim_ws, word_initials
 
 # Query parameters that only track the visitor.
@@ -39,11 +40,6 @@ def _part(c: Column, group: int) -> Column:
     return F.regexp_extract(c, _URL, group)
 
 
-def _let(value: Column, use) -> Column:
-    """`use(value)` with `value` computed once, however often it is mentioned."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def is_url(c: Column) -> Column:
     return F.coalesce(F.rlike(c, F.lit(_URL)), F.lit(False))
 
@@ -82,7 +78,7 @@ def param(c: Column, name: str) -> Column:
 
 def canonical_url(c: Column) -> Column:
     """Equal for equivalent URLs: lower host, no fragment, default port or tracking parameter, sorted query."""
-    return _let(c, _canonical)
+    return let(c, _canonical)
 
 
 def _canonical(c: Column) -> Column:
@@ -110,7 +106,7 @@ def resolve_source(c: Column, successfactors_hosts: Column | None = None) -> Col
     def parts(u: Column) -> Column:
         return F.struct(u.alias("url"), host_of(u).alias("host"), path_of(u).alias("path"), _part(u, 5).alias("search"))
 
-    return _let(c, lambda u: F.when(is_url(u), _let(parts(u), lambda p: _resolve(
+    return let(c, lambda u: F.when(is_url(u), let(parts(u), lambda p: _resolve(
         p["url"], p["host"], p["path"], p["search"], successfactors_hosts))))
 
 
@@ -218,7 +214,7 @@ def board_slug(adapter: Column, url: Column) -> Column:
 
 def company_from_board(adapter: Column, url: Column) -> Column:
     """A readable company name from the board's slug, NULL when there is none."""
-    return _let(board_slug(adapter, url), _company)
+    return let(board_slug(adapter, url), _company)
 
 
 def _company(slug: Column) -> Column:
@@ -241,7 +237,7 @@ def oracle_site(url: Column) -> Column:
 
 def board_page_url(adapter: Column, url: Column) -> Column:
     """The page of a board that a person opens, from the endpoint it is read from."""
-    return _let(F.struct(adapter.alias("adapter"), url.alias("url")), lambda b: _page(b["adapter"], b["url"]))
+    return let(F.struct(adapter.alias("adapter"), url.alias("url")), lambda b: _page(b["adapter"], b["url"]))
 
 
 def _page(adapter: Column, url: Column) -> Column:

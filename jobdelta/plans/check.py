@@ -16,31 +16,31 @@ from jobdelta.session import materialize
 
 class Check(NamedTuple):
     changes: DataFrame      # events with ids
-    postings: DataFrame     # the new snapshot rows of the boards that changed
+    postings: DataFrame     # the new listing of every board, details learned earlier carried over
     boards: DataFrame       # every board of the batch: totals, completeness, whether it failed
 
 
-def check_postings(current: DataFrame, previous: DataFrame, boards: DataFrame, start_id: int = 0) -> Check:
-    """Compare the boards' new postings with their previous snapshot.
+def carry(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """The new listings with details learned earlier, written once for the steps that read them."""
+    return materialize(carry_forward(current, previous), "current")
 
-    Boards whose posting set did not change are dropped early, before the wide join.
-    """
-    whole = materialize(carry_forward(current, previous), "current")
+
+def compare(whole: DataFrame, previous: DataFrame, boards: DataFrame, start_id: int = 0) -> DataFrame:
+    """Change events of carried listings. Boards whose posting set did not change drop out before the wide join."""
     moved = changed_boards(whole, previous).select("resource_id")
     emptied = boards.filter(~F.col("failed") & (F.col("jobs_count") == 0)).select("resource_id")
     todo = moved.unionByName(emptied).distinct()
-    whole = whole.join(todo, "resource_id", "left_semi")
-    before = previous.join(todo, "resource_id", "left_semi")
     complete = boards.join(todo, "resource_id", "left_semi").select("resource_id", "complete")
-    events = materialize(diff_postings(before, whole, complete=complete), "events")
-    return Check(assign_change_ids(events, start_id), whole, boards)
+    events = diff_postings(previous.join(todo, "resource_id", "left_semi"), whole.join(todo, "resource_id", "left_semi"), complete=complete)
+    return assign_change_ids(materialize(events, "events"), start_id)
 
 
 def check_boards(payloads: DataFrame, previous: DataFrame, companies: DataFrame | None = None, start_id: int = 0,
                  adapters: list[str] | None = None) -> Check:
     """Payloads to change events: extract, merge pages, carry forward, skip unchanged boards, diff, cap, number."""
     postings, boards = extract_postings(payloads, companies, adapters)
-    return check_postings(postings, previous, boards, start_id)
+    whole = carry(postings, previous)
+    return Check(compare(whole, previous, boards, start_id), whole, boards)
 
 
 def deliver(changes: DataFrame, watches: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from jobdelta.plans.check import check_postings
+from jobdelta.plans.check import carry, compare
 from jobdelta.sources.sinks import _exists, read_snapshot, write_snapshot
 
 
@@ -23,21 +23,20 @@ def stream_changes(
     """Start a query that writes change events to `root/changes` and keeps `root/snapshot` current.
 
     `extract` turns a micro-batch into (postings, boards). Events of a batch go to a folder of their own that a
-    retry overwrites, and its diff is kept until the snapshot is replaced, so a retried batch emits nothing twice.
+    retry finds complete or writes anew, so a retried batch emits nothing twice.
     """
     spark = stream.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
         postings, boards = extract(batch)
         out = f"{root}/changes/batch={epoch}"
+        previous = read_snapshot(spark, f"{root}/snapshot") if _exists(spark, f"{root}/snapshot") else postings.limit(0)
+        # Carrying over twice changes nothing, so a retry after half a snapshot was replaced is safe.
+        whole = carry(postings, previous)
         if not _exists(spark, f"{out}/_SUCCESS"):
-            previous = read_snapshot(spark, f"{root}/snapshot") if _exists(spark, f"{root}/snapshot") \
-                else postings.limit(0)
-            result = check_postings(postings, previous, boards, start_id=_last_id(spark, root))
-            result.changes.write.mode("overwrite").parquet(out)
-        ok = boards.filter(~F.col("failed"))
-        flagged = postings.join(ok.select("resource_id", "complete"), "resource_id")
-        write_snapshot(flagged.drop("complete"), f"{root}/snapshot", boards=ok)
+            compare(whole, previous, boards, start_id=_last_id(spark, root)).write.mode("overwrite").parquet(out)
+        ok = boards.filter(~F.col("failed")).select("resource_id")
+        write_snapshot(whole.join(ok, "resource_id", "left_semi"), f"{root}/snapshot", boards=ok)
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint or f"{root}/checkpoint")
     return writer.trigger(**(trigger or {"availableNow": True})).start()
