@@ -57,10 +57,9 @@ JOB = posting("r", "k", "Senior iOS Engineer", location="Austin, TX", other_loca
 def test_filters(spark, filters, passes):
     open_ = postings(spark, [JOB])
     assert S.matching(open_, **filters).count() == passes
-    watch = spark.createDataFrame([("w", *[filters.get(c) for c in L.LISTS + L.OTHERS])], "watch_id string, " + ", ".join(
-        f"{c} {L.TYPES[c]}" for c in L.LISTS + L.OTHERS)) if not any(isinstance(v, int) and not isinstance(v, bool) for v in filters.values()) \
-        else spark.createDataFrame([("w", *[float(v) if L.TYPES[c] == "double" and (v := filters.get(c)) is not None else filters.get(c) for c in L.LISTS + L.OTHERS])],
-                                   "watch_id string, " + ", ".join(f"{c} {L.TYPES[c]}" for c in L.LISTS + L.OTHERS))
+    cols = L.LISTS + L.OTHERS
+    row = [float(v) if v is not None and L.TYPES[c] == "double" else v for c in cols for v in [filters.get(c)]]
+    watch = spark.createDataFrame([("w", *row)], "watch_id string, " + ", ".join(f"{c} {L.TYPES[c]}" for c in cols))
     assert S.search_many(open_, watch, 5).count() == passes
 
 
