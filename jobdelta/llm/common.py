@@ -94,3 +94,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(29))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

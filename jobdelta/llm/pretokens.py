@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from functools import cache
 
 import regex
 from tokenizers.pre_tokenizers import ByteLevel
 
+from jobdelta.llm.common import once
+
 # The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -36,7 +37,7 @@ def find(text: str) -> list[bytes]:
     """The pre-tokens of a text, in order, as UTF-8."""
     if text.isascii() or max(text) < _SETTLED:
         return [p.encode() for p in _FIND.findall(text)]
-    letters = byte_letters()
+    letters = once("byte letters", byte_letters)
     return [bytes(letters[c] for c in p) for p, _ in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
 
 
@@ -68,7 +69,6 @@ class UnitCache:
         return out
 
 
-@cache
 def byte_letters() -> dict[str, int]:
     """The letter that a byte-level vocabulary writes for each byte: printable bytes stand for themselves,
     the others, in order, for the letters from U+0100 on."""

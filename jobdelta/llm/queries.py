@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from jobdelta.llm import bpe, packing, token_counts
+from jobdelta.llm import bpe, exact_dedup, fingerprints, hmm, language, line_dedup, near_dedup, packing, token_counts, toxicity
 from jobdelta.llm.common import written
 
 QUERIES: dict = {}
@@ -34,6 +34,47 @@ def op2_bpe(spark, table):
                           F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op3_exact_dedup(spark, table):
+    return exact_dedup.mark_copies(table("documents"))
+
+
+ORACLES["op3_exact_dedup"] = exact_dedup.ORACLE
+
+
+@query
+def op4_toxicity(spark, table):
+    return toxicity.score_toxicity(table("documents"), table("labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op5_near_dedup(spark, table):
+    return near_dedup.near_groups(table("documents"))
+
+
+@query
+def op9_line_dedup(spark, table):
+    return line_dedup.remove_boilerplate(table("documents"))
+
+
+ORACLES["op9_line_dedup"] = line_dedup.ORACLE
+
+
 @query
 def op10_token_counts(spark, table):
     return token_counts.over_limit(token_counts.count_tokens(table("documents"), vocabulary()))
+
+
+@query
+def op7_language(spark, table):
+    return language.identify(table("documents"))
+
+
+@query
+def op8_hmm(spark, table):
+    return hmm.score_texts(table("documents"))
+
+
+@query
+def op6_fingerprints(spark, table):
+    return fingerprints.compare_with_next(table("documents"))
