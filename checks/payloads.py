@@ -18,7 +18,7 @@ _PAYTEXT = f"concat('Salary: $', 70000 + {_K} % 50 * 1000, ' - $', 90000 + {_K}
 
 
 def _list(job: str) -> str:
-    return f"concat_ws(',', collect_list({job}))"
+    return f"concat_ws(',', transform(array_sort(collect_list(named_struct('k', {_K}, 'j', {job}))), x -> x.j))"
 
 
 def payload_sql(adapter: str) -> str:
@@ -34,11 +34,13 @@ def payload_sql(adapter: str) -> str:
 def add(adapter, per_board, per_page, job, body, url, expected, where="true", ctype="application/json"):
     SHAPES[adapter] = (per_board, per_page, job, body, url, ctype)
     cols = {"location": "NULL", "department": "NULL", "company": "NULL", "url": "NULL", "posted_at": "NULL", "others": "NULL",
-            "annual_min": "NULL", "annual_max": "NULL", "years": "NULL", "partial": "false", "title": "p_name", **expected}
+            "annual_min": "NULL", "annual_max": "NULL", "currency": "NULL", "period": "NULL", "years": "NULL", "partial": "false", "title": "p_name", **expected}
+    paid = f"coalesce({cols['annual_min']}, {cols['annual_max']}) IS NOT NULL"
+    cols |= {c: f"CASE WHEN {paid} THEN {cols[c]} END" for c in ("currency", "period")}
     types = {"annual_min": "BIGINT", "annual_max": "BIGINT", "years": "DOUBLE", "partial": "BOOLEAN"}
     k = "p_partkey"
     shown = ", ".join(f"CAST({v} AS {types.get(c, 'VARCHAR')}) AS {c}" for c, v in cols.items())
-    EXPECTED[adapter] = f"SELECT concat('{adapter}', {k} // {per_board}) AS resource_id, {shown} FROM part WHERE {where}"
+    EXPECTED[adapter] = f"SELECT concat('{adapter}', {k} // {per_board}) AS resource_id, {shown}, {k} AS last_key FROM part WHERE {where}"
 
 
 YEARS = f"1 + {_K} % 9"
@@ -51,7 +53,7 @@ add("greenhouse", 50, 50,
     "concat('{\"jobs\":[', @, ']}')", "concat('https://boards-api.greenhouse.io/v1/boards/gh-', b, '/jobs')",
     {"key": f"concat('job:greenhouse:', {_K})", "location": "p_type", "department": "concat(p_brand, ', Tools')",
      "company": f"CASE WHEN {_K} % 2 = 0 THEN 'Acme' ELSE concat('Gh ', {_K} // 50) END", "url": f"concat('https://g.example/', {_K})", "posted_at": "'2026-10-01'",
-     "annual_min": f"CASE WHEN {_K} % 3 = 0 THEN least(50000 + {_K} % 50 * 1000, 90000) END", "annual_max": f"CASE WHEN {_K} % 3 = 0 THEN greatest(50000 + {_K} % 50 * 1000, 90000) END", "years": YEARS})
+     "annual_min": f"CASE WHEN {_K} % 3 = 0 THEN least(50000 + {_K} % 50 * 1000, 90000) END", "annual_max": f"CASE WHEN {_K} % 3 = 0 THEN greatest(50000 + {_K} % 50 * 1000, 90000) END", "currency": "'USD'", "period": "'year'", "years": YEARS})
 
 add("lever", 50, 50,
     f"""to_json(named_struct('id', concat('L', {_K}), 'text', p_name, 'categories', named_struct('location', p_type, 'team', p_brand, 'commitment', 'Full-time', 'allLocations', array(p_type, 'Paris', 'Oslo', 'Paris')),
@@ -60,7 +62,7 @@ add("lever", 50, 50,
     "concat('[', @, ']')", "concat('https://api.lever.co/v0/postings/lv', b, '?mode=json')",
     {"key": f"concat('job:lever:L', {_K})", "location": "p_type", "department": "concat(p_brand, ', Full-time')", "company": f"concat('Lv', {_K} // 50)",
      "url": f"concat('https://l.example/', {_K})", "posted_at": f"strftime(make_timestamp((1700000000 + {_K}) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')", "others": "'Paris|Oslo'",
-     "annual_min": f"CASE WHEN {_K} % 4 = 0 THEN 2080 * (20 + {_K} % 30) END", "annual_max": f"CASE WHEN {_K} % 4 = 0 THEN 2080 * 60 END", "years": YEARS})
+     "annual_min": f"CASE WHEN {_K} % 4 = 0 THEN 2080 * (20 + {_K} % 30) END", "annual_max": f"CASE WHEN {_K} % 4 = 0 THEN 2080 * 60 END", "currency": "'EUR'", "period": "'hour'", "years": YEARS})
 
 add("ashby", 50, 50,
     f"""to_json(named_struct('id', {_K}, 'title', p_name, 'location', p_type, 'isRemote', {_K} % 2 = 0, 'isListed', {_K} % 5 <> 0, 'secondaryLocations', array(named_struct('location', 'Rome')),
@@ -70,7 +72,7 @@ add("ashby", 50, 50,
     "concat('{\"jobs\":[', @, ']}')", "concat('https://api.ashbyhq.com/posting-api/job-board/as', b)",
     {"key": f"concat('job:ashby:', {_K})", "location": f"concat(p_type, CASE WHEN {_K} % 2 = 0 THEN ', Remote' ELSE '' END)", "department": "concat(p_brand, ', Core')", "company": f"concat('As', {_K} // 50)",
      "url": f"concat('https://a.example/', {_K})", "posted_at": "'2026-09-30T10:00:00Z'", "others": "'Rome'",
-     "annual_min": f"CASE WHEN {_K} % 3 = 0 THEN 100000 ELSE 70000 + {_K} % 50 * 1000 END", "annual_max": f"CASE WHEN {_K} % 3 = 0 THEN 150000 ELSE 90000 + {_K} % 50 * 1000 END", "years": YEARS},
+     "annual_min": f"CASE WHEN {_K} % 3 = 0 THEN 100000 ELSE 70000 + {_K} % 50 * 1000 END", "annual_max": f"CASE WHEN {_K} % 3 = 0 THEN 150000 ELSE 90000 + {_K} % 50 * 1000 END", "currency": f"CASE WHEN {_K} % 3 = 0 THEN 'GBP' ELSE 'USD' END", "period": "'year'", "years": YEARS},
     where=f"{_K} % 5 <> 0")
 
 add("workable", 50, 50,
@@ -93,13 +95,13 @@ add("recruitee", 50, 50,
       'careers_url', concat('https://r.example/', {_K}), 'published_at', '2026-06-06 UTC', 'description', {_DESC}, 'salary', named_struct('min', CAST(3000 + {_K} % 50 AS STRING), 'period', 'month', 'currency', 'eur')))""",
     "concat('{\"offers\":[', @, ']}')", "concat('https://rc', b, '.recruitee.com/api/offers/')",
     {"key": f"concat('job:recruitee:', {_K})", "location": f"CASE WHEN {_K} % 2 = 0 THEN p_type ELSE 'Ghent, Belgium, Remote' END", "department": "p_brand", "company": "'Rec'",
-     "url": f"concat('https://r.example/', {_K})", "posted_at": "'2026-06-06 UTC'", "annual_min": f"12 * (3000 + {_K} % 50)", "years": YEARS})
+     "url": f"concat('https://r.example/', {_K})", "posted_at": "'2026-06-06 UTC'", "annual_min": f"12 * (3000 + {_K} % 50)", "currency": "'EUR'", "period": "'month'", "years": YEARS})
 
 add("workday", 250, 20,
     f"""to_json(named_struct('title', p_name, 'externalPath', concat('/job/US-CA-', p_type, '/x_R', {_K}), 'locationsText', CASE WHEN {_K} % 2 = 0 THEN '3 Locations' ELSE p_type END, 'bulletFields', array(' ', concat('R-', {_K}))))""",
     "concat('{\"total\":', @TOTAL, ',\"jobPostings\":[', @, ']}')", "concat('https://big', b, '.wd5.myworkdayjobs.com/wday/cxs/big', b, '/Ext/jobs')",
     {"key": f"concat('job:workday:r-', {_K})", "location": f"CASE WHEN {_K} % 2 = 0 THEN concat('US CA ', p_type, ' (+2 more)') ELSE p_type END", "company": f"concat('Big', {_K} // 250)",
-     "url": f"concat('https://big', {_K} // 250, '.wd5.myworkdayjobs.com/Ext/job/US-CA-', p_type, '/x_R', {_K})"}, where=f"{_K} % 250 < 200")
+     "url": f"concat('https://big', {_K} // 250, '.wd5.myworkdayjobs.com/Ext/job/US-CA-', p_type, '/x_R', {_K})"})
 
 add("apple", 350, 20,
     f"""to_json(named_struct('positionId', concat('P', {_K}), 'postingTitle', p_name, 'locations', array(named_struct('name', p_type, 'countryName', 'US'), named_struct('name', 'Cork', 'countryName', 'Ireland')), 'homeOffice', {_K} % 2 = 0,
@@ -107,7 +109,7 @@ add("apple", 350, 20,
     "concat('{\"res\":{\"totalRecords\":', @TOTAL, ',\"searchResults\":[', @, ']}}')", "'https://jobs.apple.com/api/v1/search'",
     {"key": f"concat('job:apple:p', {_K})", "location": f"concat(p_type, ', US', CASE WHEN {_K} % 2 = 0 THEN ', Remote' ELSE '' END)", "department": "p_brand", "company": "'Apple'", "others": "'Cork, Ireland'",
      "url": f"concat('https://jobs.apple.com/en-us/details/P', {_K}, '/', replace(p_name, ' ', '-'))", "posted_at": f"CASE WHEN {_K} % 3 <> 0 THEN '2026-10-01T10:00:00.123Z' END",
-     "annual_min": f"70000 + {_K} % 50 * 1000", "annual_max": f"90000 + {_K} % 50 * 1000", "years": YEARS}, where=f"{_K} % 350 < 300")
+     "annual_min": f"70000 + {_K} % 50 * 1000", "annual_max": f"90000 + {_K} % 50 * 1000", "currency": "'USD'", "period": "'year'", "years": YEARS})
 
 add("amazon", 350, 100,
     f"""to_json(named_struct('id_icims', CAST({_K} AS STRING), 'title', p_name, 'job_path', concat('/en/jobs/', {_K}), 'normalized_location', p_type, 'location', 'US, A',
@@ -115,7 +117,7 @@ add("amazon", 350, 100,
       'job_category', p_brand, 'posted_date', CASE WHEN {_K} % 2 = 0 THEN 'October  6, 2026' ELSE 'September 30, 2026' END, 'description', 'Build.', 'basic_qualifications', {_DESC}))""",
     "concat('{\"error\":null,\"hits\":', @TOTAL, ',\"jobs\":[', @, ']}')", "'https://www.amazon.jobs/en/search.json?offset=0&result_limit=100&sort=recent'",
     {"key": f"concat('job:amazon:', {_K})", "location": f"concat(p_type, CASE WHEN {_K} % 2 = 0 THEN ', Remote' ELSE '' END)", "department": "p_brand", "company": "'Amazon'", "others": "'Bend'",
-     "url": f"concat('https://www.amazon.jobs/en/jobs/', {_K})", "posted_at": f"CASE WHEN {_K} % 2 = 0 THEN '2026-10-06' ELSE '2026-09-30' END", "years": YEARS}, where=f"{_K} % 350 < 300")
+     "url": f"concat('https://www.amazon.jobs/en/jobs/', {_K})", "posted_at": f"CASE WHEN {_K} % 2 = 0 THEN '2026-10-06' ELSE '2026-09-30' END", "years": YEARS})
 
 add("oracle", 350, 100,
     f"""to_json(named_struct('Id', {_K}, 'Title', p_name, 'PrimaryLocation', CASE WHEN {_K} % 3 = 0 THEN 'Remote, US' ELSE p_type END, 'WorkplaceType', CASE WHEN {_K} % 2 = 0 THEN 'Remote' ELSE 'On-site' END, 'secondaryLocations', array(named_struct('Name', 'Lima'), named_struct('Name', p_type)),
@@ -124,7 +126,7 @@ add("oracle", 350, 100,
     "concat('https://o', b, '.fa.oraclecloud.com/hcmRestApi/resources/latest/recruitingCEJobRequisitions?onlyData=true&finder=findReqs;siteNumber=CX_', b, ',limit=100,offset=0')",
     {"key": f"concat('job:oracle:', {_K})", "location": f"CASE WHEN {_K} % 3 = 0 THEN 'Remote, US' WHEN {_K} % 2 = 0 THEN concat(p_type, ', Remote') ELSE p_type END", "department": "p_brand",
      "company": f"CASE WHEN {_K} // 350 % 2 = 0 THEN concat('Oracle user ', {_K} // 350) END", "others": f"CASE WHEN {_K} % 3 = 0 THEN concat('Lima|', p_type) ELSE 'Lima' END",
-     "url": f"concat('https://o', {_K} // 350, '.fa.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_', {_K} // 350, '/job/', {_K})", "posted_at": "'2026-10-02'", "years": YEARS}, where=f"{_K} % 350 < 300")
+     "url": f"concat('https://o', {_K} // 350, '.fa.oraclecloud.com/hcmUI/CandidateExperience/en/sites/CX_', {_K} // 350, '/job/', {_K})", "posted_at": "'2026-10-02'", "years": YEARS})
 
 _EF = f"""CASE WHEN {_K} DIV 60 % 2 = 0
     THEN to_json(named_struct('displayJobId', {_K}, 'name', p_name, 'positionUrl', concat('/careers/job/', {_K}), 'locations', array(p_type, 'Nice'), 'workLocationOption', CASE WHEN {_K} % 2 = 0 THEN 'remote' ELSE 'onsite' END, 'department', p_brand, 'postedTs', 1700000000 + {_K}))
@@ -135,14 +137,14 @@ _EF_BODY = "CASE WHEN b % 2 = 0 THEN concat('{\"data\":{\"count\":', @TOTAL, ',\
 def _ef(source, origin, company):
     return {"key": f"concat('job:{source}:', {_K})", "location": f"concat(p_type, CASE WHEN {_K} % 2 = 0 THEN ', Remote' ELSE '' END)", "department": "p_brand", "company": company, "others": "'Nice'",
             "url": f"concat({origin}, '/careers/job/', {_K})", "posted_at": f"strftime(make_timestamp((1700000000 + {_K}) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z')",
-            "annual_min": f"CASE WHEN {_K} // 60 % 2 = 1 THEN 70000 + {_K} % 50 * 1000 END", "annual_max": f"CASE WHEN {_K} // 60 % 2 = 1 THEN 90000 + {_K} % 50 * 1000 END", "years": f"CASE WHEN {_K} // 60 % 2 = 1 THEN {YEARS} END"}
+            "annual_min": f"CASE WHEN {_K} // 60 % 2 = 1 THEN 70000 + {_K} % 50 * 1000 END", "annual_max": f"CASE WHEN {_K} // 60 % 2 = 1 THEN 90000 + {_K} % 50 * 1000 END", "currency": "'USD'", "period": "'year'", "years": f"CASE WHEN {_K} // 60 % 2 = 1 THEN {YEARS} END"}
 
 
 add("eightfold", 60, 10, _EF, _EF_BODY, "concat('https://ten', b, '.eightfold.ai/api/pcsx/search?domain=ten', b, '.com&query=')",
     _ef("eightfold", f"concat('https://ten', {_K} // 60, '.eightfold.ai')", f"concat('Ten', {_K} // 60)"),
-    where=f"{_K} % 60 < CASE WHEN {_K} // 60 % 3 = 1 THEN 20 ELSE 50 END")
+    where=f"NOT ({_K} // 60 % 3 = 1 AND {_K} % 60 // 10 = 2)")
 add("microsoft", 60, 10, _EF, _EF_BODY, "'https://apply.careers.microsoft.com/api/pcsx/search?domain=microsoft.com'",
-    _ef("microsoft", "'https://apply.careers.microsoft.com'", "'Microsoft'"), where=f"{_K} % 60 < 50")
+    _ef("microsoft", "'https://apply.careers.microsoft.com'", "'Microsoft'"))
 
 add("google", 50, 50, f"concat('<url><loc>https://www.google.com/about/careers/applications/jobs/results/', {_K}, '-', replace(p_name, ' ', '-'), '-iii</loc></url>')",
     "concat('<?xml version=\"1.0\"?><urlset>', replace(@, '</url>,<url>', '</url><url>'), '</urlset>')", "'https://www.google.com/about/careers/applications/jobs/sitemap.xml'",
@@ -177,7 +179,8 @@ EXPECTED["successfactors_sitemap"] = f"""SELECT concat('successfactors-map', {_K
    CASE WHEN {_K} // 50 % 2 = 0 THEN p_name ELSE concat(p_name, ' ', p_type) END AS title, CASE WHEN {_K} // 50 % 2 = 0 THEN p_type END AS location, CASE WHEN {_K} // 50 % 2 = 0 THEN 'R&D' END AS department,
    CASE WHEN {_K} // 50 % 2 = 0 THEN concat('https://rss.example/job/x/', {_K}, '/') ELSE concat('https://map.example/brand/job/', replace(p_name, ' ', '-'), '-', p_type, '/', {_K}, '/') END AS url,
    CAST(CASE WHEN {_K} // 50 % 2 = 0 THEN 70000 + {_K} % 50 * 1000 END AS BIGINT) AS annual_min, CAST(CASE WHEN {_K} // 50 % 2 = 0 THEN 90000 + {_K} % 50 * 1000 END AS BIGINT) AS annual_max,
-   CAST(CASE WHEN {_K} // 50 % 2 = 0 THEN {YEARS} END AS DOUBLE) AS years, {_K} // 50 % 2 = 1 AS partial FROM part"""
+   CASE WHEN {_K} // 50 % 2 = 0 THEN 'USD' END AS currency, CASE WHEN {_K} // 50 % 2 = 0 THEN 'year' END AS period,
+   CAST(CASE WHEN {_K} // 50 % 2 = 0 THEN {YEARS} END AS DOUBLE) AS years, {_K} // 50 % 2 = 1 AS partial, {_K} AS last_key FROM part"""
 
 _NODE = f"""to_json(named_struct('@type', 'JobPosting', 'title', p_name, 'identifier', CASE {_K} % 3 WHEN 0 THEN named_struct('@type', 'PropertyValue', 'value', concat('ID', {_K})) END, 'url', CASE WHEN {_K} % 3 < 2 THEN concat('/j/', {_K}) END,
    'jobLocation', array(named_struct('@type', 'Place', 'address', named_struct('addressLocality', p_type, 'addressCountry', named_struct('name', 'CH')))), 'jobLocationType', CASE WHEN {_K} % 4 = 0 THEN 'TELECOMMUTE' END,
@@ -189,5 +192,5 @@ add("html", 25, 25, _NODE,
     {"key": f"lower(concat('job:', CASE {_K} % 3 WHEN 0 THEN concat('ID', {_K}) WHEN 1 THEN concat('https://site', {_K} // 25, '.example/j/', {_K}) ELSE concat(p_name, '|', p_type, ', CH', CASE WHEN {_K} % 4 = 0 THEN ' / Remote' ELSE '' END) END))",
      "location": f"concat(p_type, ', CH', CASE WHEN {_K} % 4 = 0 THEN ' / Remote' ELSE '' END)", "department": "p_brand", "company": f"concat('Org ', {_K} % 7)",
      "url": f"CASE WHEN {_K} % 3 < 2 THEN concat('https://site', {_K} // 25, '.example/j/', {_K}) END", "posted_at": "'2026-05-05'",
-     "annual_min": f"CASE WHEN {_K} % 2 = 0 THEN 2080 * (50 + {_K} % 20) END", "annual_max": f"CASE WHEN {_K} % 2 = 0 THEN 2080 * 90 END", "years": f"floor({_K} % 70 / 12 * 10 + 0.5) / 10"},
+     "annual_min": f"CASE WHEN {_K} % 2 = 0 THEN 2080 * (50 + {_K} % 20) END", "annual_max": f"CASE WHEN {_K} % 2 = 0 THEN 2080 * 90 END", "currency": "'CHF'", "period": "'hour'", "years": f"floor({_K} % 70 / 12 * 10 + 0.5) / 10"},
     ctype="text/html; charset=utf-8")

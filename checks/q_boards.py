@@ -187,7 +187,7 @@ def g13(i):
 _CANDIDATES = """SELECT concat('co', o_custkey) AS company, CASE o_orderkey % 4 WHEN 0 THEN 'ashby' WHEN 1 THEN 'greenhouse' WHEN 2 THEN 'lever' ELSE 'workable' END AS platform,
   concat('Slug', o_orderkey % 300) AS slug, CASE WHEN o_orderkey % 5 = 0 THEN 'careers-page' ELSE 'name' END AS via, CAST(o_orderkey % 3 AS INT) AS position FROM orders"""
 _LISTED = """SELECT CASE c_custkey % 4 WHEN 0 THEN 'ashby' WHEN 1 THEN 'greenhouse' WHEN 2 THEN 'lever' ELSE 'workable' END AS platform,
-  concat('slug', c_custkey) AS slug, CAST(c_custkey * 7 % 40 AS INT) AS jobs FROM customer WHERE c_custkey < 300"""
+  concat('slug', c_custkey) AS slug, CAST(c_custkey * 7 % 40 AS INT) AS jobs FROM customer"""
 _CONFIRMED = f"""SELECT company, concat(CASE platform WHEN 'ashby' THEN 'https://jobs.ashbyhq.com/' WHEN 'greenhouse' THEN 'https://boards.greenhouse.io/'
       WHEN 'lever' THEN 'https://jobs.lever.co/' ELSE 'https://apply.workable.com/' END, slug) AS board, platform, jobs, via FROM (
   SELECT c.*, l.jobs, row_number() OVER (PARTITION BY company ORDER BY CASE WHEN via = 'careers-page' THEN 0 ELSE 1 END, position, -jobs, c.platform, c.slug) AS rn

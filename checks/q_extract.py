@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from checks import payloads as Y
 from checks.registry import query
+from checks.views import ox_remote, ox_seniority
 from jobdelta.operators import extract as X
 
 NAMES = {
@@ -13,7 +15,9 @@ NAMES = {
     "icims": "b08", "apple": "b09", "google": "b10", "amazon": "b11", "microsoft": "b12", "oracle": "b13", "eightfold": "b14",
     "successfactors": "b15", "html": "b17",
 }
-SHOWN = ["resource_id", "location", "department", "company", "url", "posted_at", "others", "annual_min", "annual_max", "years", "partial", "title", "key"]
+SHOWN = ["resource_id", "location", "department", "company", "url", "posted_at", "others", "annual_min", "annual_max", "currency", "period", "years", "partial", "title", "key"]
+#: What the SQL derives from the columns that every platform has.
+DERIVED = f"{ox_remote('title', 'location')} AS remote, {ox_seniority('title')} AS seniority"
 
 
 def payloads(i, adapter):
@@ -28,35 +32,36 @@ def companies(i):
 
 def shown(df):
     return df.select("resource_id", "key", "title", "location", "department", "company", "url", "posted_at",
-                     F.array_join("other_locations", "|").alias("others"), "salary.annual_min", "salary.annual_max",
-                     F.col("experience_years").alias("years"), "partial")
+                     F.array_join("other_locations", "|").alias("others"), "salary.annual_min", "salary.annual_max", "salary.currency", "salary.period",
+                     F.col("experience_years").alias("years"), "partial", "remote", "seniority")
 
 
 def _register(adapter, name):
     # Two JSON-LD postings of one page can share a key made of title and place: the last one stays.
-    extra = " QUALIFY row_number() OVER (PARTITION BY resource_id, key) = 1" if adapter == "html" else ""
-    hidden = ", years, annual_min, annual_max, company, department" if adapter == "html" else ""
-    wanted = [c for c in SHOWN if c not in hidden.replace(" ", "").split(",")]
-    body = f"SELECT {', '.join(wanted)} FROM ({Y.EXPECTED[adapter]}){extra}"
+    extra = " QUALIFY row_number() OVER (PARTITION BY resource_id, key ORDER BY last_key DESC) = 1" if adapter == "html" else ""
+    body = f"SELECT {', '.join(SHOWN)}, {DERIVED} FROM ({Y.EXPECTED[adapter]}){extra}"
 
     @query(f"{NAMES[adapter]}_{adapter if adapter != 'html' else 'jsonld'}", body)
     def run(i):
         out, _ = X.extract_postings(payloads(i, adapter), companies(i), [adapter])
-        return shown(out).select(*wanted)
+        return shown(out)
 
 
 for _a, _n in NAMES.items():
     _register(_a, _n)
 
 
-@query("b16_successfactors_sitemap", Y.EXPECTED["successfactors_sitemap"])
+@query("b16_successfactors_sitemap", f"SELECT {', '.join(SHOWN)}, {DERIVED} FROM ({Y.EXPECTED['successfactors_sitemap']})")
 def b16(i):
     out, _ = X.extract_postings(i.sql(Y.SF_SITEMAPS), adapters=["successfactors"])
     return shown(out)
 
 
-@query("b17b_jsonld_details", f"""
-SELECT key, company, department, annual_min, annual_max, years FROM ({Y.EXPECTED['html']}) WHERE key NOT LIKE '%|%'""")
+# Listing order: a key stands where it was first seen.
+@query("b17b_jsonld_order", f"""
+SELECT key, annual_min, row_number() OVER (PARTITION BY resource_id ORDER BY last_key) AS nth FROM (
+  SELECT resource_id, key, min(last_key) AS last_key, arg_max(annual_min, last_key) AS annual_min FROM ({Y.EXPECTED['html']}) GROUP BY 1, 2)""")
 def b17b(i):
     out, _ = X.extract_postings(payloads(i, "html"), adapters=["html"])
-    return shown(out).filter(~F.col("key").contains("|")).select("key", "company", "department", "annual_min", "annual_max", "years")
+    nth = F.row_number().over(Window.partitionBy("resource_id").orderBy("ordinal")).cast("bigint")
+    return out.select("key", "salary.annual_min", nth.alias("nth"))

@@ -25,8 +25,8 @@ MESSY = """SELECT concat('w', c_custkey) AS watch_id,
 _MESSY_TERMS = f"""SELECT watch_id, string_agg(t, ',' ORDER BY o) AS keywords FROM (
     SELECT watch_id, t, min(o) AS o, row_number() OVER (PARTITION BY watch_id ORDER BY min(o)) AS rn FROM (
       SELECT watch_id, lower(trim(unnest(keywords))) AS t, unnest(range(len(keywords))) AS o FROM m) WHERE t <> '' GROUP BY 1, 2)
-  WHERE rn <= 20 GROUP BY 1"""
-_MESSY_PAY = "CASE WHEN min_salary >= 0 THEN CAST(nullif(least(floor(min_salary + 0.5), 100000000), 0) AS INTEGER) END"
+  GROUP BY 1"""
+_MESSY_PAY = "CASE WHEN min_salary >= 0 THEN CAST(nullif(least(floor(min_salary + 0.5), 2147483647), 0) AS INTEGER) END"
 
 
 @query("e01_normalize_filters", f"""
@@ -35,7 +35,7 @@ SELECT m.watch_id, k.keywords,
        CASE WHEN m.seniority[1] = 'senior' THEN 'senior' WHEN m.seniority[1] = 'staff' THEN 'staff,intern' ELSE '' END AS seniority,
        {_MESSY_PAY} AS min_salary,
        CASE WHEN {_MESSY_PAY} IS NOT NULL AND trim(salary_currency) <> 'dollars' THEN upper(trim(salary_currency)) END AS salary_currency,
-       CAST(CASE WHEN max_experience_years IS NOT NULL THEN least(floor(max_experience_years + 0.5), 60) END AS INTEGER) AS max_experience_years,
+       CAST(CASE WHEN max_experience_years IS NOT NULL THEN floor(max_experience_years + 0.5) END AS INTEGER) AS max_experience_years,
        coalesce(include_unknown, true) AS include_unknown, false AS remote_only
   FROM m JOIN k USING (watch_id)""")
 def e01(i):
@@ -89,7 +89,7 @@ def e06(i):
 SELECT p.resource_id, p.key, w.watch_id, {ox_passes()} AS passes
   FROM ox_open_jobs p JOIN fx_watches w ON w.resource_id = p.resource_id""")
 def e07(i):
-    tested = L.mark_text(postings(i.fx_now).withColumns(L.match_columns(F.col)))
+    tested = L.mark_text(postings(i.fx_open).withColumns(L.match_columns(F.col)))
     watches = L.normalize_filters(i.fx_watches.filter("resource_id is not null"))
     w = L.prepare_terms(watches).select("watch_id", "resource_id", *[F.col(c).alias(f"w_{c}") for c in L.LISTS + L.OTHERS])
     return tested.join(w, "resource_id").select(
@@ -125,7 +125,7 @@ SELECT m.watch_id, count(p.key) AS matched FROM ox_mixed m JOIN ox_now p ON
 
 @query("e08b_percolate_without_keywords", "SELECT * FROM ox_mixed_counts")
 def e08b(i):
-    ev = S._as_events(postings(i.fx_now))
+    ev = S._as_events(postings(i.fx_open))
     w = i.sql(MIXED).withColumn("resource_id", F.lit(None).cast("string"))
     return P.percolate(ev, w, carry=["resource_id", "item_key"]).groupBy("watch_id").agg(F.count("*").alias("matched"))
 
@@ -138,13 +138,13 @@ GEAR = {"keywords": [" Gear", "ring"], "exclude_keywords": ["manager"], "min_sal
 
 @query("e09_search_open", _GEAR + " ORDER BY posted_at DESC NULLS LAST, key LIMIT 25 OFFSET 10")
 def e09(i):
-    return S.search_open(postings(i.fx_now), limit=25, offset=10, **GEAR).select("resource_id", "key", "title", "posted_at")
+    return S.search_open(postings(i.fx_open), limit=25, offset=10, **GEAR).select("resource_id", "key", "title", "posted_at")
 
 
 @query("e10_search_total", f"""
 SELECT count(*) AS total, CAST(10 AS BIGINT) AS "offset", CAST(CASE WHEN 35 < count(*) THEN 35 END AS BIGINT) AS next_offset FROM ({_GEAR})""")
 def e10(i):
-    return S.search_total(postings(i.fx_now), limit=25, offset=10, **GEAR)
+    return S.search_total(postings(i.fx_open), limit=25, offset=10, **GEAR)
 
 
 @query("e11_search_many", f"""
@@ -154,15 +154,15 @@ SELECT watch_id, rank, resource_id, key, posted_at FROM (
     FROM fx_watches w JOIN ox_open_jobs p ON {ox_passes()})
  WHERE rank <= 10""")
 def e11(i):
-    return S.search_many(postings(i.fx_now), i.fx_watches, 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return S.search_many(postings(i.fx_open), i.fx_watches, 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("e12_coverage", """
-SELECT count(*) FILTER (resource_id IN (SELECT resource_id FROM fx_now)) AS boards,
-       count(*) FILTER (resource_id NOT IN (SELECT resource_id FROM fx_now)) AS boards_awaiting_first_check
+SELECT count(*) FILTER (resource_id IN (SELECT resource_id FROM fx_open)) AS boards,
+       count(*) FILTER (resource_id NOT IN (SELECT resource_id FROM fx_open)) AS boards_awaiting_first_check
   FROM fx_boards b WHERE indexed OR resource_id IN (SELECT resource_id FROM fx_watches WHERE resource_id IS NOT NULL)""")
 def e12(i):
-    return S.coverage(i.fx_boards, i.fx_watches, i.fx_now)
+    return S.coverage(i.fx_boards, i.fx_watches, i.fx_open)
 
 
 _BOARDS = "SELECT *, CASE WHEN consecutive_failures > 6 THEN 'HTTP_500' END AS last_error FROM fx_boards"
@@ -177,19 +177,18 @@ SELECT w.watch_id, CASE WHEN w.resource_id IS NULL THEN 'all_boards' ELSE 'board
        coalesce(m.n, 0) AS matching_jobs_count, s.complete,
        CASE WHEN w.resource_id IS NOT NULL THEN coalesce(b.last_error IS NULL AND b.resource_id IS NOT NULL AND s.jobs_count IS NOT NULL, false) END AS healthy
   FROM fx_watches w LEFT JOIN (SELECT watch_id, count(*) AS n FROM ox_watch_jobs GROUP BY 1) m USING (watch_id)
-  LEFT JOIN (SELECT resource_id, count(*) AS jobs_count, bool_and(complete) AS complete FROM fx_now GROUP BY 1) s ON s.resource_id = w.resource_id
+  LEFT JOIN (SELECT resource_id, count(*) AS jobs_count, bool_and(complete) AS complete FROM fx_open GROUP BY 1) s ON s.resource_id = w.resource_id
   LEFT JOIN ({_BOARDS}) b ON b.resource_id = w.resource_id""")
 def e13(i):
-    return S.watch_status(i.fx_watches, i.sql(_BOARDS), postings(i.fx_now))
+    return S.watch_status(i.fx_watches, i.sql(_BOARDS), postings(i.fx_open))
 
 
 @query("e13b_watch_current_jobs", """
 SELECT watch_id, rank, resource_id, key FROM (
   SELECT *, row_number() OVER (PARTITION BY watch_id ORDER BY CASE WHEN scope_board IS NOT NULL THEN ordinal END,
-            CASE WHEN scope_board IS NULL THEN posted_at END DESC NULLS LAST, key, resource_id) AS rank FROM ox_watch_jobs)
- WHERE rank <= 50""")
+            CASE WHEN scope_board IS NULL THEN posted_at END DESC NULLS LAST, key, resource_id) AS rank FROM ox_watch_jobs)""")
 def e13b(i):
-    return S.watch_current_jobs(i.fx_watches, i.sql(_BOARDS), postings(i.fx_now)).withColumn("rank", F.col("rank").cast("bigint"))
+    return S.watch_current_jobs(i.fx_watches, i.sql(_BOARDS), postings(i.fx_open)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _TECH = " OR ".join(ox_term("search_text", f"'{t}'") for t in S.TECH_ROLES)
@@ -199,7 +198,7 @@ _NOT_TECH = " OR ".join(ox_term("search_text", f"'{t}'") for t in S.NOT_TECH)
 @query("e14_high_pay", f"""
 SELECT resource_id, key, title, pay FROM ox_now WHERE ({_TECH}) AND NOT ({_NOT_TECH}) AND pay >= 200000 AND coalesce(currency, 'USD') = 'USD'""")
 def e14(i):
-    return S.high_pay(postings(i.fx_now), floor=200_000).select(
+    return S.high_pay(postings(i.fx_open), floor=200_000).select(
         "resource_id", "key", "title", F.coalesce("salary.annual_max", "salary.annual_min").alias("pay"))
 
 
@@ -214,7 +213,7 @@ def e14b(i):
 
 _LISTING = """SELECT resource_id, concat('https://boards-api.greenhouse.io/v1/boards/', lower(replace(s_name, '#', '-')), '/jobs') AS url,
     'greenhouse' AS adapter, indexed FROM fx_boards JOIN supplier ON concat('r', s_suppkey) = resource_id"""
-_NAMED = """SELECT resource_id, key, CASE WHEN ordinal % 40 % 3 <> 0 THEN company END AS company, ordinal FROM fx_now"""
+_NAMED = """SELECT resource_id, key, CASE WHEN ordinal % 40 % 3 <> 0 THEN company END AS company, ordinal FROM fx_open"""
 _COMPANIES = f"""
 SELECT b.resource_id, coalesce(p.company, concat('Supplier ', lpad(substr(b.resource_id, 2), 9, '0'))) AS name,
        concat('https://job-boards.greenhouse.io/supplier-', lpad(substr(b.resource_id, 2), 9, '0')) AS board_url,

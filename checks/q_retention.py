@@ -60,8 +60,9 @@ def i05(i):
     return both(R.drop_boards(i.sql(_BOARDS), i.sql(WATCHES), NOW), "resource_id")
 
 
-_CLIENTS = """SELECT concat('c', o_custkey % 700) AS client_id, min(o_orderdate) AS created_at, max(o_orderdate) AS last_seen_at, count(*) % 3 <> 0 AS token_shown
-  FROM orders WHERE o_orderdate < TIMESTAMP '1998-09-20 00:00:00' OR o_custkey % 2 = 0 GROUP BY o_custkey % 700"""
+_CLIENTS = """SELECT concat('c', o_custkey % 700) AS client_id, min(o_orderdate) AS created_at,
+       CASE WHEN o_custkey % 700 % 3 = 1 THEN min(o_orderdate) ELSE max(o_orderdate) END AS last_seen_at, count(*) % 3 <> 0 AS token_shown
+  FROM orders GROUP BY o_custkey % 700"""
 _TOKENS = "SELECT concat('c', c_custkey) AS client_id FROM customer WHERE c_mktsegment = 'BUILDING'"
 ORACLE_VIEWS["ox_rc"] = _CLIENTS
 

@@ -117,13 +117,13 @@ def a08(i):
     return P.drop_not_modified(i.sql(_FETCHED), i.sql(_ACCEPTED)).select("id")
 
 
-# Page windows: how much of each board a check keeps, and whether it is whole.
+# Every page given is read; a board is whole when nothing was refused and all that its total states is there.
 @query("b18_merge_pages", """
-SELECT concat('workday', p_partkey // 250) AS resource_id, CAST(count(*) AS BIGINT) AS total, least(count(*), 200) AS jobs_count, false AS failed, count(*) <= 200 AS complete FROM part GROUP BY 1
-UNION ALL SELECT concat('eightfold', p_partkey // 60), count(*), CASE WHEN any_value(p_partkey // 60 % 3) = 1 THEN least(count(*), 20) ELSE least(count(*), 50) END, false,
-       count(*) <= 50 AND NOT (any_value(p_partkey // 60 % 3) = 1 AND count(*) > 20) FROM part GROUP BY 1
-UNION ALL SELECT concat('amazon', p_partkey // 350), CASE WHEN any_value(p_partkey // 350 % 2) = 1 THEN 0 ELSE count(*) END, CASE WHEN any_value(p_partkey // 350 % 2) = 1 THEN 0 ELSE least(count(*), 300) END,
-       any_value(p_partkey // 350 % 2) = 1, CASE WHEN any_value(p_partkey // 350 % 2) = 1 THEN true ELSE count(*) <= 300 END FROM part GROUP BY 1""")
+SELECT concat('workday', p_partkey // 250) AS resource_id, CAST(count(*) AS BIGINT) AS total, count(*) AS jobs_count, false AS failed, true AS complete FROM part GROUP BY 1
+UNION ALL SELECT concat('eightfold', p_partkey // 60), count(*), count(*) - CASE WHEN any_value(p_partkey // 60 % 3) = 1 THEN count(*) FILTER (p_partkey % 60 // 10 = 2) ELSE 0 END, false,
+       NOT (any_value(p_partkey // 60 % 3) = 1 AND count(*) FILTER (p_partkey % 60 // 10 = 2) > 0) FROM part GROUP BY 1
+UNION ALL SELECT concat('amazon', p_partkey // 350), CASE WHEN any_value(p_partkey // 350 % 2) = 1 THEN 0 ELSE count(*) END, CASE WHEN any_value(p_partkey // 350 % 2) = 1 THEN 0 ELSE count(*) END,
+       any_value(p_partkey // 350 % 2) = 1, true FROM part GROUP BY 1""")
 def b18(i):
     broken = F.when((F.col("adapter") == "amazon") & (F.regexp_extract("resource_id", "([0-9]+)$", 1).cast("int") % 2 == 1), F.lit('{"error":"x"}'))
     p = payloads(i, "workday").unionByName(payloads(i, "eightfold")).unionByName(payloads(i, "amazon"))
@@ -152,9 +152,9 @@ def b20(i):
 
 # A board list checked twice: some parts leave, some come, some are renamed.
 def _round(i, n):
-    keep = "p_partkey % 7 <> 0" if n == 1 else "p_partkey % 10 <> 0"
+    keep = "p_partkey % 7 <> 0" if n == 1 else "p_partkey % 10 <> 0" if n == 2 else "true"
     name = "p_name" if n == 1 else "CASE WHEN p_partkey % 13 = 0 THEN concat(p_name, ' II') ELSE p_name END"
-    return i.sql(f"""SELECT concat('sm', p_partkey DIV 50) AS resource_id, 'smartrecruiters' AS adapter, concat('https://api.smartrecruiters.com/v1/companies/Sm', p_partkey DIV 50, '/postings') AS fetch_url,
+    return i.sql(f"""SELECT concat('sm', p_partkey DIV 50) AS resource_id, 'check {n}' AS check_id, timestamp_seconds(1790000000 + {n} * 60) AS fetched_at, 'smartrecruiters' AS adapter, concat('https://api.smartrecruiters.com/v1/companies/Sm', p_partkey DIV 50, '/postings') AS fetch_url,
         0 AS page_no, 200 AS status, 'application/json' AS content_type,
         concat('{{"content":[', concat_ws(',', collect_list(to_json(named_struct('id', p_partkey, 'name', {name})))), ']}}') AS body FROM part WHERE {keep} GROUP BY p_partkey DIV 50""")
 
@@ -173,11 +173,26 @@ def check(i):
     return check_boards(_round(i, 2), stored, adapters=["smartrecruiters"]).changes.select("resource_id", "item_key", "type")
 
 
-@query("d18_stream_changes", _ROUNDS)
+_THIRD = f"""{_ROUNDS} UNION ALL SELECT concat('sm', p_partkey // 50), concat('job:smartrecruiters:', p_partkey), 'JOB_ADDED' FROM part WHERE p_partkey % 10 = 0"""
+
+
+# All three rounds land in one trigger: each is compared with the one before it, as if they had come one by one.
+@query("d18_stream_changes", _THIRD)
 def d18(i):
     root = scratch_path(i.spark, "d18")
-    for n in (1, 2):
+    for n in (3, 1, 2):
         _round(i, n).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = P.stream_payloads(i.spark, f"{root}/in", max_files=100)
+    stream_changes(stream, root, lambda b: X.extract_postings(b, adapters=["smartrecruiters"])).awaitTermination()
+    return read_changes(i.spark, root).select("resource_id", "item_key", "type")
+
+
+@query("d18c_stream_two_triggers", _THIRD)
+def d18c(i):
+    root = scratch_path(i.spark, "d18c")
+    for rounds in ((1,), (2, 3)):
+        for n in rounds:
+            _round(i, n).coalesce(1).write.mode("append").parquet(f"{root}/in")
         stream = P.stream_payloads(i.spark, f"{root}/in", max_files=100)
         stream_changes(stream, root, lambda b: X.extract_postings(b, adapters=["smartrecruiters"])).awaitTermination()
     return read_changes(i.spark, root).select("resource_id", "item_key", "type")

@@ -27,7 +27,7 @@ UNION ALL SELECT ts, 'anonymous_search', concat(CASE WHEN event_id % 2 = 0 THEN
 UNION ALL SELECT ts, 'mcp_connect', concat(repeat('long-name-', 13), user_id) FROM events WHERE event_id % 3 = 0 AND user_id % 50 = 0
 UNION ALL SELECT ts, 'mcp_connect', concat('app-', user_id % 31) FROM events WHERE event_id % 3 = 0"""
 ORACLE_VIEWS["ox_counts"] = """
-SELECT CAST(ts AS DATE) AS day, metric, substr(dim, 1, 120) AS dim, count(*) AS n FROM ox_counter_events GROUP BY ALL"""
+SELECT CAST(ts AS DATE) AS day, metric, dim, count(*) AS n FROM ox_counter_events GROUP BY ALL"""
 
 OTHER_COUNTERS = """SELECT ts, 'anonymous_search' AS metric, concat(CASE WHEN event_id % 2 = 0 THEN 'rest' ELSE 'mcp' END, ':', event_type) AS dim FROM events WHERE event_id % 4 = 0
 UNION ALL SELECT ts, 'mcp_connect', concat(repeat('long-name-', 13), user_id) FROM events WHERE event_id % 3 = 0 AND user_id % 50 = 0

@@ -38,10 +38,11 @@ def changes(i) -> DataFrame:
 
 def change_log(i) -> DataFrame:
     """Every current posting as one change, for the operators that read a change log."""
-    p = postings(i.fx_now)
+    p = postings(i.fx_open)
     fields = [c for c in p.columns if c not in ("resource_id", "complete")]
     kind = F.when(F.col("ordinal") % 5 == 0, "JOB_REMOVED").when(F.col("ordinal") % 5 == 1, "JOB_UPDATED").otherwise("JOB_ADDED")
     return p.select(
-        (F.col("ordinal") + 1).alias("change_id"), "resource_id", kind.alias("type"), F.col("key").alias("item_key"),
+        (F.col("ordinal") + 1).alias("change_id"), F.concat(F.lit("k"), F.col("ordinal") % 97).alias("check_id"),
+        F.expr("TIMESTAMP_NTZ '2026-10-01 00:00:00' + make_dt_interval(0, 0, 0, ordinal % 97)").alias("detected_at"), "resource_id", kind.alias("type"), F.col("key").alias("item_key"),
         F.struct(*fields).alias("job"), F.concat(F.lit("Posting "), "title").alias("summary"),
         search_text(*[F.col(c) for c in ("title", "location", "department", "company")]).alias("search_text"))

@@ -29,6 +29,9 @@ SELECT concat('r', p_partkey % 40) AS resource_id,
   FROM part WHERE p_partkey % 7 <> 0
 """
 
+# Every part as an open posting, also those that fx_now leaves out so that a diff has removals.
+VIEWS["fx_open"] = VIEWS["fx_now"].replace("WHERE p_partkey % 7 <> 0", "")
+
 # Previous snapshot of the same boards. Board r9 has none (baseline,
 VIEWS["fx_prev"] = """
 SELECT concat('r', p_partkey % 40) AS resource_id, concat('job:part:', p_partkey) AS key,
@@ -80,6 +83,12 @@ SELECT event_id AS check_id, concat('r', user_id % 40) AS resource_id, ts AS che
 """
 
 # Boards.
+# The same searches as their owners see them: some deleted, each with a label and a hook.
+VIEWS["fx_owned"] = """
+SELECT *, CASE WHEN CAST(substr(watch_id, 2) AS INT) % 13 = 0 THEN DATE '2026-10-01' END AS deleted_at,
+       concat('Search ', watch_id) AS label, concat('https://hook.example/', client_id) AS webhook_url FROM fx_watches
+"""
+
 VIEWS["fx_boards"] = """
 SELECT concat('r', s_suppkey) AS resource_id, concat('https://host', s_suppkey % 15, '.example/board/', s_suppkey) AS url,
        concat('host', s_suppkey % 15, '.example') AS host,
@@ -194,7 +203,7 @@ ORACLE_VIEWS["ox_now"] = f"""
 SELECT *, {ox_remote('title', 'location')} AS remote, {ox_seniority('title')} AS seniority,
        {ox_search_text()} AS search_text, concat(lower(coalesce(location, '')), ' ') AS location_text,
        coalesce(annual_max, annual_min) AS pay
-  FROM fx_now"""
+  FROM fx_open"""
 
 # The difference of fx_prev and fx_now before any suppression.
 ORACLE_VIEWS["ox_both"] = """
@@ -251,8 +260,7 @@ SELECT *, {ox_search_text()} AS search_text,
        CASE type WHEN 'JOB_ADDED' THEN concat('New job: ', {ox_label()})
                  WHEN 'JOB_REMOVED' THEN concat('Job removed: ', {ox_label()})
                  ELSE concat('Job updated: ', {ox_label()}, ' (', array_to_string(changed_fields, ', '), ')') END AS summary
-  FROM (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY type_rank, position, item_key) AS event_no FROM ox_drafts)
- WHERE event_no <= 200"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY resource_id ORDER BY type_rank, position, item_key) AS event_no FROM ox_drafts)"""
 
 ORACLE_VIEWS["ox_changes"] = """
 SELECT row_number() OVER (ORDER BY substr(md5(resource_id), 1, 3), resource_id, event_no) AS change_id, * FROM ox_events"""
@@ -286,7 +294,7 @@ SELECT c.change_id, c.resource_id, c.type, c.item_key, c.title, c.search_text, c
        CASE WHEN c.type = 'JOB_REMOVED' THEN {ox_remote('c.title', 'c.location')} ELSE n.remote END AS remote,
        n.pay, n.currency, n.experience_years, n.posted_at, c.company, c.location, n.url,
        {ox_hits('c.search_text')} AS hits
-  FROM ox_changes c LEFT JOIN ox_now n ON n.resource_id = c.resource_id AND n.key = c.item_key"""
+  FROM ox_changes c LEFT JOIN ox_now n ON c.type <> 'JOB_REMOVED' AND n.resource_id = c.resource_id AND n.key = c.item_key"""
 
 ORACLE_VIEWS["ox_open_jobs"] = f"""
 SELECT n.*, {ox_hits('n.search_text')} AS hits FROM ox_now n"""
@@ -299,7 +307,8 @@ SELECT p.*, w.watch_id, w.client_id, w.baseline, w.cursor_id, w.resource_id AS w
 
 # A change log with many rows: every current posting as one change.
 ORACLE_VIEWS["ox_log"] = f"""
-SELECT ordinal + 1 AS change_id, resource_id, CASE ordinal % 5 WHEN 0 THEN 'JOB_REMOVED' WHEN 1 THEN 'JOB_UPDATED' ELSE 'JOB_ADDED' END AS type,
+SELECT ordinal + 1 AS change_id, concat('k', ordinal % 97) AS check_id, TIMESTAMP '2026-10-01 00:00:00' + INTERVAL 1 SECOND * (ordinal % 97) AS detected_at,
+       resource_id, CASE ordinal % 5 WHEN 0 THEN 'JOB_REMOVED' WHEN 1 THEN 'JOB_UPDATED' ELSE 'JOB_ADDED' END AS type,
        key AS item_key, title, company, location, concat('Posting ', title) AS summary, search_text, remote, pay, annual_min, annual_max,
        currency, experience_years, hits
   FROM ox_open_jobs"""

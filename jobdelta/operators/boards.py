@@ -231,7 +231,7 @@ def slug_candidates(companies: DataFrame) -> DataFrame:
     deep = (n >= 3) & (F.length(F.get(labels, n - 2)) <= 3)
     label = F.when(deep, F.get(labels, n - 3)).otherwise(F.get(labels, n - 2))
     options = F.array_distinct(F.array(label, _slugify(F.col("name"), ""), _slugify(F.col("name"), "-")))
-    good = F.slice(F.filter(options, lambda s: F.coalesce(F.rlike(s, F.lit("^[a-z0-9-]{4,}$")), F.lit(False))), 1, 3)
+    good = F.filter(options, lambda s: F.coalesce(F.rlike(s, F.lit("^[a-z0-9-]{4,}$")), F.lit(False)))
     return companies.select("name", F.posexplode(good).alias("position", "slug"))
 
 

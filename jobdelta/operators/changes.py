@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from jobdelta.functions.text import event_summary, search_text
 from jobdelta.operators.snapshot import KEY, dedupe_postings, tracked_changes
-from jobdelta.schema import JOB_ADDED, JOB_REMOVED, JOB_UPDATED, MAX_EVENTS_PER_BOARD, TRACKED_FIELDS
+from jobdelta.schema import JOB_ADDED, JOB_REMOVED, JOB_UPDATED, TRACKED_FIELDS
+from jobdelta.session import materialize
 
 
-def _matched(prev: DataFrame, cur: DataFrame) -> DataFrame:
+def _matched(prev: DataFrame, cur: DataFrame, unique: bool) -> DataFrame:
     """Both snapshots side by side, for boards that have a previous one.
 
-    One shuffle on (resource_id, key) serves the de-duplication and the outer join. A board without a
-    previous snapshot drops out here: its first listing is a baseline.
+    One shuffle and one sort on (resource_id, key) serve the de-duplication and the outer join. A board without
+    a previous snapshot drops out here: its first listing is a baseline.
     """
+    one = (lambda df: df) if unique else dedupe_postings
     fields = [c for c in cur.columns if c not in ("resource_id", "complete")]
     before_fields = [c for c in prev.columns if c not in ("resource_id", "complete")]
-    after = dedupe_postings(cur).select(*KEY, F.struct(*fields).alias("after"))
-    before = dedupe_postings(prev).select(*KEY, F.struct(*before_fields).alias("before"))
+    after = one(cur).select(*KEY, F.struct(*fields).alias("after"))
+    before = one(prev).select(*KEY, F.struct(*before_fields).alias("before"))
     return before.join(after, KEY, "full_outer")
 
 
@@ -39,23 +40,25 @@ def pair_unique(loose: DataFrame, by: list[str]) -> DataFrame:
     """Pairs of a removed row (only `before`) and an added row (only `after`) that agree on `by`, where the
     match is unique on both sides.
 
-    One aggregation counts both sides; a group of many rows is never gathered or multiplied out.
+    Both sides are counted first; rows of a group that is not unique go no further, and none is multiplied out.
     """
-    return loose.groupBy(*by).agg(
-        F.count("before").alias("n_before"), F.count("after").alias("n_after"),
-        F.any_value("before", True).alias("before"), F.any_value("after", True).alias("after"),
-    ).filter("n_before = 1 AND n_after = 1").drop("n_before", "n_after")
+    alone = loose.groupBy(*by).agg(F.count("before").alias("n_before"), F.count("after").alias("n_after")) \
+        .filter("n_before = 1 AND n_after = 1").select(*by)
+    rows = loose.join(alone, by, "left_semi")
+    return rows.filter("before is not null").select(*by, "before").join(rows.filter("after is not null").select(*by, "after"), by)
 
 
 def diff_postings(
-    prev: DataFrame, cur: DataFrame, cap: int | None = MAX_EVENTS_PER_BOARD, complete: DataFrame | None = None
+    prev: DataFrame, cur: DataFrame, cap: int | None = None, complete: DataFrame | None = None, unique: bool = False
 ) -> DataFrame:
     """Added, removed and updated postings of every board, as event rows.
 
     `complete` (resource_id, complete) says which boards were checked and whether their listing is whole;
-    left out, it is read from `cur`. A checked board with no row in `cur` then counts as emptied.
+    left out, it is read from `cur`. A checked board with no row in `cur` then counts as emptied. `unique` says
+    that no key repeats within a listing, which merged pages guarantee. With a `cap`, only the first events of a
+    board are kept.
     """
-    m = _matched(prev, cur).join(_boards(prev, cur, complete), "resource_id")
+    m = _matched(prev, cur, unique).join(_boards(prev, cur, complete), "resource_id")
     m = m.withColumn("changed_fields", tracked_changes(
         lambda f: F.col(f"before.{f}"), lambda f: F.col(f"after.{f}"), TRACKED_FIELDS))
     kind = (
@@ -111,35 +114,35 @@ def to_events(drafts: DataFrame) -> DataFrame:
     })
 
 
-def cap_events(events: DataFrame, n: int | None = MAX_EVENTS_PER_BOARD) -> DataFrame:
-    """The first n events of a board per check: adds, removes, updates, then pairs, in listing order.
+def cap_events(events: DataFrame, n: int | None = None) -> DataFrame:
+    """The first n events of a board per check: adds, removes, updates, then pairs, in listing order. All of them without n.
 
     Spark prunes each map task to n rows per board before the shuffle, so a huge board sends little.
     """
     if n is None:
         return events
-    w = Window.partitionBy("resource_id").orderBy("type_rank", F.col("position").asc_nulls_last(), "item_key")
+    w = Window.partitionBy("resource_id").orderBy(*_in_board())
     return events.withColumn("event_no", F.row_number().over(w)).filter(F.col("event_no") <= n)
 
 
+def _in_board() -> list[Column]:
+    """The order of a board's events."""
+    return [F.col("type_rank"), F.col("position").asc_nulls_last(), F.col("item_key")]
+
+
 def assign_change_ids(events: DataFrame, start: int = 0) -> DataFrame:
-    """Increasing ids after `start`, without gathering the events in one task.
+    """Increasing ids after `start`, in order of check, board (hashed) and the event's place on it.
 
-    Events are ordered by a 4096-way hash of the board, then board, then the event's place on it. Offsets
-    are summed over boards inside a hash slot and over the slots themselves (at most 4096 rows).
+    The events are range-partitioned and sorted by that order, so a board of any size spreads over many tasks;
+    written once, with each row's place in its partition; one count per partition gives the offsets.
     """
+    order = [*([F.col("round")] if "round" in events.columns else []), F.col("slot"), F.col("resource_id"), *_in_board()]
     slotted = events.withColumn("slot", F.substring(F.md5(F.col("resource_id").cast("binary")), 1, 3))
-    per_board = slotted.groupBy("slot", "resource_id").agg(F.count("*").alias("n"))
-    before_board = Window.partitionBy("slot").orderBy("resource_id").rowsBetween(Window.unboundedPreceding, -1)
-    boards = per_board.withColumn("board_offset", F.coalesce(F.sum("n").over(before_board), F.lit(0)))
-    before_slot = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = per_board.groupBy("slot").agg(F.sum("n").alias("n")) \
-        .select("slot", F.coalesce(F.sum("n").over(before_slot), F.lit(0)).alias("slot_offset"))
-    offsets = boards.drop("n").join(slots, "slot").select(
-        "resource_id", (F.col("slot_offset") + F.col("board_offset") + F.lit(start)).alias("offset"))
-    if "event_no" not in events.columns:
-        w = Window.partitionBy("resource_id").orderBy("type_rank", F.col("position").asc_nulls_last(), "item_key")
-        slotted = slotted.withColumn("event_no", F.row_number().over(w))
-    return slotted.join(offsets, "resource_id") \
-        .withColumn("change_id", (F.col("offset") + F.col("event_no")).cast(T.LongType())) \
-        .drop("slot", "offset")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = slotted.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("slot") \
+        .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    placed = materialize(placed, "events")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return placed.join(F.broadcast(offsets), "_part") \
+        .withColumn("change_id", (F.col("offset") + F.col("_at") + F.lit(start + 1)).cast("bigint")).drop("_part", "_at", "offset")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobdelta.functions.text import location_text, mark_words, needle_match, needles, search_text, trim_ws
-from jobdelta.schema import CHANGE_TYPES, JOB_ADDED, MAX_TERMS, SENIORITIES
+from jobdelta.schema import CHANGE_TYPES, JOB_ADDED, SENIORITIES
 
 LISTS = ["keywords", "all_keywords", "exclude_keywords", "locations", "seniority"]
 OTHERS = ["remote_only", "min_salary", "salary_currency", "max_experience_years", "include_unknown"]
@@ -27,19 +27,23 @@ def _column(df: DataFrame, name: str) -> Column:
 
 def _terms(c: Column) -> Column:
     cleaned = F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.lower(trim_ws(t)))
-    return F.slice(F.array_distinct(F.filter(cleaned, lambda t: F.coalesce(t, F.lit("")) != "")), 1, MAX_TERMS)
+    return F.array_distinct(F.filter(cleaned, lambda t: F.coalesce(t, F.lit("")) != ""))
 
 
-def _positive(c: Column, top: int) -> Column:
+#: The greatest bound kept; no yearly pay and no count of years comes near it, so a greater one means the same.
+TOP = 2**31 - 1
+
+
+def _positive(c: Column) -> Column:
     usable = c.isNotNull() & ~F.isnan(c) & (c >= 0) & (c < float("inf"))
-    return F.when(usable, F.least(F.floor(c + F.lit(0.5)), F.lit(top))).cast("int")
+    return F.when(usable, F.least(F.floor(F.least(c, F.lit(float(TOP))) + F.lit(0.5)), F.lit(TOP))).cast("int")
 
 
 def normalize_filters(df: DataFrame) -> DataFrame:
     """Every filter column of `df`, cleaned; a column `df` lacks becomes its default."""
     levels = F.array(*[F.lit(s) for s in SENIORITIES])
     currency = F.upper(trim_ws(_column(df, "salary_currency")))
-    pay = F.nullif(_positive(_column(df, "min_salary"), 100_000_000), F.lit(0))
+    pay = F.nullif(_positive(_column(df, "min_salary")), F.lit(0))
     return df.withColumns({
         **{c: _terms(_column(df, c)) for c in LISTS if c != "seniority"},
         "seniority": F.array_distinct(F.filter(
@@ -48,7 +52,7 @@ def normalize_filters(df: DataFrame) -> DataFrame:
         "remote_only": F.coalesce(_column(df, "remote_only"), F.lit(False)),
         "min_salary": pay,
         "salary_currency": F.when(pay.isNotNull() & F.rlike(currency, F.lit("^[A-Z]{3}$")), currency),
-        "max_experience_years": _positive(_column(df, "max_experience_years"), 60),
+        "max_experience_years": _positive(_column(df, "max_experience_years")),
         "include_unknown": F.coalesce(_column(df, "include_unknown"), F.lit(True)),
     })
 
@@ -169,13 +173,13 @@ def normalize_values(**filters) -> dict:
     """The same cleaning for the plain values of one search."""
     def terms(name: str) -> list[str]:
         seen = dict.fromkeys((t or "").strip().lower() for t in filters.get(name) or [])
-        return [t for t in seen if t][:MAX_TERMS]
+        return [t for t in seen if t]
 
-    def positive(name: str, top: int) -> int | None:
+    def positive(name: str) -> int | None:
         v = filters.get(name)
-        return min(floor(v + 0.5), top) if v is not None and isfinite(v) and v >= 0 else None
+        return min(floor(v + 0.5), TOP) if v is not None and isfinite(v) and v >= 0 else None
 
-    pay = positive("min_salary", 100_000_000) or None
+    pay = positive("min_salary") or None
     currency = (filters.get("salary_currency") or "").strip().upper()
     return {
         **{c: terms(c) for c in LISTS if c != "seniority"},
@@ -183,6 +187,6 @@ def normalize_values(**filters) -> dict:
         "remote_only": bool(filters.get("remote_only")),
         "min_salary": pay,
         "salary_currency": currency if pay and re.fullmatch("[A-Z]{3}", currency) else None,
-        "max_experience_years": positive("max_experience_years", 60),
+        "max_experience_years": positive("max_experience_years"),
         "include_unknown": filters.get("include_unknown") is not False,
     }

@@ -1,9 +1,9 @@
 """Stored searches meet new rows: every event against every saved search, without a theta join.
 
-Each search is filed under a few *anchors*, values any matching posting must carry: a word of one of its
-keywords, else of a required keyword, else of a location, else a level, remote, a pay band or a year count.
-Each posting lists every anchor it carries, so candidates come from one equi join and the exact predicate
-runs on candidates only.
+Each search is filed under a few *anchors*, values any matching posting must carry: the rarest word of each of
+its keywords, else of the required keywords, else of each location, else a level, remote, a pay band or a year
+count. Each posting lists the anchors it carries, so candidates come from one equi join of ids and the exact
+predicate runs on candidates only.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from jobdelta.schema import JOB_ADDED
 _SPLIT = r"[^\p{L}\p{N}]+"
 _PAY_STEP, _PAY_TOP = 20_000, 64
 _YEARS_TOP = 61
-#: How many ways the rows of one anchor are spread. A common word then never lands in a single task.
-SALTS = 8
 
 
 def _h(kind: str, value: Column) -> Column:
@@ -60,40 +58,49 @@ def posting_anchors() -> Column:
     ))
 
 
-def _term_anchors(terms: Column, word: str, symbol: str) -> Column:
-    """Anchors of a list of any-of terms.
+_OPTION = "struct<part:int,option:int,anchors:array<bigint>>"
 
-    The first word of a term is a whole word of any text the term matches, except that the plural ending
-    may lengthen it when it also ends the term. A term without letters or digits is filed by its first symbol.
+
+def _options(terms: Column, word: str, symbol: str, joint: bool = False) -> Column:
+    """Ways to file a list of terms: for each part (a term, or all of them if `joint`) any one option will do.
+
+    An option is a word of a term: it stands as a whole word in every text the term matches, except that a plural
+    ending may lengthen it where it ends the term. A term without letters or digits is filed by its first symbol.
     """
-    def of(term: Column) -> Column:
-        first = F.regexp_extract(term, r"[\p{L}\p{N}]+", 0)
-        at_end = F.rlike(term, F.lit(r"^[^\p{L}\p{N}]*[\p{L}\p{N}]+$"))
-        return F.when(first == "", F.array(_h(symbol, F.substring(term, 1, 1)))) \
-            .when(at_end, F.array(_h(word, first), _h(word, F.concat(first, F.lit("s"))), _h(word, F.concat(first, F.lit("es"))))) \
-            .otherwise(F.array(_h(word, first)))
+    def of(term: Column, n: Column) -> Column:
+        part = F.lit(0) if joint else n
+        words = F.regexp_extract_all(term, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+        ends = F.rlike(term, F.lit(r"[\p{L}\p{N}]$"))
+
+        def option(w: Column, k: Column) -> Column:
+            last = ends & (k == F.size(words) - 1)
+            plural = F.array(_h(word, w), _h(word, F.concat(w, F.lit("s"))), _h(word, F.concat(w, F.lit("es"))))
+            return F.struct(part.alias("part"), (n * 1000 + k).alias("option"), F.when(last, plural).otherwise(F.array(_h(word, w))).alias("anchors"))
+
+        alone = F.array(F.struct(part.alias("part"), (n * 1000).alias("option"), F.array(_h(symbol, F.substring(term, 1, 1))).alias("anchors")))
+        return F.when(F.size(words) > 0, F.transform(words, option)).otherwise(alone)
 
     return F.flatten(F.transform(terms, of))
 
 
-def search_anchors() -> Column:
-    """The anchors a normalised search is filed under."""
-    longest = F.reduce(F.col("all_keywords"), F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+def search_options() -> Column:
+    """Every way to file a normalised search, by the first filter that narrows it."""
     unknown = lambda kind: F.when(F.col("include_unknown"), F.array(_h(kind, F.lit("unknown")))) \
         .otherwise(F.array().cast("array<bigint>"))
     bands = F.transform(F.sequence(_pay_band(F.col("min_salary")), F.lit(_PAY_TOP)), lambda i: _h("p", i.cast("string")))
     years = F.transform(
         F.sequence(F.lit(0), F.least(F.col("max_experience_years"), F.lit(_YEARS_TOP)).cast("int")),
         lambda i: _h("y", i.cast("string")))
-    return F.array_distinct(
-        F.when(F.size("keywords") > 0, _term_anchors(F.col("keywords"), "t", "x"))
-        .when(F.size("all_keywords") > 0, _term_anchors(F.array(longest), "t", "x"))
-        .when(F.size("locations") > 0, _term_anchors(F.col("locations"), "l", "lx"))
-        .when(F.size("seniority") > 0, F.transform("seniority", lambda s: _h("s", s)))
-        .when(F.col("remote_only"), F.array(_h("r", F.lit("yes"))))
-        .when(F.col("min_salary").isNotNull(), F.concat(bands, unknown("p")))
-        .when(F.col("max_experience_years").isNotNull(), F.concat(years, unknown("y")))
-        .otherwise(F.array(_h("any", F.lit(""))))
+    only = lambda anchors: F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("option"), anchors.alias("anchors")))
+    return (
+        F.when(F.size("keywords") > 0, _options(F.col("keywords"), "t", "x"))
+        .when(F.size("all_keywords") > 0, _options(F.col("all_keywords"), "t", "x", joint=True))
+        .when(F.size("locations") > 0, _options(F.col("locations"), "l", "lx"))
+        .when(F.size("seniority") > 0, only(F.transform("seniority", lambda s: _h("s", s))))
+        .when(F.col("remote_only"), only(F.array(_h("r", F.lit("yes")))))
+        .when(F.col("min_salary").isNotNull(), only(F.concat(bands, unknown("p"))))
+        .when(F.col("max_experience_years").isNotNull(), only(F.concat(years, unknown("y"))))
+        .otherwise(only(F.array(_h("any", F.lit("")))))
     )
 
 
@@ -101,35 +108,57 @@ WATCH_COLUMNS = ["keywords", "all_keywords", "exclude_keywords", "locations", "s
                  "min_salary", "salary_currency", "max_experience_years", "include_unknown", "change_types"]
 
 
-def percolate(events: DataFrame, watches: DataFrame, carry: list[str] | None = None, salts: int = SALTS) -> DataFrame:
+def percolate(events: DataFrame, watches: DataFrame, carry: list[str] | None = None, after: str | None = None) -> DataFrame:
     """Every (event, watch) pair where the watch should see the event.
 
     `events` has resource_id, type, job, search_text; `watches` has watch_id, resource_id and filters.
     A board watch meets the events of its board, a search every new posting. `carry` names event columns to
-    keep; all other watch columns are kept. No pair appears twice, and no pair is ever cut.
+    keep; all other watch columns are kept. `after` names a watch column: only events of a greater change_id count.
+    No pair appears twice, and no pair is ever cut.
+
+    Ids alone meet first: a search is filed under the rarest word of each of its terms, as counted in these events,
+    and events list only anchors that some search uses. Texts join the id pairs that this leaves, for the exact test.
+    An id is a hash: rows that share one are told apart by the exact test. A common anchor makes a skewed join of
+    slim rows, which adaptive execution splits by measured size.
     """
     carry = carry if carry is not None else [c for c in events.columns if c not in ("job", "before", "search_text")]
-    e = mark_text(events.withColumns(match_columns(lambda c: F.col(f"job.{c}"), F.col("search_text"))))
-    board = F.array(_h("b", F.col("resource_id")))
-    e = e.withColumn("e_anchors", F.when(F.col("type") == JOB_ADDED, F.concat(board, posting_anchors())).otherwise(board))
-    e = e.select(*carry, *[c for c in ("resource_id", "type") if c not in carry],
-                 "m_text", "m_location", "m_text_marked", "m_location_marked", "m_remote", "m_seniority", "m_pay", "m_currency", "m_years", "e_anchors") \
-        .withColumn("salt", F.pmod(F.xxhash64("m_text", *[c for c in ("item_key", "change_id") if c in carry]), F.lit(salts)).cast("int")) \
-        .withColumn("anchor", F.explode_outer("e_anchors"))
-
     w = normalize_filters(default_change_types(live(watches)))
+    if after is not None:
+        # Nothing below the least place that any watch has read to is looked at.
+        events = events.filter(F.col("change_id") > w.agg(F.min(after)).scalar())
     extra = [c for c in w.columns if c not in WATCH_COLUMNS and c not in ("resource_id", "deleted_at") and c not in carry]
-    w = w.withColumn("w_anchors", F.when(
-        F.col("resource_id").isNull(), search_anchors()).otherwise(F.array(_h("b", F.col("resource_id")))))
-    w = prepare_terms(w).select(*extra, *[F.col(c).alias(f"w_{c}") for c in WATCH_COLUMNS],
-                 F.col("resource_id").alias("w_resource_id"), "w_anchors") \
-        .withColumn("anchor", F.explode_outer("w_anchors"))
-    w = w.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    # A pair may share several anchors: only the smallest shared one lets it through.
-    first_shared = ~F.exists("w_anchors", lambda a: (a < F.col("anchor")) & F.array_contains("e_anchors", a))
-    pairs = e.join(w, ["anchor", "salt"]).filter(
+    board = F.array(_h("b", F.col("resource_id")))
+    board_only = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("option"), board.alias("anchors")))
+    options = F.when(F.col("resource_id").isNull(), search_options()).otherwise(board_only).cast(f"array<{_OPTION}>")
+    floor = F.col(after) if after is not None else F.lit(None)
+    w = prepare_terms(w.withColumns({"w_options": options, "w_floor": floor.cast("bigint")})).select(
+        *extra, *[F.col(c).alias(f"w_{c}") for c in WATCH_COLUMNS], F.col("resource_id").alias("w_resource_id"), "w_options", "w_floor")
+    w = w.withColumn("w_id", F.xxhash64(*[c for c in w.columns if c != "w_options"]))
+
+    e = mark_text(events.withColumns(match_columns(lambda c: F.col(f"job.{c}"), F.col("search_text"))))
+    e = e.withColumn("e_anchors", F.when(F.col("type") == JOB_ADDED, F.concat(board, posting_anchors())).otherwise(board))
+    ids = ["change_id"] if after is not None else []
+    texts = ["m_text", "m_location", "m_text_marked", "m_location_marked", "m_remote", "m_seniority", "m_pay", "m_currency", "m_years"]
+    e = e.select(*carry, *[c for c in ("resource_id", "type", *ids) if c not in carry], *texts, "e_anchors")
+    e = e.withColumn("e_id", F.xxhash64(*([c for c in ("resource_id", "type", "item_key", "change_id") if c in e.columns])))
+
+    filed = w.select("w_id", "w_floor", F.inline("w_options")).select("w_id", "w_floor", "part", "option", F.explode("anchors").alias("anchor")).distinct()
+    listed = e.select("e_id", *[F.col(c).alias("e_change_id") for c in ids], F.explode("e_anchors").alias("anchor")) \
+        .join(filed.select("anchor").distinct(), "anchor", "left_semi")
+    often = listed.groupBy("anchor").agg(F.count("*").alias("n"))
+    # Of each part the option that fewest events carry; one that none carries cannot match, so it may stand alone.
+    weighed = filed.join(often, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    best = weighed.groupBy("w_id", "part", "option").agg(F.sum("n").alias("weight")).groupBy("w_id", "part") \
+        .agg(F.min(F.struct("weight", "option")).alias("b")).select("w_id", "part", "b.option")
+    chosen = weighed.filter("n > 0").join(best, ["w_id", "part", "option"], "left_semi").select("w_id", "w_floor", "anchor").distinct()
+    pairs = listed.join(chosen, "anchor")
+    if after is not None:
+        pairs = pairs.filter(F.col("e_change_id") > F.col("w_floor"))
+    pairs = pairs.select("e_id", "w_id").distinct()
+    tested = pairs.join(w.drop("w_options"), "w_id").join(e.drop("e_anchors"), "e_id").filter(
         F.array_contains("w_change_types", F.col("type"))
         & (F.col("w_resource_id").isNull() | (F.col("w_resource_id") == F.col("resource_id")))
-        & matches(lambda c: F.col(f"w_{c}")) & first_shared)
-    return pairs.select(*carry, *extra)
+        & matches(lambda c: F.col(f"w_{c}")))
+    if after is not None:
+        tested = tested.filter(F.col("change_id") > F.col("w_floor"))
+    return tested.select(*carry, *extra)

@@ -222,14 +222,14 @@ def interpret_requests(
         F.filter(role_words(g), lambda w: ~F.array_contains(generic, w)), " "))
     step(lambda rest: {
         "_words": F.array_distinct(role_words(rest)),
-        "_phrases": F.when(either, F.slice(F.array_distinct(F.filter(phrases, lambda p: p != "")), 1, 20)).otherwise(none), "_either": either})
+        "_phrases": F.when(either, F.array_distinct(F.filter(phrases, lambda p: p != ""))).otherwise(none), "_either": either})
     step(lambda rest: {"_own": F.filter("_words", lambda w: ~F.array_contains(generic, w)),
                        "_plain": F.filter("_words", lambda w: F.array_contains(generic, w))})
     several = (F.size("_phrases") == 0) & (F.size("_own") > 1) & ~F.col("_either")
     keywords = F.when(F.size("_phrases") > 0, F.col("_phrases")) \
         .when((F.size("_own") == 0) & (F.size("_plain") > 0), F.array(F.array_join("_plain", " "))) \
-        .when(several, none).otherwise(F.slice("_own", 1, 20))
-    r = r.withColumns({"keywords": keywords, "all_keywords": F.when(several, F.slice("_own", 1, 20)).otherwise(none)})
+        .when(several, none).otherwise(F.col("_own"))
+    r = r.withColumns({"keywords": keywords, "all_keywords": F.when(several, F.col("_own")).otherwise(none)})
     return r.drop("_rest", "_pays", "_out", "_found", "_remote", "_words", "_phrases", "_either", "_own", "_plain")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobdelta.functions.text import is_remote, seniority
 from jobdelta.schema import POSTING
@@ -14,13 +15,12 @@ KEY = ["resource_id", "key"]
 def dedupe_postings(postings: DataFrame, last: bool = True) -> DataFrame:
     """One row per key of a board: the last listed wins (or the first).
 
-    A grouped max/min keeps one candidate per map task, so many copies of one key never meet in one place.
+    Ranked in the exchange that a join on the key uses too. Spark keeps one row per key and map task before it, so
+    many copies of one key never meet in one place.
     """
-    rest = [c for c in postings.columns if c not in KEY]
-    row = F.struct("ordinal", *[c for c in rest if c != "ordinal"])
-    best = F.max_by(row, F.col("ordinal")) if last else F.min_by(row, F.col("ordinal"))
-    return postings.groupBy(*KEY).agg(best.alias("r")).select(*KEY, *[F.col(f"r.{c}").alias(c) for c in rest]) \
-        .select(*postings.columns)
+    order = F.col("ordinal").desc_nulls_last() if last else F.col("ordinal").asc_nulls_last()
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(order))
+    return postings.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def finalize_postings(postings: DataFrame) -> DataFrame:

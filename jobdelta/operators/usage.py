@@ -31,8 +31,8 @@ def page_views(access_log: DataFrame, pages: list[str] | None = None) -> DataFra
 
 
 def counts_daily(counter_events: DataFrame) -> DataFrame:
-    """Counter events (ts, metric, dim) per day; a dimension keeps its first 120 characters."""
-    return counter_events.groupBy(F.to_date("ts").alias("day"), "metric", F.substring("dim", 1, 120).alias("dim")) \
+    """Counter events (ts, metric, dim) per day; whole dimensions, however long."""
+    return counter_events.groupBy(F.to_date("ts").alias("day"), "metric", "dim") \
         .agg(F.count("*").alias("n"))
 
 
@@ -101,11 +101,12 @@ def tool_table(usage: DataFrame, counts: DataFrame, today) -> DataFrame:
     return known.unionByName(anon).orderBy(F.col("d30").desc(), "tool", "anonymous")
 
 
-def app_table(counts: DataFrame, today, top: int = 20) -> DataFrame:
-    """The apps that connect most, in 7 and in 30 days."""
-    return counts.filter((F.col("metric") == "mcp_connect") & (F.col("day") > day(today, 30))).groupBy(F.col("dim").alias("client")) \
+def app_table(counts: DataFrame, today, top: int | None = None) -> DataFrame:
+    """The apps that connect, most active first, in 7 and in 30 days; with `top` only so many."""
+    table = counts.filter((F.col("metric") == "mcp_connect") & (F.col("day") > day(today, 30))).groupBy(F.col("dim").alias("client")) \
         .agg(_n(F.sum(F.when(F.col("day") > day(today, 7), F.col("n")))).alias("d7"), _n(F.sum("n")).alias("d30")) \
-        .orderBy(F.col("d30").desc(), "client").limit(top)
+        .orderBy(F.col("d30").desc(), "client")
+    return table if top is None else table.limit(top)
 
 
 def source_table(clients: DataFrame, usage: DataFrame, today, now) -> DataFrame:

@@ -1,4 +1,4 @@
-"""One check of many boards: payloads in, change events and the next snapshot out."""
+"""Checks of many boards: payloads in, change events and the next snapshot out."""
 
 from __future__ import annotations
 
@@ -6,41 +6,80 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from jobdelta.operators.changes import assign_change_ids, diff_postings
-from jobdelta.operators.extract import extract_postings
+from jobdelta.operators.extract import CHECK, extract_postings
 from jobdelta.operators.percolate import percolate
-from jobdelta.operators.snapshot import carry_forward, changed_boards
+from jobdelta.operators.snapshot import carry_forward, content_hash
 from jobdelta.session import materialize
+from jobdelta.sources.payloads import drop_not_modified
 
 
 class Check(NamedTuple):
-    changes: DataFrame      # events with ids
-    postings: DataFrame     # the new listing of every board, details learned earlier carried over
-    boards: DataFrame       # every board of the batch: totals, completeness, whether it failed
+    changes: DataFrame      # events with ids, each with the check that found it
+    postings: DataFrame     # the last listing of every board, details learned earlier carried over
+    boards: DataFrame       # every check of the batch: totals, completeness, whether it failed
+    hashes: DataFrame       # content hash of every board whose listing was read
 
 
-def carry(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """The new listings with details learned earlier, written once for the steps that read them."""
-    return materialize(carry_forward(current, previous), "current")
+def _hashes(postings: DataFrame, stored: DataFrame | None) -> DataFrame:
+    return content_hash(postings).select("resource_id", "content_hash") if stored is None else stored.select("resource_id", "content_hash")
 
 
-def compare(whole: DataFrame, previous: DataFrame, boards: DataFrame, start_id: int = 0) -> DataFrame:
-    """Change events of carried listings. Boards whose posting set did not change drop out before the wide join."""
-    moved = changed_boards(whole, previous).select("resource_id")
-    emptied = boards.filter(~F.col("failed") & (F.col("jobs_count") == 0)).select("resource_id")
+def compare(whole: DataFrame, previous: DataFrame, boards: DataFrame, hashes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, hashes) of listings that details were carried into; `boards` has one row for each.
+
+    Boards whose posting set did not change drop out before the wide join. `hashes` (resource_id, content_hash)
+    are the stored ones of `previous`; without them its postings are hashed anew.
+    """
+    now = materialize(content_hash(whole).select("resource_id", "content_hash"), "hashes")
+    moved = now.join(_hashes(previous, hashes), ["resource_id", "content_hash"], "left_anti").select("resource_id")
+    emptied = boards.filter("jobs_count = 0").select("resource_id")
     todo = moved.unionByName(emptied).distinct()
     complete = boards.join(todo, "resource_id", "left_semi").select("resource_id", "complete")
-    events = diff_postings(previous.join(todo, "resource_id", "left_semi"), whole.join(todo, "resource_id", "left_semi"), complete=complete)
-    return assign_change_ids(materialize(events, "events"), start_id)
+    events = diff_postings(previous.join(todo, "resource_id", "left_semi"), whole.join(todo, "resource_id", "left_semi"), complete=complete, unique=True)
+    return events.join(boards.select(*CHECK, "fetched_at"), "resource_id").withColumnRenamed("fetched_at", "detected_at"), now
+
+
+def compare_checks(postings: DataFrame, boards: DataFrame, previous: DataFrame, start_id: int = 0, hashes: DataFrame | None = None) -> Check:
+    """The checks of a batch in the order in which they were fetched, each against the listing before it.
+
+    A board is usually checked once in a batch; where it was checked more often, its second check is compared
+    with its first, and so on: as many rounds as the busiest board has checks, boards side by side in each. A
+    failed check changes nothing.
+    """
+    turn = F.row_number().over(Window.partitionBy("resource_id").orderBy(F.col("fetched_at").asc_nulls_first(), "check_id"))
+    ok = materialize(boards.filter(~F.col("failed")).withColumn("round", turn), "checks")
+    rounds = ok.agg(F.coalesce(F.max("round"), F.lit(0))).first()[0]
+    previous = previous.drop("check_id")
+    found, latest, known = None, previous, hashes
+    read = None
+    for n in range(1, max(rounds, 1) + 1):
+        own = ok.filter(F.col("round") == n)
+        listing = postings.join(own.select(*CHECK), CHECK, "left_semi").drop("check_id")
+        whole = materialize(carry_forward(listing, latest), "current")
+        events, now = compare(whole, latest, own, known)
+        events = events.withColumn("round", F.lit(n))
+        found = events if found is None else found.unionByName(events)
+        kept = lambda df: df.join(own.select("resource_id"), "resource_id", "left_anti")  # noqa: B023, E731
+        latest = kept(latest).unionByName(whole, allowMissingColumns=True)
+        read = whole if read is None else kept(read).unionByName(whole)
+        known = None if known is None else kept(known.select("resource_id", "content_hash")).unionByName(now)
+    return Check(assign_change_ids(found, start_id).drop("round"), read, boards, content_hash(read).select("resource_id", "content_hash"))
 
 
 def check_boards(payloads: DataFrame, previous: DataFrame, companies: DataFrame | None = None, start_id: int = 0,
-                 adapters: list[str] | None = None) -> Check:
-    """Payloads to change events: extract, merge pages, carry forward, skip unchanged boards, diff, cap, number."""
+                 adapters: list[str] | None = None, accepted: DataFrame | None = None, hashes: DataFrame | None = None) -> Check:
+    """Payloads to change events: extract, merge pages, carry forward, skip unchanged boards, diff, number.
+
+    `accepted` (resource_id, current_snapshot_id, etag, last_modified) leaves out payloads that did not change;
+    `hashes` (resource_id, content_hash) spares hashing the stored postings again.
+    """
+    if accepted is not None:
+        payloads = drop_not_modified(payloads, accepted)
     postings, boards = extract_postings(payloads, companies, adapters)
-    whole = carry(postings, previous)
-    return Check(compare(whole, previous, boards, start_id), whole, boards)
+    return compare_checks(postings, boards, previous, start_id, hashes)
 
 
 def deliver(changes: DataFrame, watches: DataFrame) -> DataFrame:

@@ -34,9 +34,11 @@ POSTING_FIELDS = [
 #: One row per posting of a board; `ordinal` keeps the listing order of the board.
 POSTING = T.StructType([T.StructField("resource_id", T.StringType()), *POSTING_FIELDS])
 
-#: One row per page of a listing, as fetched.
+#: One row per page of a listing, as fetched. `check_id` names the check that fetched it: pages of two checks never mix.
 PAYLOAD = T.StructType([
     T.StructField("resource_id", T.StringType()),
+    T.StructField("check_id", T.StringType()),
+    T.StructField("fetched_at", T.TimestampType()),
     T.StructField("adapter", T.StringType()),
     T.StructField("fetch_url", T.StringType()),
     T.StructField("page_no", T.IntegerType()),
@@ -59,13 +61,11 @@ PAY_BOUNDS = {
 JOB_ADDED, JOB_REMOVED, JOB_UPDATED = "JOB_ADDED", "JOB_REMOVED", "JOB_UPDATED"
 CHANGE_TYPES = [JOB_ADDED, JOB_REMOVED, JOB_UPDATED]
 TRACKED_FIELDS = ["title", "location", "department", "url"]
-MAX_EVENTS_PER_BOARD = 200
-MAX_TERMS = 20
 PLATFORMS = [
     "greenhouse", "lever", "ashby", "workable", "smartrecruiters", "recruitee", "workday", "icims",
     "apple", "google", "amazon", "microsoft", "oracle", "eightfold", "successfactors",
 ]
-#: Newest postings read per board, where the listing is a window.
+#: How many of its newest postings a platform shows per board, where the listing is a window.
 WINDOW_CAPS = {
     "workday": 200, "apple": 300, "amazon": 300, "oracle": 300,
     "successfactors": 200, "eightfold": 50, "microsoft": 50,

@@ -13,11 +13,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # Wide struct columns make the optimiser's constraint inference grow without bound; nothing here needs it.
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     return spark
 
 
+#: The folder of a local session that names none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir`.
 
@@ -28,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
         return base
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the executors")
-    return tempfile.mkdtemp(prefix="jobdelta-")
+    session = spark.sparkContext.applicationId
+    if session not in _LOCAL:
+        _LOCAL[session] = tempfile.mkdtemp(prefix="jobdelta-")
+    return _LOCAL[session]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

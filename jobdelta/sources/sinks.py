@@ -1,49 +1,126 @@
-"""Snapshot and change tables on shared storage."""
+"""Snapshot and change tables on shared storage.
+
+A snapshot is a set of buckets, each in a folder of some version, and a table of contents that says which. A write
+adds a version with the buckets it touches and then a new table of contents: readers see the old snapshot or the
+new one, never a mixture, and a write that dies leaves the old one as it was.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobdelta.session import materialize
-
-#: Boards are spread over this many snapshot partitions; a batch rewrites only those it touches.
-BUCKETS = 64
+#: Postings that one bucket holds, about. The first write sets the number of buckets by it, a later one may raise it.
+BUCKET_ROWS = 250_000
 
 
-def with_bucket(postings: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def with_bucket(postings: DataFrame, buckets: int) -> DataFrame:
     return postings.withColumn("resource_bucket", F.pmod(F.xxhash64("resource_id"), F.lit(buckets)).cast("int"))
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("resource_bucket")
+def _contents(spark: SparkSession, path: str) -> dict | None:
+    """The latest table of contents: number, count of buckets, and the version of each bucket that has rows."""
+    if not _exists(spark, f"{path}/contents"):
+        return None
+    fs, p = _fs(spark, f"{path}/contents")
+    names = [s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith((".", "_"))]
+    if not names:
+        return None
+    last = max(names, key=int)
+    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/contents/{last}", wholetext=True).collect()))
+
+
+def _folders(path: str, contents: dict, buckets: list[int] | None = None) -> list[str]:
+    return [f"{path}/versions/{v}/resource_bucket={b}" for b, v in sorted(contents["buckets"].items(), key=lambda x: int(x[0])) if buckets is None or int(b) in buckets]
+
 
+def read_snapshot(spark: SparkSession, path: str, boards: DataFrame | None = None) -> DataFrame:
+    """The current postings; with `boards` (resource_id), only the buckets that hold theirs are read."""
+    contents = _contents(spark, path)
+    if contents is None:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return _read(spark, path, contents, None if boards is None else _touched(boards, contents["count"]))
 
-def write_snapshot(postings: DataFrame, path: str, boards: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+
+def _read(spark: SparkSession, path: str, contents: dict, buckets: list[int] | None) -> DataFrame:
+    folders = _folders(path, contents, buckets)
+    if not folders:
+        return spark.createDataFrame([], contents["schema"])
+    return spark.read.schema(contents["schema"]).parquet(*folders)
+
+
+def _touched(boards: DataFrame, buckets: int) -> list[int]:
+    return [r[0] for r in with_bucket(boards.select("resource_id"), buckets).select("resource_bucket").distinct().collect()]  # at most `buckets` numbers
+
+
+def write_snapshot(postings: DataFrame, path: str, boards: DataFrame | None = None, buckets: int | None = None) -> None:
     """Replace the current snapshot of the boards in the batch and leave the others as they are.
 
-    `boards` (resource_id) lists the checked boards; one without postings is emptied. Only touched partitions
-    are read and rewritten: the new content is written aside first, then swapped in partition by partition.
+    `boards` (resource_id) lists the checked boards; one without postings is emptied. Only touched buckets are read
+    and rewritten, in one job, and a bucket that becomes empty leaves the table of contents. The number of buckets
+    follows the rows of the first write unless it is given.
     """
     spark = postings.sparkSession
-    new = with_bucket(postings.drop("resource_bucket"), buckets)
-    checked = with_bucket((boards if boards is not None else postings).select("resource_id").distinct(), buckets)
-    touched = [r[0] for r in checked.select("resource_bucket").distinct().collect()]  # at most `buckets` numbers
-    if _exists(spark, path):
-        old = spark.read.parquet(path).filter(F.col("resource_bucket").isin(touched))
-        new = old.join(checked.select("resource_id"), "resource_id", "left_anti").unionByName(new, allowMissingColumns=True)
-    staged = materialize(new, "snapshot")
-    empty = [b for b in touched if b not in {r[0] for r in staged.select("resource_bucket").distinct().collect()}]
-    staged.repartition("resource_bucket", F.pmod(F.xxhash64("resource_id", "key"), F.lit(8))) \
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resource_bucket").parquet(path)
-    for b in empty:
-        _delete(spark, f"{path}/resource_bucket={b}")
-
-
-def write_changes(changes: DataFrame, path: str, detected_at) -> None:
-    """Append change events, partitioned by the day they were detected."""
+    new = postings.drop("resource_bucket")
+    checked = (boards if boards is not None else postings).select("resource_id").distinct()
+    contents = _contents(spark, path)
+    if contents is None:
+        count = buckets or max(1, -(-postings.count() // BUCKET_ROWS))
+        contents = {"number": -1, "count": count, "buckets": {}, "schema": _ddl(new)}
+    elif set(contents["schema"].split(",")) != set(_ddl(new).split(",")):
+        new = _read(spark, path, contents, []).unionByName(new, allowMissingColumns=True)
+        contents["schema"] = _ddl(new)
+    number, count = contents["number"] + 1, contents["count"]
+    touched = _touched(checked, count)
+    old = _read(spark, path, contents, touched)
+    whole = old.join(checked, "resource_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    version = f"{path}/versions/{number}"
+    # Big buckets become several files of a bounded number of rows.
+    with_bucket(whole, count).repartition("resource_bucket").write.mode("overwrite").option("maxRecordsPerFile", BUCKET_ROWS) \
+        .partitionBy("resource_bucket").parquet(version)
+    held = {str(b): v for b, v in contents["buckets"].items() if int(b) not in touched}
+    fs, p = _fs(spark, version)
+    held |= {s.getPath().getName().split("=")[1]: number for s in fs.listStatus(p) if s.getPath().getName().startswith("resource_bucket=")}
+    _put(spark, f"{path}/contents/{number}", json.dumps({"number": number, "count": count, "buckets": held, "schema": contents["schema"]}))
+
+
+def _ddl(df: DataFrame) -> str:
+    return df._jdf.schema().toDDL()
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole: written aside, then renamed."""
+    fs, p = _fs(spark, path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/.{path.rsplit('/', 1)[1]}")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(aside, p)
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Delete the folders of versions that none of the last `keep` tables of contents names."""
+    fs, p = _fs(spark, f"{path}/contents")
+    numbers = sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit())
+    needed: set[str] = set()
+    for n in numbers[-keep:]:
+        text = "".join(r[0] for r in spark.read.text(f"{path}/contents/{n}", wholetext=True).collect())
+        needed |= {str(v) for v in json.loads(text)["buckets"].values()}
+    for n in numbers[:-keep]:
+        _delete(spark, f"{path}/contents/{n}")
+    fs, p = _fs(spark, f"{path}/versions")
+    for s in fs.listStatus(p):
+        name = s.getPath().getName()
+        if name not in needed and (not name.isdigit() or int(name) <= numbers[-1]):
+            _delete(spark, f"{path}/versions/{name}")
+
+
+def write_changes(changes: DataFrame, path: str, detected_at, mode: str = "append") -> None:
+    """Write change events, partitioned by the day they were detected."""
     changes.withColumns({"detected_at": detected_at, "detected_day": F.to_date(detected_at)}) \
-        .write.mode("append").partitionBy("detected_day").parquet(path)
+        .write.mode(mode).partitionBy("detected_day").parquet(path)
 
 
 def _fs(spark: SparkSession, path: str):

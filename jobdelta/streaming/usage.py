@@ -22,7 +22,7 @@ def stream_usage_daily(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 def stream_counts_daily(counter_events: DataFrame, late: str = "1 day") -> DataFrame:
     """Counter events per day, metric and dimension."""
-    return _day(counter_events, late).groupBy("w", "metric", F.substring("dim", 1, 120).alias("dim")).agg(F.count("*").alias("n")) \
+    return _day(counter_events, late).groupBy("w", "metric", "dim").agg(F.count("*").alias("n")) \
         .select(F.to_date("w.start").alias("day"), "metric", "dim", "n")
 
 

@@ -74,7 +74,8 @@ def test_api_postings_are_never_paired(spark):
 
 def test_cap_keeps_adds_first(spark):
     after = [posting("r", f"n{n:03}", ordinal=n + 1) for n in range(250)]
-    got = diff(spark, [posting("r", "old")], after).collect()
+    assert len(diff(spark, [posting("r", "old")], after).collect()) == 251  # all of them, unless a cap is asked for
+    got = diff(spark, [posting("r", "old")], after, cap=200).collect()
     assert len(got) == 200 and {r.type for r in got} == {"JOB_ADDED"}
     assert {r.item_key for r in got} == {f"n{n:03}" for n in range(200)}
 
@@ -82,8 +83,64 @@ def test_cap_keeps_adds_first(spark):
 def test_ids_follow_the_batch_before(spark):
     before = [posting(f"r{b}", "old") for b in range(30)]
     after = [posting(f"r{b}", f"n{n}", ordinal=n + 1) for b in range(30) for n in range(1 + b % 4)]
-    ids = sorted(r.change_id for r in assign_change_ids(diff(spark, before, after), start=500).collect())
-    assert ids == list(range(501, 501 + len(ids)))
+    got = sorted((r.change_id, r.resource_id, r.type_rank, r.position, r.item_key) for r in assign_change_ids(diff(spark, before, after), start=500).collect())
+    assert [g[0] for g in got] == list(range(501, 501 + len(got)))
+    boards = [g[1] for g in got]
+    assert sum(a != b for a, b in zip(boards, boards[1:])) == len(set(boards)) - 1        # a board's ids follow one another
+    assert all(a[2:] < b[2:] for a, b in zip(got, got[1:]) if a[1] == b[1])               # in the order of its events
+
+
+def test_no_event_is_lost_on_a_hot_board(spark):
+    after = [posting("hot", f"k{n:04}", ordinal=n + 1) for n in range(1500)] + [posting("cold", "x")]
+    got = assign_change_ids(diff(spark, [posting("hot", "old"), posting("cold", "old")], after)).collect()
+    assert sorted(r.change_id for r in got) == list(range(1, 1504))
+
+
+def test_several_checks_of_a_board_are_compared_in_order(spark):
+    from jobdelta.plans.check import compare_checks
+
+    stored = postings(spark, [posting("b", "1"), posting("b", "2"), posting("q", "1")])
+    seen = [("b", "two", 20, ["2", "3"]), ("b", "one", 10, ["1", "2", "9"]), ("b", "three", 30, []), ("q", "only", 15, ["1", "5"]), ("f", "bad", 10, ["7"])]
+    listed = None
+    for board, check, _, keys in seen:
+        df = postings(spark, [posting(board, k) for k in keys] or [posting(board, "none")]).withColumn("check_id", F.lit(check))
+        df = df if keys else df.limit(0)
+        listed = df if listed is None else listed.unionByName(df)
+    boards = spark.createDataFrame([(b, c, at, "greenhouse", len(k), len(k), c == "bad", True) for b, c, at, k in seen],
+                                   "resource_id string, check_id string, at int, adapter string, total int, jobs_count int, failed boolean, complete boolean") \
+        .withColumn("fetched_at", F.timestamp_seconds("at")).drop("at")
+    check = compare_checks(listed, boards, stored, start_id=10)
+    got = sorted((r.change_id, r.resource_id, r.check_id, r.type, r.item_key) for r in check.changes.collect())
+    assert [g[0] for g in got] == list(range(11, 11 + len(got)))
+    by_check = {}
+    for _, b, c, t, k in got:
+        by_check.setdefault((b, c), set()).add((t, k))
+    assert by_check == {("b", "one"): {("JOB_ADDED", "9")}, ("b", "two"): {("JOB_ADDED", "3"), ("JOB_REMOVED", "1"), ("JOB_REMOVED", "9")},
+                        ("b", "three"): {("JOB_REMOVED", "2"), ("JOB_REMOVED", "3")}, ("q", "only"): {("JOB_ADDED", "5")}}
+    assert sorted((r.resource_id, r.key) for r in check.postings.collect()) == [("q", "1"), ("q", "5")]
+
+
+def test_snapshot_versions_swap_whole(spark, tmp_path):
+    from jobdelta.sources import sinks as K
+
+    path = str(tmp_path / "snap")
+    K.write_snapshot(postings(spark, [posting(f"r{n % 9}", f"k{n}") for n in range(90)]), path, buckets=4)
+    old = K.read_snapshot(spark, path)
+    K.write_snapshot(postings(spark, [posting("r3", "new")]), path, boards=spark.createDataFrame([("r3",), ("r4",)], "resource_id string"))
+    got = sorted((r.resource_id, r.key) for r in K.read_snapshot(spark, path).collect())
+    assert ("r3", "new") in got and not any(b == "r4" for b, _ in got) and len(got) == 71
+    assert old.count() == 90                                                                # a reader of the version before still sees it whole
+    one = K.read_snapshot(spark, path, spark.createDataFrame([("r3",)], "resource_id string"))
+    assert len(one.inputFiles()) < len(K.read_snapshot(spark, path).inputFiles())           # only the buckets of the boards asked for
+    K.drop_versions(spark, path, keep=1)
+    assert sorted((r.resource_id, r.key) for r in K.read_snapshot(spark, path).collect()) == got
+
+
+def test_diff_plan_has_no_sort_aggregate(spark):
+    df = postings(spark, [posting("r", "a")])
+    assert "SortAggregate" not in dedupe_postings(df)._jdf.queryExecution().toString()
+    plan = diff_postings(df, df.withColumn("title", F.lit("x")))._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan
 
 
 def test_last_duplicate_wins(spark):

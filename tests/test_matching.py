@@ -104,9 +104,9 @@ def brute(jobs, watches):
     return out
 
 
-@pytest.mark.parametrize("salts", [1, 5])
-def test_percolation_equals_the_plain_join(spark, salts):
-    r = random.Random(7)
+@pytest.mark.parametrize("seed", [7, 8])
+def test_percolation_equals_the_plain_join(spark, seed):
+    r = random.Random(seed)
     words = ["ios", "java", "c++", ".net", "engineers", "data", "new york", "buses", "&", "c", "lead", "node.js"]
     jobs = [posting(f"r{r.randrange(4)}", f"k{n}", " ".join(r.choices(words, k=3)).title(), location=r.choice([None, "Oslo", "New York", "Lima (remote)"]),
                     other_locations=r.choice([None, ["Rome", "c++ town"]]), department=r.choice(["", "Data"]), remote=r.random() < .3,
@@ -116,14 +116,14 @@ def test_percolation_equals_the_plain_join(spark, salts):
     watches = []
     for n in range(160):
         watches.append({
-            "watch_id": f"w{n}", "resource_id": r.choice([None, None, "r1"]), "keywords": pick(["ios", "c++", ".net", "bus", "&", "new york", "engineer", "java"], .4),
+            "watch_id": f"w{n}", "resource_id": r.choice([None, None, "r1"]), "keywords": pick(["ios", "c++", ".net", "bus", "&", "new york", "engineer", "java", "data lead", "ios c++ data", "lead engineer"], .4),
             "all_keywords": pick(["data", "c", "lead", "node.js", "+"], .2), "exclude_keywords": pick(["java", "lead"], .3), "locations": pick(["oslo", "new york", "c++ town"], .2),
             "seniority": pick(["senior", "staff"], .2), "remote_only": r.random() < .15, "min_salary": r.choice([None, None, 60_000.0, 1_500_000.0]),
             "max_experience_years": r.choice([None, None, 0.0, 3.0]), "include_unknown": r.random() < .5})
     cols = ["watch_id", "resource_id", *L.LISTS, "remote_only", "min_salary", "max_experience_years", "include_unknown"]
     schema = "watch_id string, resource_id string, " + ", ".join(f"{c} {L.TYPES[c]}" for c in cols[2:])
     wdf = spark.createDataFrame([tuple(w[c] for c in cols) for w in watches], schema)
-    got = [tuple(x) for x in percolate(S._as_events(postings(spark, jobs)), wdf, carry=["resource_id", "item_key"], salts=salts)
+    got = [tuple(x) for x in percolate(S._as_events(postings(spark, jobs)), wdf, carry=["resource_id", "item_key"])
            .select("resource_id", "item_key", "watch_id").collect()]
     assert len(got) == len(set(got)) and set(got) == brute(jobs, watches)
 
@@ -145,3 +145,36 @@ def test_normalised_values_agree_with_columns(spark):
              "seniority": ["boss", "mid"], "include_unknown": None}
     df = spark.createDataFrame([tuple(given.get(c) for c in L.LISTS + L.OTHERS)], ", ".join(f"{c} {L.TYPES[c]}" for c in L.LISTS + L.OTHERS))
     assert L.normalize_filters(df).first().asDict() == L.normalize_values(**given)
+
+
+def test_unread_starts_below_the_join(spark):
+    """Changes that every watch has read are filtered before the join, and no watch sees one below its own cursor."""
+    from jobdelta.operators.delivery import unread
+
+    jobs = S._as_events(postings(spark, [posting("r1", f"k{n}", "Java Engineer") for n in range(30)])).withColumn("change_id", F.substring("item_key", 2, 9).cast("bigint"))
+    watches = spark.createDataFrame([("w1", "c", None, ["java"], 10, 0, None), ("w2", "c", "r1", ["engineer"], 20, 0, None), ("w3", "c", None, ["java"], 0, 0, "gone")],
+                                    "watch_id string, client_id string, resource_id string, keywords array<string>, cursor_id long, baseline long, deleted_at string")
+    out = unread(jobs, watches)
+    assert sorted((r.watch_id, r.change_id) for r in out.collect()) == [("w1", n) for n in range(11, 30)] + [("w2", n) for n in range(21, 30)]
+    assert {"job", "summary"} & set(out.columns) <= {"job"} and "_floor" not in out.columns
+
+
+def test_deleted_watches_stay_where_they_are(spark):
+    from jobdelta.operators.delivery import ack, advance
+
+    watches = spark.createDataFrame([("w1", "c", 5, None), ("w2", "c", 5, "gone")], "watch_id string, client_id string, cursor_id long, deleted_at string")
+    moved = advance(watches, spark.createDataFrame([("c", 9)], "client_id string, cursor long"))
+    assert {r.watch_id: r.cursor_id for r in moved.collect()} == {"w1": 9, "w2": 5}
+    log = spark.createDataFrame([(20,)], "change_id long")
+    acked = ack(watches, spark.createDataFrame([("c", None, 12), ("c", "w2", 13)], "client_id string, watch_id string, cursor long"), log)
+    assert {r.watch_id: r.cursor_id for r in acked.collect()} == {"w1": 12, "w2": 5}
+
+
+def test_filters_are_not_cut(spark):
+    words = [f"t{n}" for n in range(50)]
+    given = L.normalize_values(keywords=words, min_salary=4e9, max_experience_years=75)
+    assert given["keywords"] == words and given["min_salary"] == L.TOP and given["max_experience_years"] == 75
+    with pytest.raises(ValueError):
+        S.search_open(postings(spark, [posting("r", "a")]), limit=0)
+    many = postings(spark, [posting("r", f"k{n}", "Java") for n in range(150)])
+    assert S.search_open(many, limit=140, keywords=["java"]).count() == 140
