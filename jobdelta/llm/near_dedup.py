@@ -5,12 +5,13 @@ a prefix of signature values of their own; classes with the same prefix are a re
 
 1. In each region every class is a neighbour of the region's first. Each class is checked against the neighbour
    with which it shares most regions. What links becomes components.
-2. Regions that still hold several components compare classes of different components: pairs whose signatures
-   rule out the similarity go, the rest is checked. Regions with many such classes go deeper first: longer
-   prefixes, with as many more orders as keep the chance of missing a pair as small.
+2. Regions that still hold several components compare classes of different components by long sketches, without
+   writing the pairs down: first only as many likely links as would join the components, one per component at
+   most; then, with the components that these make, every pair that the sketches do not rule out.
 
-Every link is confirmed on the full sets. A pair at the threshold shares no region of 16 trees of depth 3 with
-a chance of 0.0002, and less the more alike it is.
+Crowded regions go deeper first: longer prefixes, with as many more orders as keep the chance of missing a pair
+as small. Every link is confirmed on the full sets. A pair at the threshold shares no region of 16 trees of depth
+3 with a chance of 0.0002, and less the more alike it is.
 """
 
 from __future__ import annotations
@@ -28,32 +29,46 @@ PERCENT = 75  # intersection of at least so many percent of the union
 VALUES = 128  # of a signature
 TREES, DEPTH = 16, 3
 DEEP_TREES, DEEP_DEPTH = 64, 8
-CROWDED = 512  # classes in a region with several components, beyond which it goes deeper
-#: Signatures that agree in fewer values rule out the similarity: five standard errors below the threshold.
-LEAST_EQUAL = int(VALUES * PERCENT / 100 - 5 * (VALUES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
+CROWDED = 2048  # classes in a region with several components, beyond which it goes deeper; rows that one comparison holds
+SKETCH = 2048  # bits of a sketch: one of each further MinHash value, which agrees with chance (1 + similarity) / 2
+_SHARE = (1 + PERCENT / 100) / 2
+_ERROR = (SKETCH * _SHARE * (1 - _SHARE)) ** 0.5
+#: Sketches that agree in fewer bits rule the similarity out; in more, they all but prove it: 4.5 standard errors.
+LEAST_EQUAL, SURELY_EQUAL = int(SKETCH * _SHARE - 4.5 * _ERROR), int(SKETCH * _SHARE + 4.5 * _ERROR)
 BITMAP_BITS = 1 << 25
 
-_FACTORS = (mixed(np.arange(1, VALUES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_SHIFTS = (mixed(np.arange(1, VALUES + 1, dtype=np.uint64) + np.uint64(1 << 40)) >> np.uint64(32)).astype(np.uint32)
+def _numbers(first: int, n: int) -> np.ndarray:
+    return (mixed(np.arange(first, first + n, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash values of each set, which must not be empty: one row of VALUES unsigned 32-bit numbers."""
+def minima(sets: list[np.ndarray], first: int, n: int) -> np.ndarray:
+    """MinHash values of each set, which must not be empty, under the hash functions first, first + 1 ...: one row of n unsigned 32-bit numbers."""
     lengths = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
     starts = np.cumsum(lengths) - lengths
     keys = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(sets), VALUES), dtype=np.uint32)
-    held = np.empty_like(keys)
-    for k in range(VALUES):
-        np.multiply(keys, _FACTORS[k], out=held)
-        np.add(held, _SHIFTS[k], out=held)
+    factors, shifts = _numbers(1 + first, n) | np.uint32(1), _numbers((1 << 40) + first, n)
+    out = np.empty((len(sets), n), dtype=np.uint32)
+    held, high = np.empty_like(keys), np.empty_like(keys)
+    for k in range(n):
+        np.multiply(keys, factors[k], out=held)
+        np.add(held, shifts[k], out=held)
         # The low bits of a product are its weakest: mix the high ones in before comparing.
-        np.bitwise_xor(held, held >> np.uint32(15), out=held)
+        np.right_shift(held, np.uint32(15), out=high)
+        np.bitwise_xor(held, high, out=held)
         np.multiply(held, np.uint32(0x2C1B3C6D), out=held)
         out[:, k] = np.minimum.reduceat(held, starts)
     return out
 
 
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    return minima(sets, 0, VALUES)
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """One bit of each of SKETCH further MinHash values, packed into bytes."""
+    return np.packbits((minima(sets, VALUES, SKETCH) >> np.uint32(7)) & np.uint32(1) == 1, axis=1)
+
+
 def _shingled(batches):
     """Per document: id, set size, 128-bit digest of the set, signature (empty for an empty set)."""
     for big in batches:
@@ -99,12 +114,11 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids whose full shingle sets are similar enough."""
-    spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bitmap(pairs.select("a").union(pairs.select("b")).distinct()))
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, members (the full shingle set), n, sketch of the nodes, and of a few more: a small bitmap picks the rows, no text is shuffled."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(nodes))
 
-    def sets(batches):
+    def run(batches):
         for big in batches:
             at = _bucket(big.column("doc_id").to_numpy(zero_copy_only=False), BITMAP_BITS)
             asked = (bits.value[at >> 3] >> (at & 7)) & 1
@@ -112,7 +126,18 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             if some.num_rows:
                 for b in sized(some, "text", 1 << 20):
                     own = shingle_sets(*bytes_of(b.column("text")))
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in own], pa.binary())], names=["node", "members"])
+                    full = np.asarray([len(x) > 0 for x in own])
+                    own = [x for x in own if len(x)]
+                    if own:
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column("doc_id").filter(pa.array(full)), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64()),
+                             pa.array([x.tobytes() for x in sketches(own)], pa.binary())], names=["node", "members", "n", "sketch"])
+
+    return written(docs.mapInArrow(run, "node long, members binary, n long, sketch binary"), "near-sets")
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def check(batches):
         for b in batches:
@@ -121,54 +146,128 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
-                if 100 * len(x) < PERCENT * len(y):
-                    good.append(False)
-                    continue
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                both = 0
+                if 100 * len(x) >= PERCENT * len(y):
+                    at = np.searchsorted(y, x)
+                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    table = written(docs.mapInArrow(sets, "node long, members binary"), "near-sets")
-    joined = pairs.join(table.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(table.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    one, other = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    return written(written(pairs, "near-pairs").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near-links")
 
 
-def _regions(classes: DataFrame, deep: bool) -> DataFrame:
-    """region, node: one row for each tree; a region is a hash of the tree and its prefix of the signature."""
-    if deep:
-        rng = np.random.default_rng(DEEP_DEPTH)
-        orders = [sorted(rng.choice(VALUES, DEEP_DEPTH, replace=False).tolist()) for _ in range(DEEP_TREES)]
-    else:
-        orders = [list(range(t * DEPTH, (t + 1) * DEPTH)) for t in range(TREES)]
-    keys = [F.xxhash64(F.lit(len(order) * 1000 + t), F.concat(*[F.substring("signature", 4 * p + 1, 4) for p in order])) for t, order in enumerate(orders)]
-    return classes.select("node", F.explode(F.array(*keys)).alias("region"))
+def _orders(deep: bool) -> list[list[int]]:
+    """Which signature values are the prefix of each tree."""
+    if not deep:
+        return [list(range(t * DEPTH, (t + 1) * DEPTH)) for t in range(TREES)]
+    rng = np.random.default_rng(DEEP_DEPTH)
+    return [sorted(rng.choice(VALUES, DEEP_DEPTH, replace=False).tolist()) for _ in range(DEEP_TREES)]
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose signatures don't rule the similarity out."""
+def _regions(classes: DataFrame, deep: bool = False) -> DataFrame:
+    """region, tree, node and keys (of its regions in all trees) of classes that share a region with others."""
+    prefixes = [F.concat(*[F.substring("signature", 4 * p + 1, 4) for p in order]) for order in _orders(deep)]
+    keyed = classes.select("node", F.array(*[F.hash(p) for p in prefixes]).alias("keys"),
+                           F.posexplode(F.array(*[F.xxhash64(F.lit(len(prefixes) + t * 1000), p) for t, p in enumerate(prefixes)])).alias("tree", "region"))
+    several = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
+    return keyed.join(several, "region", "left_semi")
 
-    def run(batches):
-        for b in batches:
-            x = np.frombuffer(bytes_of(b.column("x"))[0].tobytes(), dtype="<u4").reshape(-1, VALUES)
-            y = np.frombuffer(bytes_of(b.column("y"))[0].tobytes(), dtype="<u4").reshape(-1, VALUES)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST_EQUAL))
 
-    known = classes.select("node", "signature")
-    joined = pairs.join(known.select(F.col("node").alias("a"), F.col("signature").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("signature").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def _mixed(regions: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of regions that hold several parts, with their part and `rows`, how many the region has."""
+    placed = regions.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    several = placed.groupBy("region").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high")
+    return placed.join(several.select("region", "rows"), "region")
 
 
-def _across(regions: DataFrame, parts: DataFrame) -> DataFrame:
-    """region, node, part of the regions that hold several parts, with n, how many rows the region has."""
-    placed = regions.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    mixed_ = placed.groupBy("region").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    return written(placed.join(mixed_.select("region", "n"), "region"), "near-across")
+def _compare(rows: list, joining: bool) -> list[tuple[int, int]]:
+    """Likely links between the parts of one region's rows (node, part, n, tree, block, keys, sketch).
+
+    `joining`: no more than would join the parts; else all of them, each in the first tree that the two share.
+    """
+    node, part, n, tree, block, keys, sketch = rows
+    order = np.argsort(node, kind="stable")
+    node, n, block, keys, sketch = node[order], n[order], block[order], keys[order], sketch[order]
+    _, part = np.unique(part[order], return_inverse=True)
+    up = np.arange(part.max() + 1)
+    one_block = (block == block[0]).all()
+    out, best, partner = [], np.zeros(len(node), dtype=np.int64), np.full(len(node), -1)
+
+    def join(i: int, j: int) -> None:
+        x, y = up[part[i]], up[part[j]]
+        if x != y:
+            up[up == y] = x
+            out.append((int(node[i]), int(node[j])))
+
+    for i in range(len(node) - 1):
+        fits = (up[part[i + 1 :]] != up[part[i]]) & (100 * np.minimum(n[i], n[i + 1 :]) >= PERCENT * np.maximum(n[i], n[i + 1 :]))
+        if not one_block:
+            fits &= block[i + 1 :] != block[i]
+        if not joining and tree:
+            fits &= ~(keys[i + 1 :, :tree] == keys[i, :tree]).any(axis=1)
+        others = i + 1 + np.flatnonzero(fits)
+        if not len(others):
+            continue
+        equal = SKETCH - np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        likely = equal >= LEAST_EQUAL
+        others, equal = others[likely], equal[likely]
+        if not joining:
+            out += [(int(node[i]), int(node[j])) for j in others]
+            continue
+        for j in others[equal >= SURELY_EQUAL].tolist():
+            join(i, j)
+        if len(others):
+            k = int(equal.argmax())
+            if equal[k] > best[i]:
+                best[i], partner[i] = equal[k], others[k]
+            better = equal > best[others]
+            best[others[better]], partner[others[better]] = equal[better], i
+    for i in np.flatnonzero(partner >= 0).tolist():
+        join(i, int(partner[i]))
+    return out
+
 
+def _likely(mixed_rows: DataFrame, sets: DataFrame, joining: bool) -> DataFrame:
+    """Pairs (a, b) of `_compare` over all regions. A region of more rows than one comparison holds is split into blocks,
+    and every two blocks meet."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.when(F.col("rows") <= CROWDED, 1).otherwise(F.ceil(F.col("rows") / (CROWDED // 2))).cast("int")
+    rows = mixed_rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(sets.select("node", "n", "sketch"), "node") \
+        .select("region", "low", "high", "node", "part", "n", "tree", "block", "keys", "sketch")
 
-def _pairs(across: DataFrame) -> DataFrame:
-    one, other = across.select("region", F.col("node").alias("a"), F.col("part").alias("p")), across.select("region", F.col("node").alias("b"), F.col("part").alias("q"))
-    return one.join(other, "region").filter("p != q and a < b").select("a", "b").distinct()
+    def run(batches):
+        def one(b: pa.RecordBatch) -> tuple:
+            number = lambda c: b.column(c).to_numpy(zero_copy_only=False)
+            keys = np.asarray(b.column("keys").flatten()).reshape(b.num_rows, -1)
+            sketch = np.frombuffer(bytes_of(b.column("sketch"))[0].tobytes(), dtype=np.uint64).reshape(b.num_rows, -1)
+            return tuple(number(c) for c in ("region", "low", "high")), [number(c) for c in ("node", "part", "n", "tree", "block")] + [keys, sketch]
+
+        def done(pieces: list) -> pa.RecordBatch:
+            rows = [np.concatenate([p[k] for p in pieces]) for k in range(7)]
+            found = _compare([*rows[:3], int(rows[3][0]), *rows[4:]], joining) if len(rows[0]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        held, held_key = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, cols = one(b)
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            for lo, hi in zip(np.r_[0, change], np.r_[change, b.num_rows]):
+                own = tuple(int(k[lo]) for k in key)
+                if held and own != held_key:
+                    yield done(held)
+                    held = []
+                held_key = own
+                held.append([c[lo:hi] for c in cols])
+        if held:
+            yield done(held)
+
+    dealt = rows.repartition(parts, "region", "low", "high").sortWithinPartitions("region", "low", "high")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -181,24 +280,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     texts = texts_of(docs)
     table = written(texts.mapInArrow(_shingled, "doc_id long, n_shingles long, set_a long, set_b long, signature binary"), "near-signatures")
-    known = texts.filter("doc_id is not null")
     # One row for each distinct set, under its smallest id; copies meet in partial aggregates.
     classes = written(table.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
                       .agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "near-classes")
+    regions = written(_regions(classes), "near-regions")
+    sets = _sets(texts.filter("doc_id is not null"), regions.select("node").distinct())
 
-    regions = written(_regions(classes, False), "near-regions")
-    first = regions.groupBy("region").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("region", "a")
-    shared = regions.withColumnRenamed("node", "b").join(first, "region").filter("a < b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
+    first = regions.groupBy("region").agg(F.min("node").alias("a"))
+    shared = regions.select("region", F.col("node").alias("b")).join(first, "region").filter("a < b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
     best = shared.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    links = written(_confirmed(known, written(best, "near-pairs")), "near-links")
-    parts = written(components(links).select("node", F.col("component").alias("part")), "near-parts")
-
-    across = _across(regions, parts)
-    crowd = written(across.filter(F.col("n") > CROWDED).select("node").distinct(), "near-crowd")
-    deeper = _across(_regions(classes.join(crowd, "node", "left_semi"), True), parts)
-    pairs = _pairs(across.filter(F.col("n") <= CROWDED)).union(_pairs(deeper)).distinct()
-    more = written(_confirmed(known, written(_likely(pairs, classes), "near-pairs")), "near-links")
-    groups = components(links.union(more))
+    links = _confirmed(sets, best)
+    for joining in (True, False):
+        parts = written(components(links).select("node", F.col("component").alias("part")), "near-parts")
+        across = written(_mixed(regions, parts), "near-across")
+        crowd = across.filter(F.col("rows") > CROWDED).select("node").distinct()
+        deeper = _mixed(_regions(classes.join(crowd, "node", "left_semi"), deep=True), parts)
+        near = across.filter(F.col("rows") <= CROWDED)
+        pairs = _likely(near, sets, joining).union(_likely(deeper, sets, joining))
+        links = links.union(_confirmed(sets, pairs))
+    groups = components(links)
 
     same = ["set_a", "set_b", "n_shingles"]
     of_class = classes.join(groups, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
