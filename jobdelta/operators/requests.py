@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobdelta.functions import request_words as W
+from jobdelta.functions.pay import mentions
 from jobdelta.functions.text import one_line
 
 CUT = " | "
@@ -93,15 +94,12 @@ def role_words(text: Column) -> Column:
         edge = F.regexp_extract(w, "^[.'’-]+(?=[^.])", 0)
         return F.regexp_replace(F.when(edge == ".", w).otherwise(F.regexp_replace(w, "^[.'’-]+(?=[^.])", "")), "[.'’-]+$", "")
 
-    stop = F.array(*[F.lit(w) for w in W.STOPWORDS])
-    named = F.filter(F.transform(words, bare), lambda w: F.rlike(w, F.lit(r"[\p{L}\p{N}]")) & ~F.array_contains(stop, w))
+    named = F.filter(F.transform(words, bare), lambda w: F.rlike(w, F.lit(r"[\p{L}\p{N}]")) & ~w.isin(list(W.STOPWORDS)))
     return F.transform(named, _singular)
 
 
 def _pays(rest: Column) -> Column:
     """Amounts that look like pay: the words they were written in, yearly figure, currency, whether a ceiling."""
-    g = [F.regexp_extract_all(rest, F.lit(_re(PAY)), F.lit(i)).alias(f"g{i}") for i in range(10)]
-
     def pay(m: Column) -> Column:
         unit = F.lower(F.coalesce(F.nullif(m["g8"], F.lit("")), m["g9"]))
         period = F.when(unit.isin("hour", "hr", "hourly"), 2080).when(unit.isin("month", "mo", "monthly"), 12).when(unit != "", 1)
@@ -110,36 +108,34 @@ def _pays(rest: Column) -> Column:
         meant = F.when((value < 1000) & period.isNull() & (m["g6"] == ""), value * 1000).otherwise(value)
         currency = F.create_map(*[F.lit(x) for kv in W.CURRENCIES.items() for x in kv])
         return F.struct(
-            seen.alias("seen"), m["g0"].alias("whole"), (m["g3"] != "").alias("ceiling"),
+            seen.alias("seen"), m["whole"].alias("whole"), (m["g3"] != "").alias("ceiling"),
             F.floor(meant * F.coalesce(period, F.lit(1)) + 0.5).cast("bigint").alias("annual"),
             F.try_element_at(currency, F.lower(F.coalesce(F.nullif(m["g4"], F.lit("")), m["g7"]))).alias("currency"))
 
-    return F.filter(F.transform(F.arrays_zip(*g), pay), lambda p: p["seen"])
+    return F.filter(F.transform(mentions(rest, _re(PAY), 9), pay), lambda p: p["seen"])
 
 
 def _drop_region(part: Column) -> Column:
     """"austin texas" or "austin tx" is the city."""
-    words, regions = F.split(part, " "), F.array(*[F.lit(r) for r in W.REGIONS])
-    codes = F.array(*[F.lit(c) for c in W.STATE_CODES])
+    words, regions = F.split(part, " "), list(W.REGIONS)
     last = lambda n: F.array_join(F.slice(words, -n, n), " ")
     head = lambda n: F.array_join(F.slice(words, F.lit(1), F.size(words) - n), " ")
     size = F.size(words)
-    return F.when(F.when(size > 2, F.array_contains(regions, last(2))), head(2)) \
-        .when(F.when(size > 1, F.array_contains(regions, last(1)) | F.array_contains(codes, last(1))), head(1)).otherwise(part)
+    return F.when(F.when(size > 2, last(2).isin(regions)), head(2)) \
+        .when(F.when(size > 1, last(1).isin([*regions, *W.STATE_CODES])), head(1)).otherwise(part)
 
 
 def places_in(phrase: Column, aliases: dict[str, list[str]] | None = None) -> Column:
     """Towns a place phrase names; metro areas and other names stand for their towns, a state only narrows its city."""
     table = W.place_aliases() if aliases is None else aliases
     names = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
-    regions = F.array(*[F.lit(r) for r in W.REGIONS])
     groups = F.split(F.lower(phrase), r"\s*(?:\s+or\s+|\s+and\s+|/|;|&)\s*")
 
     def of_part(raw: Column, i: Column) -> Column:
         end = lambda c: F.regexp_replace(c, r"[.!?]+$", "")
         part = F.regexp_replace(F.regexp_replace(raw, r"^(?:the|greater)\s+", ""), r"\s+(?:metro(?:politan)?\s+area|metro|area|region)$", "")
         part, named = F.trim(end(part)), end(F.regexp_replace(F.trim(raw), r"^the\s+", ""))
-        narrows = (part == "") | ((i > 0) & ((F.length(part) <= 2) | F.array_contains(regions, part)))
+        narrows = (part == "") | ((i > 0) & ((F.length(part) <= 2) | part.isin(list(W.REGIONS))))
         city = _drop_region(part)
         known = F.coalesce(*[F.try_element_at(names, x) for x in (named, part, city)], F.array(city))
         return F.when(narrows, F.array().cast("array<string>")).otherwise(known)
@@ -159,7 +155,7 @@ def interpret_requests(
     product name that requests may mention; it is not part of the role.
     """
     none = F.array().cast("array<string>")
-    text = F.concat(F.lit(" "), one_line(F.coalesce(F.col(column), F.lit(""))), F.lit(" "))
+    text = F.concat(F.lit(" "), one_line(F.translate(F.coalesce(F.col(column), F.lit("")), "\x01\x02\x03", "   ")), F.lit(" "))
     text = F.regexp_replace(text, _re(LINK), r" \| ")
     if service:
         mention = (r"\b(?:(?:please|hey|hi|hello)[\s,!]+)*(?:(?:use|using|via|with|through|ask|on)\s+)?"
@@ -187,12 +183,10 @@ def interpret_requests(
         "notes": F.transform(F.filter("_pays", lambda p: p["ceiling"]), note),
         "_rest": _cut_each(rest, F.transform("_pays", lambda p: p["whole"]))})
 
-    stop = F.array(*[F.lit(w) for w in [*W.STOPWORDS, "remote"]])
+    stop = [*W.STOPWORDS, "remote"]
     word = lambda m: _singular(F.regexp_replace(F.lower(m), "[.,]+$", ""))
     step(lambda rest: {"_out": F.filter(F.transform(
-        F.arrays_zip(F.regexp_extract_all(rest, F.lit(_re(EXCLUDE)), F.lit(0)).alias("whole"),
-                     F.regexp_extract_all(rest, F.lit(_re(EXCLUDE)), F.lit(1)).alias("name")),
-        lambda m: F.struct(m["whole"].alias("whole"), word(m["name"]).alias("word"))), lambda m: ~F.array_contains(stop, m["word"]))})
+        mentions(rest, _re(EXCLUDE), 1), lambda m: F.struct(m["whole"].alias("whole"), word(m["g1"]).alias("word"))), lambda m: ~m["word"].isin(stop))})
     step(lambda rest: {"exclude_keywords": F.array_distinct(F.transform("_out", lambda m: m["word"])),
                        "_rest": _cut_each(rest, F.transform("_out", lambda m: m["whole"]))})
 
@@ -216,15 +210,15 @@ def interpret_requests(
         step(lambda rest: {"seniority": F.when(F.rlike(rest, F.lit(_re(p))), F.array_append("seniority", F.lit(level))).otherwise(F.col("seniority")),
                            "_rest": F.regexp_replace(rest, _re(p), " ")})
 
-    generic = F.array(*[F.lit(w) for w in W.GENERIC])
+    generic = list(W.GENERIC)
     either = F.rlike(F.replace("_rest", F.lit("|"), F.lit(" ")), F.lit(r"(?i)\sor\s|/"))
     phrases = F.transform(F.split(F.lower("_rest"), r"\s+or\s+|/|\|"), lambda g: F.array_join(
-        F.filter(role_words(g), lambda w: ~F.array_contains(generic, w)), " "))
+        F.filter(role_words(g), lambda w: ~w.isin(generic)), " "))
     step(lambda rest: {
         "_words": F.array_distinct(role_words(rest)),
         "_phrases": F.when(either, F.array_distinct(F.filter(phrases, lambda p: p != ""))).otherwise(none), "_either": either})
-    step(lambda rest: {"_own": F.filter("_words", lambda w: ~F.array_contains(generic, w)),
-                       "_plain": F.filter("_words", lambda w: F.array_contains(generic, w))})
+    step(lambda rest: {"_own": F.filter("_words", lambda w: ~w.isin(generic)),
+                       "_plain": F.filter("_words", lambda w: w.isin(generic))})
     several = (F.size("_phrases") == 0) & (F.size("_own") > 1) & ~F.col("_either")
     keywords = F.when(F.size("_phrases") > 0, F.col("_phrases")) \
         .when((F.size("_own") == 0) & (F.size("_plain") > 0), F.array(F.array_join("_plain", " "))) \
