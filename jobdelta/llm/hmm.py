@@ -27,10 +27,11 @@ from jobdelta.llm.common import fold, sized, texts_of, written
 FOLDS, HELD_OUT = 10, 0
 SYMBOLS = 16_000  # frequent words that are symbols of their own
 ENDINGS = 1_500  # symbols that the other words share
-CARRIED = 1 << 18  # frequent words whose counts every worker holds
+CARRIED = 1 << 17  # frequent words whose counts every worker holds
 STATES, ROUNDS = 8, 5
 SEGMENT = 512  # tokens: Baum-Welch trains on stretches of whole texts; scores are of whole sequences
-SEEDS = 2048  # segments from which the first model is drawn
+SEEDS = 2048  # segments from which the first model is drawn, by their most frequent symbols
+SEED_SYMBOLS = 2000
 SMOOTHING = 0.1  # of word counts
 BACKGROUND = 200.0  # symbols of the overall distribution that every state is given
 STICKY = 0.95  # first chance to stay in a state
@@ -83,9 +84,9 @@ def count_words(train: DataFrame) -> Vocabulary:
     table = written(train.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "hmm-words")
     texts = train.count()
     total = table.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = table.orderBy(F.col("n").desc(), "word").limit(CARRIED).collect()
-    counts = np.asarray([r["n"] for r in top], dtype=np.int64)
-    carried = [r["word"].encode() for r in top]
+    top = table.orderBy(F.col("n").desc(), "word").limit(CARRIED).toArrow()
+    counts = top.column("n").to_numpy()
+    carried = top.column("word").cast(pa.binary()).to_pylist()
     # Totals of the words that share a symbol: those beyond the first, whatever their number, by ending.
     mass, kinds = np.zeros(ENDINGS), np.zeros(ENDINGS)
 
@@ -256,10 +257,9 @@ def _expectation(m: Model):
 def first_model(sample: list[np.ndarray], width: int, states: int = STATES) -> Model:
     """States from a clustering of sampled segments by the symbols they hold: a start that Baum-Welch leaves behind."""
     overall = np.bincount(np.concatenate(sample), minlength=width) + 1e-3
-    hist = np.stack([np.bincount(x, minlength=width).astype(np.float32) for x in sample])
-    unit = np.sqrt(hist)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    picked = [int(np.argmax(hist.sum(axis=1)))]
+    unit = np.sqrt(np.stack([np.bincount(x[x < SEED_SYMBOLS], minlength=SEED_SYMBOLS).astype(np.float32) for x in sample]))
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
+    picked = [int(np.argmax([len(x) for x in sample]))]
     near = unit @ unit[picked[0]]
     while len(picked) < min(states, len(sample)):
         picked.append(int(np.argmin(near)))
@@ -268,8 +268,9 @@ def first_model(sample: list[np.ndarray], width: int, states: int = STATES) -> M
     for _ in range(6):
         own = (unit @ centres.T).argmax(axis=1)
         centres = np.stack([unit[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
-        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-    emit = np.stack([hist[own == c].sum(axis=0) + BACKGROUND * overall / overall.sum() for c in range(len(centres))], axis=1)
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+    emit = np.stack([np.bincount(np.concatenate([x for x, o in zip(sample, own) if o == c] or [np.zeros(0, dtype=np.int64)]), minlength=width) + BACKGROUND * overall / overall.sum()
+                     for c in range(len(centres))], axis=1)
     while emit.shape[1] < states:
         emit = np.hstack([emit, overall[:, None]])
     k = emit.shape[1]
