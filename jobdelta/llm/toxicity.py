@@ -158,15 +158,18 @@ class Scorer:
 
 
 def _sample(labels: DataFrame, examples: int) -> tuple[DataFrame, dict[int, float]]:
-    """doc_id, y of at most `examples` rows per label, and how many labelled rows each stands for.
+    """doc_id, y of at most `examples` rows per label, and how many rows each label has.
 
     Rows that repeat an id are one row, toxic if any of them is.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(fold("doc_id", FOLDS) != HELD_OUT) \
         .groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(examples) for y in (0, 1)]
-    return picked[0].union(picked[1]), {y: n.get(y, 0) / max(1, min(n.get(y, 0), examples)) for y in (0, 1)}
+    # By a hash of the id, a little under the bound on average, so that no task has to see all rows of a label.
+    part = {y: min(1.0, 0.97 * examples / max(1, n.get(y, 0))) for y in (0, 1)}
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.when(F.col("y") == 1, int(part[1] * (1 << 30))).otherwise(int(part[0] * (1 << 30)))
+    picked = [known.filter(drawn & (F.col("y") == y)).limit(examples) for y in (0, 1)]
+    return picked[0].union(picked[1]), n
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +185,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
     """Fit on at most `examples` labelled rows per label outside the held-out fold; frequencies are of all documents."""
     texts = texts_of(docs)
-    sample, weight = _sample(labels, examples)
+    sample, labelled = _sample(labels, examples)
     # At most 2 * examples ids, so the sample may be sent to every executor.
     chosen = texts.join(F.broadcast(sample), texts["doc_id"] == sample["id"]).select("doc_id", "text", "y").dropDuplicates(["doc_id"])
     chosen = written(chosen, "toxicity-sample")
@@ -190,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
     rows = chosen.groupBy("y").count().collect()
     n = {0: 0, 1: 0} | {r["y"]: r["count"] for r in rows}
+    weight = {y: labelled.get(y, 0) / max(1, n[y]) for y in (0, 1)}  # labelled rows that a sampled one stands for
     prior = (weight[1] * n[1] + 0.5) / (weight[1] * n[1] + weight[0] * n[0] + 1)
     # Terms that speak for the label: seen often enough, mostly in toxic rows, by chi-square.
     expected = (F.col("a") + F.col("b")) * n[1] / max(1, n[0] + n[1])

@@ -177,4 +177,6 @@ def test_packing_in_many_blocks(spark):
         assert fill.get(r.sequence_id, 0) == r.offset
         fill[r.sequence_id] = r.offset + sizes[r.key]
     assert max(fill.values()) <= 2048
-    assert len(fill) <= 1.02 * sum(sizes) / 2048 + 1
+    # Nearly as few as best fit over all documents at once, although no task saw more than about 200 of them.
+    alone = packing.best_fit(np.asarray(sizes), np.full(len(sizes), -1), np.arange(len(sizes)), 2048)
+    assert len(fill) <= 1.01 * (alone.max() + 1) + 2
