@@ -80,11 +80,26 @@ class Vocabulary:
     shares: np.ndarray  # log10 denominators of words that share a symbol, by ending
 
 
+def _least_count(table: DataFrame, most: int) -> int:
+    """The count that at most `most` words reach, from a histogram whose size does not depend on the table: exact
+    for small counts, in steps of a sixteenth of a doubling above."""
+    n = F.col("n")
+    step = F.when(n <= 1024, n).otherwise(1024 + F.floor(F.log2(n / 1024) * 16)).cast("long")
+    rows = table.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
+    total, least = 0, 2**62
+    for r in sorted(rows, key=lambda r: -r["step"]):
+        total += r["words"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
+
+
 def count_words(train: DataFrame) -> Vocabulary:
     table = written(train.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "hmm-words")
     texts = train.count()
     total = table.agg(F.sum("n"), F.count(F.lit(1))).first()
-    top = table.orderBy(F.col("n").desc(), "word").limit(CARRIED).toArrow()
+    top = table.filter(F.col("n") >= _least_count(table, CARRIED)).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     counts = top.column("n").to_numpy()
     carried = top.column("word").cast(pa.binary()).to_pylist()
     # Totals of the words that share a symbol: those beyond the first, whatever their number, by ending.
@@ -289,9 +304,12 @@ def maximised(rows: np.ndarray, width: int, states: int) -> Model:
 
 def train(encoded: DataFrame, width: int, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, list[float]]:
     """Baum-Welch over the symbol sequences of all training rows; also the log10 likelihood per token before each round."""
-    learn = encoded.filter("train").select("symbols")
-    # A fixed number of rows, chosen by their own hash, from which the first model is drawn.
-    seeds = [np.frombuffer(r["symbols"], dtype="<u2")[:SEGMENT].astype(np.int64) for r in learn.orderBy(F.xxhash64("symbols")).select(F.substring("symbols", 1, 2 * SEGMENT).alias("symbols")).limit(SEEDS).collect()]
+    learn = encoded.filter("train").select("key", "symbols")
+    # About so many rows, chosen by a hash of their key, from whose beginnings the first model is drawn.
+    every = max(1, learn.count() // SEEDS)
+    drawn = learn.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select("key", F.substring("symbols", 1, 2 * SEGMENT).alias("symbols")).limit(2 * SEEDS).collect()
+    seeds = [np.frombuffer(r["symbols"], dtype="<u2").astype(np.int64) for r in sorted(drawn, key=lambda r: r["key"])]
+    learn = learn.select("symbols")
     if not seeds:
         return Model(np.full(states, 1 / states), np.full((states, states), 1 / states), np.full((width, states), 1 / width)), []
     m, course = first_model(seeds, width, states), []

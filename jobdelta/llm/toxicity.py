@@ -27,7 +27,8 @@ from jobdelta.llm.common import fold, once, sized, texts_of, written
 FOLDS, HELD_OUT = 5, 0
 EXAMPLES = 8192  # labelled rows per label that the classifier is fitted on, at most
 TERMS = 1024  # terms of the space, at most
-NEIGHBOURS = 12
+NEIGHBOURS = 24  # distinct vectors that vote
+LEAST_SEEN = 3  # toxic examples that hold a term
 BLOCK = 64  # index entries in a block
 PRIOR_WEIGHT = 1.0  # examples that the share of toxic rows counts for in a vote
 
@@ -151,8 +152,10 @@ class Scorer:
         toxic, total, shown = PRIOR_WEIGHT * m.prior, PRIOR_WEIGHT, []
         for cosine, entry in near:
             yes, all_ = m.votes[entry]
-            toxic += cosine * cosine * yes
-            total += cosine * cosine * all_
+            # Equal examples speak louder than one, but less than their number: they are often copies.
+            strength = cosine * cosine * math.sqrt(all_)
+            toxic += strength * yes / all_
+            total += strength
             shown.append((m.ids[entry], cosine, yes / all_))
         return toxic / total, shown, [m.terms[t] for t in sorted(counts, key=lambda t: (-m.idf[t], t))]
 
@@ -198,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
     # Terms that speak for the label: seen often enough, mostly in toxic rows, by chi-square.
     expected = (F.col("a") + F.col("b")) * n[1] / max(1, n[0] + n[1])
     share = weight[1] * F.col("a") / (weight[1] * F.col("a") + weight[0] * F.col("b"))
-    picked = counts.filter((F.col("a") >= 5) & (F.col("a") > expected) & (share >= 0.5)).withColumn("chi", (F.col("a") - expected) ** 2 / expected)
+    picked = counts.filter((F.col("a") >= LEAST_SEEN) & (F.col("a") > expected) & (share >= 0.5)).withColumn("chi", (F.col("a") - expected) ** 2 / expected)
     names = [r["term"] for r in picked.orderBy(F.col("chi").desc(), "term").limit(terms).select("term").collect()]
     idf = _idf(texts, names)
     model = Model(names, idf, [], [], [], prior, prior)
