@@ -23,7 +23,7 @@ from jobdelta.llm.pretokens import UnitCache, Vocabulary, find
 class Encoder:
     """Exact ids of texts under one byte-level BPE file."""
 
-    PAIRS = 1 << 20  # pairs remembered; a full memory starts anew
+    PAIRS = 1 << 17  # pairs remembered; a full memory starts anew
 
     def __init__(self, path: str):
         v = self.vocabulary = Vocabulary(path)

@@ -232,7 +232,7 @@ class Steps:
         return first, moves * m.move, alpha, float(logs.sum())
 
 
-def _groups(column: pa.Array, tokens: int = 400_000, segment: int | None = None) -> Iterator[list[np.ndarray]]:
+def _groups(column: pa.Array, tokens: int = 200_000, segment: int | None = None) -> Iterator[list[np.ndarray]]:
     held, size = [], 0
     for raw in column.to_pylist():
         x = np.frombuffer(raw, dtype="<u2")

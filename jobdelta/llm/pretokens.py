@@ -47,7 +47,7 @@ class UnitCache:
     `encode` takes a list of strings and returns a value for each. Emptying a full cache costs time only.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 200_000, longest: int = 64):
         self.encode, self.limit, self.longest, self.kept = encode, limit, longest, {}
 
     def values(self, texts: list[str]) -> list[tuple]:
