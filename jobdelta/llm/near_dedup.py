@@ -140,7 +140,7 @@ def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
 
     def check(batches):
-        for b in batches:
+        for b in (part for big in batches for part in sized(big, "x", 4 << 20)):
             good = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
                 x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobdelta.llm.common import fold, once, sized, texts_of, written
+from jobdelta.llm.common import fold, sized, texts_of, written
 
 FOLDS, HELD_OUT = 5, 0
 EXAMPLES = 8192  # labelled rows per label that the classifier is fitted on, at most
@@ -44,7 +43,7 @@ def terms_of(word: str) -> list[str]:
 class Vectors:
     """Term counts of texts, by a memory of what each blank-separated token holds."""
 
-    def __init__(self, terms: list[str], limit: int = 400_000):
+    def __init__(self, terms: list[str], limit: int = 120_000):
         self.number = {t: n for n, t in enumerate(terms)}
         self.stems = {t.rstrip("*")[:3] for t in terms}
         self.limit, self.kept = limit, {}
@@ -141,7 +140,7 @@ class Scorer:
         key = tuple(sorted(counts.items()))
         found = self.known.get(key)
         if found is None:
-            if len(self.known) > 100_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             found = self.known[key] = self._vote(counts)
         return found
@@ -256,10 +255,8 @@ def _idf(texts: DataFrame, names: list[str]) -> np.ndarray:
 
 def scorer(model: Model):
     """A column function: text to a struct of score, neighbours (evidence) and terms; null counts as empty."""
-    name = f"toxicity:{uuid.uuid4().hex}"
-
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = once(name, lambda: Scorer(model))
+        own = Scorer(model)  # of this task alone: what it remembers goes when the task ends
         for part in texts:
             out = [own.score(t or "") for t in part]
             yield pd.DataFrame({"score": [float(s) for s, _, _ in out], "neighbours": [[{"doc_id": d, "cosine": c, "toxic_share": y} for d, c, y in near] for _, near, _ in out],
