@@ -9,13 +9,15 @@ a prefix of signature values of their own; classes with the same prefix are a re
    writing the pairs down: first only as many likely links as would join the components, one per component at
    most; then, with the components that these make, every pair that the sketches do not rule out.
 
-Crowded regions go deeper first: longer prefixes, with as many more orders as keep the chance of missing a pair
-as small. Every link is confirmed on the full sets. A pair at the threshold shares no region of 16 trees of depth
-3 with a chance of 0.0002, and less the more alike it is.
+Crowded regions are compared whole, like the others: they are split into blocks, and all blocks meet whose set
+sizes allow the similarity. Every link is confirmed on the full sets. A pair at the threshold shares no region of
+16 trees of depth 3 with a chance of 0.0002, and less the more alike it is.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +30,8 @@ from jobdelta.llm.shingles import shingle_sets
 PERCENT = 75  # intersection of at least so many percent of the union
 VALUES = 128  # of a signature
 TREES, DEPTH = 16, 3
-DEEP_TREES, DEEP_DEPTH = 64, 8
-CROWDED = 2048  # classes in a region with several components, beyond which it goes deeper; rows that one comparison holds
+CROWDED = 2048  # rows that one comparison holds about; a region of more is compared block by block
+SIZE_STEP = 1.001 * 100 / PERCENT  # sets whose sizes are two such steps apart cannot be similar enough; a little more, for rounding
 SKETCH = 2048  # bits of a sketch: one of each further MinHash value, which agrees with chance (1 + similarity) / 2
 _SHARE = (1 + PERCENT / 100) / 2
 _ERROR = (SKETCH * _SHARE * (1 - _SHARE)) ** 0.5
@@ -157,17 +159,14 @@ def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(written(pairs, "near-pairs").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near-links")
 
 
-def _orders(deep: bool) -> list[list[int]]:
+def _orders() -> list[list[int]]:
     """Which signature values are the prefix of each tree."""
-    if not deep:
-        return [list(range(t * DEPTH, (t + 1) * DEPTH)) for t in range(TREES)]
-    rng = np.random.default_rng(DEEP_DEPTH)
-    return [sorted(rng.choice(VALUES, DEEP_DEPTH, replace=False).tolist()) for _ in range(DEEP_TREES)]
+    return [list(range(t * DEPTH, (t + 1) * DEPTH)) for t in range(TREES)]
 
 
-def _regions(classes: DataFrame, deep: bool = False) -> DataFrame:
+def _regions(classes: DataFrame) -> DataFrame:
     """region, tree, node and keys (of its regions in all trees) of classes that share a region with others."""
-    prefixes = [F.concat(*[F.substring("signature", 4 * p + 1, 4) for p in order]) for order in _orders(deep)]
+    prefixes = [F.concat(*[F.substring("signature", 4 * p + 1, 4) for p in order]) for order in _orders()]
     keyed = classes.select("node", F.array(*[F.hash(p) for p in prefixes]).alias("keys"),
                            F.posexplode(F.array(*[F.xxhash64(F.lit(len(prefixes) + t * 1000), p) for t, p in enumerate(prefixes)])).alias("tree", "region"))
     several = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
@@ -229,14 +228,26 @@ def _compare(rows: list, joining: bool) -> list[tuple[int, int]]:
 
 
 def _likely(mixed_rows: DataFrame, sets: DataFrame, joining: bool) -> DataFrame:
-    """Pairs (a, b) of `_compare` over all regions. A region of more rows than one comparison holds is split into blocks,
-    and every two blocks meet."""
+    """Pairs (a, b) of `_compare` over all regions. A region of more rows than one comparison holds is split into blocks
+    by set size and hash, and every two blocks meet whose sizes are alike enough."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = F.when(F.col("rows") <= CROWDED, 1).otherwise(F.ceil(F.col("rows") / (CROWDED // 2))).cast("int")
-    rows = mixed_rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).join(sets.select("node", "n", "sketch"), "node") \
-        .select("region", "low", "high", "node", "part", "n", "tree", "block", "keys", "sketch")
+    size = F.floor(F.log("n") / math.log(SIZE_STEP)).cast("int")
+    whole = mixed_rows.filter(F.col("rows") <= CROWDED).withColumns({"block": F.lit(0), "low": F.lit(0), "high": F.lit(0)}) \
+        .join(sets.select("node", "n", "sketch"), "node")
+    crowded = mixed_rows.filter(F.col("rows") > CROWDED)
+    # Per crowded region: into how many blocks the rows of each size are dealt.
+    blocks = crowded.select("region", "node").join(sets.select("node", "n"), "node").groupBy("region", size.alias("size")) \
+        .agg(F.ceil(F.count(F.lit(1)) / (CROWDED // 2)).cast("int").alias("blocks")) \
+        .groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("blocks"))
+    number = lambda size, at: F.shiftleft(size, 24) + at
+    split = crowded.join(sets.select("node", "n", "sketch"), "node").withColumn("size", size).join(blocks, "region") \
+        .withColumn("block", number(F.col("size"), F.pmod(F.xxhash64("node", "n"), F.col("blocks")[F.col("size")]).cast("int"))) \
+        .withColumn("other", F.explode(F.flatten(F.transform(
+            F.filter(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1), lambda s: F.map_contains_key("blocks", s)),
+            lambda s: F.transform(F.sequence(F.lit(0), F.col("blocks")[s] - 1), lambda at: number(s, at)))))) \
+        .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    names = ["region", "low", "high", "node", "part", "n", "tree", "block", "keys", "sketch"]
+    rows = whole.select(*names).union(split.select(*names))
 
     def run(batches):
         def one(b: pa.RecordBatch) -> tuple:
@@ -293,11 +304,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     for joining in (True, False):
         parts = written(components(links).select("node", F.col("component").alias("part")), "near-parts")
         across = written(_mixed(regions, parts), "near-across")
-        crowd = across.filter(F.col("rows") > CROWDED).select("node").distinct()
-        deeper = _mixed(_regions(classes.join(crowd, "node", "left_semi"), deep=True), parts)
-        near = across.filter(F.col("rows") <= CROWDED)
-        pairs = _likely(near, sets, joining).union(_likely(deeper, sets, joining))
-        links = links.union(_confirmed(sets, pairs))
+        links = links.union(_confirmed(sets, _likely(across, sets, joining)))
     groups = components(links)
 
     same = ["set_a", "set_b", "n_shingles"]

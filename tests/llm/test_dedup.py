@@ -129,6 +129,20 @@ def test_near_crowded_regions_go_deeper(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == brute_near([(d, t) for d, t, _ in rows])
 
 
+def test_near_crowded_regions_keep_single_bridges(spark, monkeypatch):
+    """Two families of near copies are linked by one pair at 0.752 alone, and all regions that the pair shares are crowded."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 2)
+    seeds, far, rows = (110, 161, 406, 428, 515, 543), (10, 45, 80, 115, 150, 185), []
+    for seed in seeds:
+        text = lambda *at: " ".join(f"X{seed}" if n in at else f"w{seed}x{n}" for n in range(216))  # noqa: B023, E731
+        texts = [text(25), text(60), text(95), text(), text(*far, 30), text(*far, 65), text(*far, 100), text(*far)]
+        rows += [(10 * seed + n, t, "s") for n, t in enumerate(texts)]
+    out = near_dedup.near_groups(documents(spark, rows)).collect()
+    want = brute_near([(d, t) for d, t, _ in rows])
+    assert len(set(want.values())) == len(seeds)
+    assert {r.doc_id: r.component_id for r in out} == want
+
+
 def test_near_repeated_rows_are_one_document(spark):
     text = " ".join(f"w{n}" for n in range(30))
     out = near_dedup.near_groups(documents(spark, [(5, text, "s"), (5, text, "s"), (6, text, "s")])).collect()
