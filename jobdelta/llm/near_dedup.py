@@ -1,7 +1,8 @@
-"""Near-duplicates by a forest of sorted MinHash signatures.
+"""Near-duplicates by MinHash banding.
 
-Texts with equal shingle sets form a class, and each class takes part once. Several trees order the classes by
-a prefix of signature values of their own; classes with the same prefix are a region.
+Texts with equal shingle sets form a class, and each class takes part once. Several trees group the classes by
+a prefix of signature values of their own, of fixed length; classes with the same prefix are a region. Nothing is
+sorted by signature, and no common prefix is measured: the threshold is fixed, so one length serves all.
 
 1. In each region every class is a neighbour of the region's first. Each class is checked against the neighbour
    with which it shares most regions. What links becomes components.
