@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobdelta.llm.common import binaries, once, sized, texts_of, written
@@ -24,6 +24,7 @@ CAPACITY = 2048
 BLOCK = 4096  # documents that one block holds on average
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 4, 4, 2
 WELL_FILLED = 0.995  # bins below this share of the capacity are dealt anew
+TAIL = 8  # of a block's least filled bins, dealt anew when almost none is well filled
 
 
 # ---- tokens and pieces ------------------------------------------------------------------------------------
@@ -252,21 +253,26 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Dat
     items = pieces.filter(F.col("length") < capacity).select("key", "length")
     done, level = [full], 1
     count = items.count()
+    blocks = max(1, -(-count // block))
     while count:
-        blocks = max(1, -(-count // block))
         solved = written(_solve(items, blocks, level, capacity), "packing-solved")
         # Sequences of their own are numbered by key; the others by level, block and bin, below zero.
         number = -((F.lit(level).cast("long") * (1 << 56)) + F.col("block") * (1 << 20) + F.col("bin"))
-        placed = solved if blocks == 1 else solved.filter(F.col("fill") >= F.lit(int(capacity * WELL_FILLED)))
-        done.append(placed.select("key", number.alias("sequence_id"), "offset"))
         if blocks == 1:
+            done.append(solved.select("key", number.alias("sequence_id"), "offset"))
             break
-        items = solved.filter(F.col("fill") < F.lit(int(capacity * WELL_FILLED))).select("key", "length")
-        left = items.count()
-        if left > count * 9 // 10:  # almost nothing fills a sequence well: other mixtures would not either
-            done.append(solved.filter(F.col("fill") < F.lit(int(capacity * WELL_FILLED))).select("key", number.alias("sequence_id"), "offset"))
-            break
-        count, level = left, level + 1
+        well = F.col("fill") >= F.lit(int(capacity * WELL_FILLED))
+        left = solved.filter(~well).count()
+        fewer = blocks
+        if left > count * 9 // 10:  # almost nothing fills a sequence well, nor would other mixtures: only each block's least filled go on
+            worst = solved.filter(~well).groupBy("block", "bin").agg(F.first("fill").alias("fill")) \
+                .withColumn("nth", F.row_number().over(Window.partitionBy("block").orderBy("fill", "bin"))).filter(F.col("nth") <= TAIL)
+            solved = written(solved.join(worst.select("block", "bin", F.lit(True).alias("worst")), ["block", "bin"], "left"), "packing-tails")
+            well = F.col("worst").isNull()
+            left, fewer = solved.filter(~well).count(), blocks // 2
+        done.append(solved.filter(well).select("key", number.alias("sequence_id"), "offset"))
+        items = solved.filter(~well).select("key", "length")
+        count, level, blocks = left, level + 1, max(1, min(fewer, -(-left // block)))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

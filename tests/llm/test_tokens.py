@@ -166,6 +166,15 @@ def test_genetic_steps_keep_every_document():
     assert packing.fitness(sizes, best[0], 100) >= max(packing.fitness(sizes, p, 100) for p in pop)
 
 
+def test_packing_blocks_share_their_last_sequences(spark):
+    """Two pieces fill a sequence, never well: blocks of an odd number of pieces must not each keep a half-empty one."""
+    sizes = [900 + n % 100 for n in range(3000)]
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "key long, length long")
+    rows = packing.pack(pieces, block=200).collect()
+    assert sorted(r.key for r in rows) == list(range(len(sizes)))
+    assert len({r.sequence_id for r in rows}) == len(sizes) // 2
+
+
 def test_packing_in_many_blocks(spark):
     rng = np.random.default_rng(0)
     sizes = [int(x) for x in rng.integers(1, 2048, 3000)] + [2048] * 5
