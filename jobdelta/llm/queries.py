@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from jobdelta.llm import bpe, exact_dedup, fingerprints, hmm, language, line_dedup, near_dedup, packing, token_counts, toxicity
+from jobdelta.llm import bpe, centroids, exact_dedup, fingerprints, hmm, language, line_dedup, near_dedup, packing, prefix_trie, quality, token_counts, toxicity
 from jobdelta.llm.common import written
 
 QUERIES: dict = {}
@@ -78,3 +78,24 @@ def op8_hmm(spark, table):
 @query
 def op6_fingerprints(spark, table):
     return fingerprints.compare_with_next(table("documents"))
+
+
+@query
+def op11_prefix_trie(spark, table):
+    return prefix_trie.prefix_trie(table("conversations"))
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.ORACLE
+
+
+@query
+def op12_centroids(spark, table):
+    return centroids.cluster_vectors(table("embeddings"))
+
+
+ORACLES["op12_centroids"] = centroids.ORACLE
+
+
+@query
+def op13_quality(spark, table):
+    return quality.score_quality(table("documents"), table("labels"))
