@@ -1,9 +1,10 @@
 """Stored searches meet new rows: every event against every saved search, without a theta join.
 
-Each search is filed under a few *anchors*, values any matching posting must carry: the rarest word of each of
-its keywords, else of the required keywords, else of each location, else a level, remote, a pay band or a year
-count. Each posting lists the anchors it carries, so candidates come from one equi join of ids and the exact
-predicate runs on candidates only.
+Searches that ask for the same thing are one *class*, matched once and handed to its searches at the end. Each
+class states what any matching posting must carry, condition by condition: one of its keywords (by the rarest word
+of each), each required keyword, one of its places, levels, pay bands or year counts. It is filed under the two
+conditions that fewest events meet, as pairs of *anchors*. Each posting lists the anchors it carries, so candidates
+come from one equi join of anchor pairs and ids, and the exact predicate runs on candidates only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from jobdelta.operators.filters import default_change_types, mark_text, match_columns, matches, normalize_filters, prepare_terms
 from jobdelta.operators.snapshot import live
 from jobdelta.schema import JOB_ADDED
+from jobdelta.session import materialize
 
 _SPLIT = r"[^\p{L}\p{N}]+"
 _PAY_STEP, _PAY_TOP = 20_000, 64
@@ -58,49 +60,58 @@ def posting_anchors() -> Column:
     ))
 
 
-_OPTION = "struct<part:int,option:int,anchors:array<bigint>>"
+_OPTION = "struct<kind:int,part:int,option:int,anchors:array<bigint>>"
+#: Kinds of conditions; each required keyword is a kind of its own from _REQUIRED on.
+_KEYWORD, _PLACE, _LEVEL, _REMOTE, _PAY, _YEARS, _BOARD, _ANY, _REQUIRED = range(9)
 
 
-def _options(terms: Column, word: str, symbol: str, joint: bool = False) -> Column:
-    """Ways to file a list of terms: for each part (a term, or all of them if `joint`) any one option will do.
+def _option(kind: Column, part: Column, option: Column, anchors: Column) -> Column:
+    return F.struct(kind.cast("int").alias("kind"), part.cast("int").alias("part"), option.cast("int").alias("option"), anchors.alias("anchors"))
+
+
+def _options(terms: Column, word: str, symbol: str, kind: int, apart: bool = False) -> Column:
+    """Ways to file a list of terms: for each part (a term; a kind of its own if `apart`) any one option will do.
 
     An option is a word of a term: it stands as a whole word in every text the term matches, except that a plural
     ending may lengthen it where it ends the term. A term without letters or digits is filed by its first symbol.
     """
     def of(term: Column, n: Column) -> Column:
-        part = F.lit(0) if joint else n
         words = F.regexp_extract_all(term, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
         ends = F.rlike(term, F.lit(r"[\p{L}\p{N}]$"))
+        place = (n + kind, F.lit(0)) if apart else (F.lit(kind), n)
 
         def option(w: Column, k: Column) -> Column:
             last = ends & (k == F.size(words) - 1)
             plural = F.array(_h(word, w), _h(word, F.concat(w, F.lit("s"))), _h(word, F.concat(w, F.lit("es"))))
-            return F.struct(part.alias("part"), (n * 1000 + k).alias("option"), F.when(last, plural).otherwise(F.array(_h(word, w))).alias("anchors"))
+            return _option(*place, k, F.when(last, plural).otherwise(F.array(_h(word, w))))
 
-        alone = F.array(F.struct(part.alias("part"), (n * 1000).alias("option"), F.array(_h(symbol, F.substring(term, 1, 1))).alias("anchors")))
+        alone = F.array(_option(*place, F.lit(0), F.array(_h(symbol, F.substring(term, 1, 1)))))
         return F.when(F.size(words) > 0, F.transform(words, option)).otherwise(alone)
 
     return F.flatten(F.transform(terms, of))
 
 
 def search_options() -> Column:
-    """Every way to file a normalised search, by the first filter that narrows it."""
+    """Every way to file a normalised search, condition by condition."""
+    none = F.array().cast(f"array<{_OPTION}>")
     unknown = lambda kind: F.when(F.col("include_unknown"), F.array(_h(kind, F.lit("unknown")))) \
         .otherwise(F.array().cast("array<bigint>"))
     bands = F.transform(F.sequence(_pay_band(F.col("min_salary")), F.lit(_PAY_TOP)), lambda i: _h("p", i.cast("string")))
     years = F.transform(
         F.sequence(F.lit(0), F.least(F.col("max_experience_years"), F.lit(_YEARS_TOP)).cast("int")),
         lambda i: _h("y", i.cast("string")))
-    only = lambda anchors: F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("option"), anchors.alias("anchors")))
-    return (
-        F.when(F.size("keywords") > 0, _options(F.col("keywords"), "t", "x"))
-        .when(F.size("all_keywords") > 0, _options(F.col("all_keywords"), "t", "x", joint=True))
-        .when(F.size("locations") > 0, _options(F.col("locations"), "l", "lx"))
-        .when(F.size("seniority") > 0, only(F.transform("seniority", lambda s: _h("s", s))))
-        .when(F.col("remote_only"), only(F.array(_h("r", F.lit("yes")))))
-        .when(F.col("min_salary").isNotNull(), only(F.concat(bands, unknown("p"))))
-        .when(F.col("max_experience_years").isNotNull(), only(F.concat(years, unknown("y"))))
-        .otherwise(only(F.array(_h("any", F.lit("")))))
+
+    def only(kind: int, asked: Column, anchors: Column) -> Column:
+        return F.when(asked, F.array(_option(F.lit(kind), F.lit(0), F.lit(0), anchors)).cast(f"array<{_OPTION}>")).otherwise(none)
+
+    return F.concat(
+        _options(F.col("keywords"), "t", "x", _KEYWORD).cast(f"array<{_OPTION}>"),
+        _options(F.col("all_keywords"), "t", "x", _REQUIRED, apart=True).cast(f"array<{_OPTION}>"),
+        _options(F.col("locations"), "l", "lx", _PLACE).cast(f"array<{_OPTION}>"),
+        only(_LEVEL, F.size("seniority") > 0, F.transform("seniority", lambda s: _h("s", s))),
+        only(_REMOTE, F.col("remote_only"), F.array(_h("r", F.lit("yes")))),
+        only(_PAY, F.col("min_salary").isNotNull(), F.concat(bands, unknown("p"))),
+        only(_YEARS, F.col("max_experience_years").isNotNull(), F.concat(years, unknown("y"))),
     )
 
 
@@ -108,6 +119,47 @@ WATCH_COLUMNS = ["keywords", "all_keywords", "exclude_keywords", "locations", "s
                  "min_salary", "salary_currency", "max_experience_years", "include_unknown", "change_types"]
 
 
+def search_classes(watches: DataFrame) -> DataFrame:
+    """`watches` with cleaned filters and `w_class`, which is equal where two ask for the same thing on the same board."""
+    w = normalize_filters(default_change_types(live(watches)))
+    lists = ["keywords", "all_keywords", "exclude_keywords", "locations", "seniority", "change_types"]
+    w = w.withColumns({c: F.array_sort(F.array_distinct(c)) for c in lists})
+    # Field by field, nulls told from empty values.
+    said = F.to_json(F.struct(*[F.col(c) for c in WATCH_COLUMNS], F.col("resource_id")), {"ignoreNullFields": "false"})
+    return w.withColumn("w_class", F.md5(said.cast("binary")))
+
+
+def _filed(classes: DataFrame) -> DataFrame:
+    """w_class, kind, part, option, anchor: every way to file a class; one with a single condition is filed under `any` too."""
+    board = F.array(_option(F.lit(_BOARD), F.lit(0), F.lit(0), F.array(_h("b", F.col("resource_id")))))
+    asked = F.when(F.col("resource_id").isNull(), search_options()).otherwise(board.cast(f"array<{_OPTION}>"))
+    any_ = F.array(_option(F.lit(_ANY), F.lit(0), F.lit(0), F.array(_h("any", F.lit(""))))).cast(f"array<{_OPTION}>")
+    few = F.size(F.array_distinct(F.transform("options", lambda o: o["kind"]))) < 2
+    c = classes.withColumn("options", asked).withColumn("options", F.when(few, F.concat("options", any_)).otherwise(F.col("options")))
+    return c.select("w_class", F.inline("options")).select("w_class", "kind", "part", "option", F.explode("anchors").alias("anchor")).distinct()
+
+
+def _anchor_pairs(filed: DataFrame, listed: DataFrame) -> DataFrame:
+    """w_class, a1, a2: the pairs under one of which any match of the class is found.
+
+    Of each part of a condition the option that fewest events carry; of all conditions the two whose parts together
+    fewest events carry. An anchor that no event carries cannot match and is left out.
+    """
+    often = listed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    weighed = filed.join(often, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    option = weighed.groupBy("w_class", "kind", "part", "option").agg(F.sum("n").alias("n"))
+    part = option.groupBy("w_class", "kind", "part").agg(F.min(F.struct("n", "option")).alias("b")).select("w_class", "kind", "part", "b.option", "b.n")
+    kind = part.groupBy("w_class", "kind").agg(F.sum("n").alias("n"))
+    least = kind.groupBy("w_class").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "kind"))), 1, 2).alias("two"))  # a class has few conditions
+    ranked = least.select("w_class", F.size("two").alias("kinds"), F.posexplode("two").alias("place", "k")).select("w_class", "kinds", "place", "k.kind")
+    chosen = weighed.filter("n > 0").join(part.drop("n"), ["w_class", "kind", "part", "option"], "left_semi").join(ranked, ["w_class", "kind"]) \
+        .select("w_class", "place", "kinds", "anchor").distinct()
+    first = chosen.filter("place = 0").select("w_class", F.col("anchor").alias("a1"))
+    # A class without any condition stands under `any` alone, twice.
+    second = chosen.filter("place = 1 or kinds = 1").select("w_class", F.col("anchor").alias("a2"))
+    return first.join(second, "w_class")
+
+
 def percolate(events: DataFrame, watches: DataFrame, carry: list[str] | None = None, after: str | None = None) -> DataFrame:
     """Every (event, watch) pair where the watch should see the event.
 
@@ -116,49 +168,56 @@ def percolate(events: DataFrame, watches: DataFrame, carry: list[str] | None = N
     keep; all other watch columns are kept. `after` names a watch column: only events of a greater change_id count.
     No pair appears twice, and no pair is ever cut.
 
-    Ids alone meet first: a search is filed under the rarest word of each of its terms, as counted in these events,
-    and events list only anchors that some search uses. Texts join the id pairs that this leaves, for the exact test.
-    An id is a hash: rows that share one are told apart by the exact test. A common anchor makes a skewed join of
-    slim rows, which adaptive execution splits by measured size.
+    Ids alone meet first: the events' list of anchors that some class uses is written once, slim; an event's pairs
+    of them are bounded by its own words, whatever the number of searches. Texts join the (event, class) pairs that
+    this leaves, for the exact test, and classes are handed to their searches last. An id is a hash: rows that share
+    one are told apart by the exact test. A common anchor or class makes a skewed join of slim rows, which adaptive
+    execution splits by measured size.
     """
     carry = carry if carry is not None else [c for c in events.columns if c not in ("job", "before", "search_text")]
-    w = normalize_filters(default_change_types(live(watches)))
+    w = search_classes(watches)
     if after is not None:
         # Nothing below the least place that any watch has read to is looked at.
         events = events.filter(F.col("change_id") > w.agg(F.min(after)).scalar())
-    extra = [c for c in w.columns if c not in WATCH_COLUMNS and c not in ("resource_id", "deleted_at") and c not in carry]
-    board = F.array(_h("b", F.col("resource_id")))
-    board_only = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("option"), board.alias("anchors")))
-    options = F.when(F.col("resource_id").isNull(), search_options()).otherwise(board_only).cast(f"array<{_OPTION}>")
+    extra = [c for c in w.columns if c not in WATCH_COLUMNS and c not in ("resource_id", "deleted_at", "w_class") and c not in carry]
     floor = F.col(after) if after is not None else F.lit(None)
-    w = prepare_terms(w.withColumns({"w_options": options, "w_floor": floor.cast("bigint")})).select(
-        *extra, *[F.col(c).alias(f"w_{c}") for c in WATCH_COLUMNS], F.col("resource_id").alias("w_resource_id"), "w_options", "w_floor")
-    w = w.withColumn("w_id", F.xxhash64(*[c for c in w.columns if c != "w_options"]))
+    w = w.withColumn("w_floor", floor.cast("bigint"))
+    grouped = w.groupBy("w_class", *WATCH_COLUMNS, "resource_id").agg(F.min("w_floor").alias("c_floor"))
+    classes = materialize(grouped, "classes")
+    tests = prepare_terms(classes).select("w_class", "c_floor", *[F.col(c).alias(f"w_{c}") for c in [*WATCH_COLUMNS, "resource_id"]])
 
-    e = mark_text(events.withColumns(match_columns(lambda c: F.col(f"job.{c}"), F.col("search_text"))))
-    e = e.withColumn("e_anchors", F.when(F.col("type") == JOB_ADDED, F.concat(board, posting_anchors())).otherwise(board))
     ids = ["change_id"] if after is not None else []
-    texts = ["m_text", "m_location", "m_text_marked", "m_location_marked", "m_remote", "m_seniority", "m_pay", "m_currency", "m_years"]
-    e = e.select(*carry, *[c for c in ("resource_id", "type", *ids) if c not in carry], *texts, "e_anchors")
-    e = e.withColumn("e_id", F.xxhash64(*([c for c in ("resource_id", "type", "item_key", "change_id") if c in e.columns])))
+    own = events.withColumn("e_id", F.xxhash64(*[c for c in ("resource_id", "type", "item_key", "change_id") if c in events.columns]))
+    own = own.withColumns(match_columns(lambda c: F.col(f"job.{c}"), F.col("search_text")))
+    board = F.array(_h("b", F.col("resource_id")), _h("any", F.lit("")))
+    anchors = F.when(F.col("type") == JOB_ADDED, F.concat(F.slice(board, 1, 1), posting_anchors())).otherwise(board)
 
-    filed = w.select("w_id", "w_floor", F.inline("w_options")).select("w_id", "w_floor", "part", "option", F.explode("anchors").alias("anchor")).distinct()
-    listed = e.select("e_id", *[F.col(c).alias("e_change_id") for c in ids], F.explode("e_anchors").alias("anchor")) \
+    filed = materialize(_filed(classes), "filed")
+    listed = own.select("e_id", *[F.col(c).alias("e_change_id") for c in ids], F.explode(anchors).alias("anchor")) \
         .join(filed.select("anchor").distinct(), "anchor", "left_semi")
-    often = listed.groupBy("anchor").agg(F.count("*").alias("n"))
-    # Of each part the option that fewest events carry; one that none carries cannot match, so it may stand alone.
-    weighed = filed.join(often, "anchor", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    best = weighed.groupBy("w_id", "part", "option").agg(F.sum("n").alias("weight")).groupBy("w_id", "part") \
-        .agg(F.min(F.struct("weight", "option")).alias("b")).select("w_id", "part", "b.option")
-    chosen = weighed.filter("n > 0").join(best, ["w_id", "part", "option"], "left_semi").select("w_id", "w_floor", "anchor").distinct()
-    pairs = listed.join(chosen, "anchor")
+    listed = materialize(listed, "listed")
+    pairs = materialize(_anchor_pairs(filed, listed), "anchor-pairs")
+    # The event's anchors that are some pair's first, and some pair's second.
+    used = pairs.select(F.col("a1").alias("anchor"), F.lit(1).alias("place")).union(pairs.select("a2", F.lit(2))).groupBy("anchor") \
+        .agg(F.max(F.when(F.col("place") == 1, 1)).alias("is1"), F.max(F.when(F.col("place") == 2, 1)).alias("is2"))
+    by = ["e_id", *[f"e_{c}" for c in ids]]
+    met = listed.join(used, "anchor").groupBy(*by).agg(F.collect_set(F.when(F.col("is1") == 1, F.col("anchor"))).alias("s1"),
+                                                       F.collect_set(F.when(F.col("is2") == 1, F.col("anchor"))).alias("s2"))
+    met = met.select(*by, F.explode("s1").alias("a1"), "s2").select(*by, "a1", F.explode("s2").alias("a2"))
     if after is not None:
-        pairs = pairs.filter(F.col("e_change_id") > F.col("w_floor"))
-    pairs = pairs.select("e_id", "w_id").distinct()
-    tested = pairs.join(w.drop("w_options"), "w_id").join(e.drop("e_anchors"), "e_id").filter(
+        pairs = pairs.join(tests.select("w_class", "c_floor"), "w_class")
+        met = met.join(pairs, ["a1", "a2"]).filter(F.col("e_change_id") > F.col("c_floor"))
+    else:
+        met = met.join(pairs, ["a1", "a2"])
+    met = met.select("e_id", "w_class").distinct()
+
+    texts = ["m_text", "m_location", "m_text_marked", "m_location_marked", "m_remote", "m_seniority", "m_pay", "m_currency", "m_years"]
+    full = mark_text(own).select(*carry, *[c for c in ("resource_id", "type", *ids) if c not in carry], *texts, "e_id")
+    tested = met.join(tests, "w_class").join(full, "e_id").filter(
         F.array_contains("w_change_types", F.col("type"))
         & (F.col("w_resource_id").isNull() | (F.col("w_resource_id") == F.col("resource_id")))
         & matches(lambda c: F.col(f"w_{c}")))
+    out = tested.select(*carry, *[c for c in ids if c not in carry], "w_class").join(w.select("w_class", "w_floor", *extra), "w_class")
     if after is not None:
-        tested = tested.filter(F.col("change_id") > F.col("w_floor"))
-    return tested.select(*carry, *extra)
+        out = out.filter(F.col("change_id") > F.col("w_floor"))
+    return out.select(*carry, *extra)
