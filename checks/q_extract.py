@@ -60,7 +60,7 @@ def b16(i):
 # Listing order: a key stands where it was first seen.
 @query("b17b_jsonld_order", f"""
 SELECT key, annual_min, row_number() OVER (PARTITION BY resource_id ORDER BY last_key) AS nth FROM (
-  SELECT resource_id, key, min(last_key) AS last_key, arg_max(annual_min, last_key) AS annual_min FROM ({Y.EXPECTED['html']}) GROUP BY 1, 2)""")
+  SELECT resource_id, key, min(last_key) AS last_key, arg_max_null(annual_min, last_key) AS annual_min FROM ({Y.EXPECTED['html']}) GROUP BY 1, 2)""")
 def b17b(i):
     out, _ = X.extract_postings(payloads(i, "html"), adapters=["html"])
     nth = F.row_number().over(Window.partitionBy("resource_id").orderBy("ordinal")).cast("bigint")

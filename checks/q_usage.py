@@ -117,6 +117,13 @@ def h05(i):
 SELECT dim AS client, CAST(coalesce(sum(n) FILTER (day > DATE '{TODAY}' - 7), 0) AS BIGINT) AS d7, CAST(sum(n) AS BIGINT) AS d30
   FROM ox_counts WHERE metric = 'mcp_connect' AND day > DATE '{TODAY}' - 30 GROUP BY dim ORDER BY d30 DESC, client LIMIT 20""")
 def h06(i):
+    return U.app_table(counts(i), TODAY, top=20)
+
+
+@query("h06b_app_table_whole", f"""
+SELECT dim AS client, CAST(coalesce(sum(n) FILTER (day > DATE '{TODAY}' - 7), 0) AS BIGINT) AS d7, CAST(sum(n) AS BIGINT) AS d30
+  FROM ox_counts WHERE metric = 'mcp_connect' AND day > DATE '{TODAY}' - 30 GROUP BY dim""")
+def h06b(i):
     return U.app_table(counts(i), TODAY)
 
 
