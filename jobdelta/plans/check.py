@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from jobdelta.operators.changes import assign_change_ids, diff_postings
 from jobdelta.operators.extract import CHECK, extract_postings
 from jobdelta.operators.percolate import percolate
-from jobdelta.operators.snapshot import carry_forward, content_hash
+from jobdelta.operators.snapshot import KEY, content_hash
 from jobdelta.session import materialize
 from jobdelta.sources.payloads import drop_not_modified
 
@@ -23,50 +23,66 @@ class Check(NamedTuple):
     hashes: DataFrame       # content hash of every board whose listing was read
 
 
-def _hashes(postings: DataFrame, stored: DataFrame | None) -> DataFrame:
-    return content_hash(postings).select("resource_id", "content_hash") if stored is None else stored.select("resource_id", "content_hash")
+def _listing(resource_id: Column, turn: Column) -> Column:
+    """One listing of a board as a board of its own: its turn, a colon, the board."""
+    return F.concat(turn.cast("string"), F.lit(":"), resource_id)
 
 
-def compare(whole: DataFrame, previous: DataFrame, boards: DataFrame, hashes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, hashes) of listings that details were carried into; `boards` has one row for each.
+def _carried(listings: DataFrame, fields: list[str]) -> DataFrame:
+    """Partial rows replaced by the last full row of their key, where the key was listed in every check since then.
 
-    Boards whose posting set did not change drop out before the wide join. `hashes` (resource_id, content_hash)
-    are the stored ones of `previous`; without them its postings are hashed anew.
+    One window over (board, key) in the order of checks serves all of them; `turn` 0 is the stored listing. Position
+    and `complete` stay those of the row.
     """
-    now = materialize(content_hash(whole).select("resource_id", "content_hash"), "hashes")
-    moved = now.join(_hashes(previous, hashes), ["resource_id", "content_hash"], "left_anti").select("resource_id")
-    emptied = boards.filter("jobs_count = 0").select("resource_id")
-    todo = moved.unionByName(emptied).distinct()
-    complete = boards.join(todo, "resource_id", "left_semi").select("resource_id", "complete")
-    events = diff_postings(previous.join(todo, "resource_id", "left_semi"), whole.join(todo, "resource_id", "left_semi"), complete=complete, unique=True)
-    return events.join(boards.select(*CHECK, "fetched_at"), "resource_id").withColumnRenamed("fetched_at", "detected_at"), now
+    own = Window.partitionBy(*KEY).orderBy("turn")
+    partial = F.coalesce("partial", F.lit(False))
+    full = F.when(~partial, F.struct("turn", *fields))
+    starts = F.when(F.coalesce(F.lag("turn").over(own), F.lit(-1)) != F.col("turn") - 1, F.col("turn"))
+    seen = listings.withColumns({"_full": F.last(full, ignorenulls=True).over(own), "_start": starts}) \
+        .withColumn("_start", F.last("_start", ignorenulls=True).over(own))
+    swap = partial & (F.col("_full.turn") >= F.col("_start"))
+    return seen.select(*[F.when(swap, F.col(f"_full.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in listings.columns])
 
 
 def compare_checks(postings: DataFrame, boards: DataFrame, previous: DataFrame, start_id: int = 0, hashes: DataFrame | None = None) -> Check:
     """The checks of a batch in the order in which they were fetched, each against the listing before it.
 
-    A board is usually checked once in a batch; where it was checked more often, its second check is compared
-    with its first, and so on: as many rounds as the busiest board has checks, boards side by side in each. A
-    failed check changes nothing.
+    All checks of all boards are compared in one pass: a listing is a board of its own, met once as the new one and
+    once as the one before the next check, so the number of jobs does not follow the checks per board. Listings
+    whose posting set equals the one before drop out by their hash. A failed check changes nothing. `hashes`
+    (resource_id, content_hash) are the stored ones of `previous`; without them its postings are hashed anew.
     """
     turn = F.row_number().over(Window.partitionBy("resource_id").orderBy(F.col("fetched_at").asc_nulls_first(), "check_id"))
-    ok = materialize(boards.filter(~F.col("failed")).withColumn("round", turn), "checks")
-    rounds = ok.agg(F.coalesce(F.max("round"), F.lit(0))).first()[0]
-    previous = previous.drop("check_id")
-    found, latest, known = None, previous, hashes
-    read = None
-    for n in range(1, max(rounds, 1) + 1):
-        own = ok.filter(F.col("round") == n)
-        listing = postings.join(own.select(*CHECK), CHECK, "left_semi").drop("check_id")
-        whole = materialize(carry_forward(listing, latest), "current")
-        events, now = compare(whole, latest, own, known)
-        events = events.withColumn("round", F.lit(n))
-        found = events if found is None else found.unionByName(events)
-        kept = lambda df: df.join(own.select("resource_id"), "resource_id", "left_anti")  # noqa: B023, E731
-        latest = kept(latest).unionByName(whole, allowMissingColumns=True)
-        read = whole if read is None else kept(read).unionByName(whole)
-        known = None if known is None else kept(known.select("resource_id", "content_hash")).unionByName(now)
-    return Check(assign_change_ids(found, start_id).drop("round"), read, boards, content_hash(read).select("resource_id", "content_hash"))
+    ok = materialize(boards.filter(~F.col("failed")).withColumn("turn", turn), "checks")
+    checked = ok.groupBy("resource_id").agg(F.max("turn").alias("last"))
+    stored = previous.drop("check_id").join(checked.select("resource_id"), "resource_id", "left_semi").withColumn("turn", F.lit(0))
+    new = postings.join(ok.select(*CHECK, "turn"), CHECK).drop("check_id")
+    fields = [c for c in new.columns if c not in (*KEY, "ordinal", "complete", "turn") and c in stored.columns]
+    whole = materialize(_carried(new.unionByName(stored, allowMissingColumns=True).select(*new.columns), fields), "current")
+
+    told = whole if hashes is None else whole.filter("turn > 0")
+    now = content_hash(told.withColumn("resource_id", _listing(F.col("resource_id"), F.col("turn"))).drop("turn")).select("resource_id", "content_hash")
+    if hashes is not None:
+        now = now.unionByName(hashes.join(checked.select("resource_id"), "resource_id", "left_semi").select(_listing(F.col("resource_id"), F.lit(0)).alias("resource_id"), "content_hash"))
+    now = materialize(now, "hashes")
+    at = ok.withColumns({"listing": _listing(F.col("resource_id"), F.col("turn")), "before": _listing(F.col("resource_id"), F.col("turn") - 1)})
+    mine = now.select(F.col("resource_id").alias("listing"), F.col("content_hash").alias("own"))
+    other = now.select(F.col("resource_id").alias("before"), F.col("content_hash").alias("old"))
+    # An emptied listing has no hash; it is compared unless the one before was empty too.
+    todo = materialize(at.join(mine, "listing", "left").join(other, "before", "left").filter("old is not null and not (own <=> old)")
+                       .select(*CHECK, "turn", "listing", "fetched_at", "complete"), "compared")
+
+    def side(shift: int) -> DataFrame:
+        met = todo.select("resource_id", (F.col("turn") - shift).alias("turn"), "listing")
+        return whole.join(met, ["resource_id", "turn"]).drop("resource_id", "turn").withColumnRenamed("listing", "resource_id")
+
+    events = diff_postings(side(1), side(0), complete=todo.select(F.col("listing").alias("resource_id"), "complete"), unique=True)
+    events = events.withColumnRenamed("resource_id", "listing") \
+        .join(todo.select(*CHECK, F.col("turn").alias("round"), "listing", F.col("fetched_at").alias("detected_at")), "listing").drop("listing")
+    latest = whole.join(checked.select("resource_id", F.col("last").alias("turn")), ["resource_id", "turn"], "left_semi").drop("turn")
+    last = checked.select(_listing(F.col("resource_id"), F.col("last")).alias("listing"), F.col("resource_id").alias("board"))
+    found = now.join(last, now["resource_id"] == last["listing"]).select(F.col("board").alias("resource_id"), "content_hash")
+    return Check(assign_change_ids(events, start_id).drop("round"), latest, boards, found)
 
 
 def check_boards(payloads: DataFrame, previous: DataFrame, companies: DataFrame | None = None, start_id: int = 0,

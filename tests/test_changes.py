@@ -188,3 +188,95 @@ def test_same_set_is_silent(spark):
     items = [posting(f"r{n % 3}", f"k{n}", title=f"t{n}") for n in range(30)]
     df = postings(spark, items)
     assert diff_postings(df, df.orderBy(F.rand(1))).count() == 0
+
+
+def test_many_checks_of_a_board_take_no_more_jobs(spark):
+    """Fifty checks in one batch equal fifty runs of one check each, and the number of jobs does not follow them."""
+    from jobdelta.plans.check import compare_checks
+
+    def checks(numbers):
+        rows, facts = [], []
+        for n in numbers:
+            keys = [k for k in range(12) if (k * 7 + n * n) % 5]
+            rows += [{**posting("b", f"k{k}", f"t{(n + k) // 9}", partial=(n + k) % 4 == 0, ordinal=k), "check_id": f"c{n:02}"} for k in keys]
+            facts.append(("b", f"c{n:02}", n, "greenhouse", len(keys), len(keys), False, n % 6 != 0))
+        listed = postings(spark, [{k: v for k, v in r.items() if k != "check_id"} for r in rows])
+        tagged = listed.join(spark.createDataFrame([(r["key"], r["title"], r["partial"], r["check_id"]) for r in rows], "key string, title string, partial boolean, check_id string"),
+                             ["key", "title", "partial"]).dropDuplicates(["key", "check_id"])
+        boards = spark.createDataFrame(facts, "resource_id string, check_id string, at int, adapter string, total int, jobs_count int, failed boolean, complete boolean") \
+            .withColumn("fetched_at", F.timestamp_seconds("at")).drop("at")
+        return tagged, boards
+
+    def told(check):
+        return sorted((r.check_id, r.type, r.item_key, r.job.title, tuple(r.changed_fields or ())) for r in check.changes.collect())
+
+    stored = postings(spark, [posting("b", f"k{k}", "t0", ordinal=k) for k in range(12)])
+
+    def jobs(n):
+        tracker, group = spark.sparkContext.statusTracker(), f"checks-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        found = told(compare_checks(*checks(range(1, n + 1)), stored))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return found, len(tracker.getJobIdsForGroup(group))
+
+    (few, jobs_few), (many, jobs_many) = jobs(4), jobs(50)
+    assert jobs_many <= jobs_few + 10 and many[: len(few)] == few
+    one_by_one, latest = [], stored
+    for n in range(1, 5):
+        check = compare_checks(*checks([n]), latest)
+        one_by_one += told(check)
+        latest = check.postings
+    assert sorted(one_by_one) == few
+
+
+def test_buckets_grow_with_the_rows(spark, tmp_path):
+    from jobdelta.sources import sinks as K
+
+    path = str(tmp_path / "snap")
+
+    def rows(lo, hi, boards=40):
+        return spark.range(lo, hi).select(F.concat(F.lit("r"), F.col("id") % boards).alias("resource_id"), F.concat(F.lit("k"), "id").alias("key"), F.col("id").cast("string").alias("title"))
+
+    K.write_snapshot(rows(0, 200), path, bucket_rows=100)
+    before = K.read_snapshot(spark, path)
+    assert K._layout(K._contents(spark, path)).count == 2
+    K.write_snapshot(rows(0, 20_000, 400), path, bucket_rows=100)          # a hundred times the rows
+    first = K._contents(spark, path)
+    assert K._layout(first).count == 200 and max(first["rows"].values()) < 1000
+    assert before.count() == 200                                            # an older reader still sees its version
+    K.write_snapshot(rows(0, 5000, 1).withColumn("resource_id", F.lit("big")), path, bucket_rows=100)   # one board alone
+    last = K._contents(spark, path)
+    assert last["big"] == {"big": 50} and max(last["rows"].values()) < 1000
+    got = K.read_snapshot(spark, path)
+    assert got.count() == 25_000 and got.select("resource_id", "key").distinct().count() == 25_000
+    one = K.read_snapshot(spark, path, spark.createDataFrame([("big",)], "resource_id string")).filter("resource_id = 'big'")
+    assert one.count() == 5000
+    K.write_snapshot(rows(0, 3, 1).withColumn("resource_id", F.lit("big")), path, bucket_rows=100)      # and small again
+    assert K._contents(spark, path)["big"] == {} and K.read_snapshot(spark, path).filter("resource_id = 'big'").count() == 3
+    assert K.read_snapshot(spark, path).count() == 20_003
+    K.drop_versions(spark, path, keep=1)
+    assert K.read_snapshot(spark, path).count() == 20_003
+
+
+def test_buckets_split_in_order():
+    from jobdelta.sources.sinks import Layout
+
+    a = Layout(3)
+    for n in range(3, 60):
+        b = a.grown(n)
+        assert b.count == n
+        for bucket in range(a.count, n):
+            assert b.parent(bucket, a) < a.count
+        c = a.grown(n // 2 + 2).grown(n)
+        assert (c.level, c.split) == (b.level, b.split)
+
+
+def test_a_board_that_moved_meanwhile_is_left_alone(spark):
+    from jobdelta.streaming.changes import _sound
+
+    boards = spark.createDataFrame([("a",), ("b",), ("c",)], "resource_id string")
+    state = "resource_id string, current_snapshot_id string"
+    base, now = spark.createDataFrame([("a", "1"), ("b", "1")], state), spark.createDataFrame([("a", "1"), ("b", "2")], state)
+    assert sorted(r[0] for r in _sound(boards, base, now).collect()) == ["a", "c"]
+    assert sorted(r[0] for r in _sound(boards, None, None).collect()) == ["a", "b", "c"]
+    assert sorted(r[0] for r in _sound(boards, None, now).collect()) == ["c"]
