@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.shapes import changes, postings
 from checks.views import ORACLE_VIEWS, ox_passes, ox_term
+from jobdelta.operators import counters
 from jobdelta.operators import filters as L
 from jobdelta.operators import percolate as P
 from jobdelta.operators import search as S
+from jobdelta.operators.snapshot import posting_delta
+from jobdelta.session import materialize, scratch_path
+from jobdelta.sources import search_index as X
 
 # Messy filters: padding, mixed case, repeats, blanks, more than 20 terms, unknown levels, odd numbers.
 MESSY = """SELECT concat('w', c_custkey) AS watch_id,
@@ -147,6 +151,31 @@ def e10(i):
     return S.search_total(postings(i.fx_open), limit=25, offset=10, **GEAR)
 
 
+def _indexed(i):
+    """An index of the postings before, brought up to date by what differs now, in two updates."""
+    path = scratch_path(i.spark, "index")
+    now = postings(i.fx_open)
+    h = F.pmod(F.xxhash64("key"), F.lit(10))
+    before = now.filter(h < 8).withColumn("title", F.when(h == 0, F.concat(F.lit("old "), "title")).otherwise(F.col("title")))
+    middle = now.filter((h < 7) | (h == 8))
+    X.write_index(before, path, block_docs=2048)
+    for old, new in ((before, middle), (middle, now)):
+        delta = posting_delta(old, new)
+        X.update_index(i.spark, path, delta.filter("sign > 0").drop("sign"), delta.filter("sign < 0"), block_docs=2048)
+    return path
+
+
+@query("e09b_search_index", _GEAR + " ORDER BY posted_at DESC NULLS LAST, key LIMIT 25 OFFSET 10")
+def e09b(i):
+    return S.page_of(X.indexed_matches(i.spark, _indexed(i), **GEAR), 25, 10).select("resource_id", "key", "title", "posted_at")
+
+
+@query("e10b_index_total", f"""
+SELECT count(*) AS total, CAST(10 AS BIGINT) AS "offset", CAST(CASE WHEN 35 < count(*) THEN 35 END AS BIGINT) AS next_offset FROM ({_GEAR})""")
+def e10b(i):
+    return S.total_of(X.indexed_matches(i.spark, _indexed(i), **GEAR), 25, 10)
+
+
 @query("e11_search_many", f"""
 SELECT watch_id, rank, resource_id, key, posted_at FROM (
   SELECT w.watch_id, p.resource_id, p.key, p.posted_at,
@@ -241,3 +270,16 @@ def e16(i):
 SELECT platform, count(*) AS companies, CAST(sum(coalesce(open_jobs, 0)) AS BIGINT) AS open_jobs FROM ({_COMPANIES}) GROUP BY 1""")
 def e17(i):
     return S.directory_totals(_companies(i))
+
+
+@query("e13c_matching_counters", """
+SELECT w.watch_id, coalesce(m.n, 0) AS matching FROM fx_watches w LEFT JOIN (SELECT watch_id, count(*) AS n FROM ox_watch_jobs GROUP BY 1) m USING (watch_id)""")
+def e13c(i):
+    """Counted once, then kept over three batches of boards, equal to a recount."""
+    boards, now = i.sql(_BOARDS), postings(i.fx_open)
+    was = now.filter("ordinal % 7 <> 0").withColumn("title", F.when(F.col("ordinal") % 11 == 0, F.concat(F.lit("Old "), "title")).otherwise(F.col("title")))
+    counts = counters.count_matching(was, i.fx_watches, boards)
+    batch = F.pmod(F.xxhash64("resource_id"), F.lit(3))
+    for n in range(3):
+        counts = materialize(counters.next_matching(counts, was.filter(batch == n), now.filter(batch == n), i.fx_watches, boards), "matching")
+    return counts

@@ -84,7 +84,7 @@ SELECT (SELECT count(DISTINCT client_id) FROM ox_usage WHERE day = DATE '{TODAY}
        (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM ox_counts WHERE day = DATE '{TODAY}' AND metric = 'anonymous_search') AS anon_calls_today,
        (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM ox_counts WHERE day = DATE '{TODAY}' AND metric = 'page_view' AND dim LIKE '%|browser') AS people_views_today""")
 def h03(i):
-    return U.kpis(usage(i), counts(i), i.fx_clients, i.fx_watches, TODAY)
+    return U.kpis(U.client_days(usage(i)).days, counts(i), i.fx_clients, i.fx_watches, TODAY)
 
 
 _VIEWS = ", ".join(
@@ -98,7 +98,7 @@ SELECT d.day, (SELECT count(DISTINCT client_id) FROM ox_usage u WHERE u.day = d.
        (SELECT CAST(coalesce(sum(calls), 0) AS BIGINT) FROM ox_usage u WHERE u.day = d.day) AS calls,
        (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM ox_counts v WHERE v.day = d.day AND metric = 'anonymous_search') AS anon, {_VIEWS} FROM d""")
 def h04(i):
-    return U.daily_series(usage(i), counts(i), i.fx_clients, "2024-01-20")
+    return U.daily_series(U.client_days(usage(i)).days, counts(i), i.fx_clients, "2024-01-20")
 
 
 @query("h05_tool_table", f"""
@@ -148,7 +148,7 @@ WITH c AS (SELECT client_id, CAST(created_at AS DATE) AS first_day FROM fx_clien
             WHERE created_at > TIMESTAMP '{NOW}' - INTERVAL 30 DAY AND CAST(created_at AS DATE) < DATE '{TODAY}')
 SELECT count(*) AS cohort, count(*) FILTER ((SELECT max(day) FROM ox_usage u WHERE u.client_id = c.client_id) > first_day) AS returned FROM c""")
 def h09(i):
-    return U.retention(i.fx_clients, usage(i), TODAY, NOW)
+    return U.retention(i.fx_clients, U.client_days(usage(i)), TODAY, NOW)
 
 
 _MERGED = "SELECT concat('c', user_id) AS old_id, concat('c', user_id - 1) AS new_id FROM events WHERE user_id % 10 = 7 GROUP BY user_id"

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from jobdelta.functions.text import is_remote, seniority
 from jobdelta.schema import POSTING
+from jobdelta.session import materialize
 
 KEY = ["resource_id", "key"]
 
@@ -75,6 +76,22 @@ def changed_boards(current: DataFrame, previous: DataFrame) -> DataFrame:
     return now.join(before, ["resource_id", "content_hash"], "left_anti").select("resource_id", "content_hash")
 
 
+def posting_delta(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows in which two listings of the same boards differ, whole, with `sign`: -1 gone, 1 come.
+
+    A posting that changed in any field is both. Digests meet in one aggregation with partial sums; equal rows cancel.
+    """
+    fields = [c for c in new.columns if c in old.columns and c not in (*KEY, "ordinal", "complete")]
+    digest = F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    sides = [df.withColumn("_d", digest) for df in (old, new)]
+    net = sides[0].select(*KEY, "_d", F.lit(-1).alias("sign")).union(sides[1].select(*KEY, "_d", F.lit(1))) \
+        .groupBy(*KEY, "_d").agg(F.sum("sign").cast("int").alias("sign")).filter("sign <> 0")
+    net = materialize(net, "delta")
+    columns = [*KEY, *fields, *[c for c in ("ordinal", "complete") if c in old.columns and c in new.columns]]
+    parts = [df.join(net.filter(F.col("sign") * s > 0), [*KEY, "_d"]).select(*columns, "sign") for df, s in zip(sides, (-1, 1))]
+    return parts[0].unionByName(parts[1])
+
+
 def current_snapshot(snapshots: DataFrame) -> DataFrame:
     """Latest snapshot per board (`resource_id`, `snapshot_id`, `fetched_at`, ...)."""
     rest = [c for c in snapshots.columns if c != "resource_id"]

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobdelta.functions.agents import agent_class
 from jobdelta.functions.time import ago, day
+from jobdelta.operators.numbering import numbered
 from jobdelta.operators.snapshot import live
+from jobdelta.session import materialize
 
 # The public pages whose views are counted.
 COUNTED_PAGES = ["/", "/jobs", "/signup", "/signin", "/docs", "/companies", "/llms.txt", "/privacy", "/terms", "/robots.txt"]
@@ -36,15 +40,42 @@ def counts_daily(counter_events: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
 
 
-def kpis(usage: DataFrame, counts: DataFrame, clients: DataFrame, watches: DataFrame, today) -> DataFrame:
-    """One row of headline numbers. Distinct clients come from one row per client, not from distinct sets."""
+class ClientDays(NamedTuple):
+    days: DataFrame     # day, bucket, clients (a bitmap), calls
+    numbers: DataFrame  # client_id, number
+
+
+def client_days(usage: DataFrame, known: DataFrame | None = None) -> ClientDays:
+    """Who was active on each day, as bitmaps of client numbers, 32 768 clients a bucket.
+
+    The usage rows are read once. Distinct clients of any span of days are then the bits of a union, and a day's
+    bitmaps never change: a table of them grows by one day's. `known` (client_id, number) are the numbers given
+    before; new clients get the next ones.
+    """
+    calls = materialize(usage.groupBy("day", "client_id").agg(F.sum("calls").alias("calls")), "client-calls")
+    fresh = calls.filter(F.col("client_id").isNotNull()).select("client_id").distinct()
+    if known is None:
+        numbers = numbered(fresh, [F.col("client_id")], "number")
+    else:
+        start = known.agg(F.coalesce(F.max("number") + 1, F.lit(0))).first()[0]
+        numbers = known.select("client_id", "number").unionByName(numbered(fresh.join(known, "client_id", "left_anti"), [F.col("client_id")], "number", start))
+    numbers = materialize(numbers, "client-numbers")
+    days = calls.join(numbers, "client_id", "left").groupBy("day", F.bitmap_bucket_number("number").alias("bucket")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("clients"), F.sum("calls").alias("calls"))
+    return ClientDays(materialize(days, "client-days"), numbers)
+
+
+def active_clients(days: DataFrame, spans: dict[str, Column]) -> DataFrame:
+    """One row: the number of distinct clients over the days that each condition admits. A null client counts nowhere."""
+    each = days.filter("bucket is not null").groupBy("bucket").agg(*[F.bitmap_or_agg(F.when(on, F.col("clients"))).alias(n) for n, on in spans.items()])
+    return each.agg(*[_n(F.sum(F.bitmap_count(n))).alias(n) for n in spans])
+
+
+def kpis(days: DataFrame, counts: DataFrame, clients: DataFrame, watches: DataFrame, today) -> DataFrame:
+    """One row of headline numbers; `days` are the daily bitmaps of `client_days`."""
     t = day(today)
-    per_client = usage.groupBy("client_id").agg(
-        F.bool_or(F.col("day") == t).alias("d1"), F.bool_or(F.col("day") > day(today, 7)).alias("d7"),
-        F.bool_or(F.col("day") > day(today, 30)).alias("d30"), F.sum(F.when(F.col("day") == t, F.col("calls"))).alias("calls"))
-    active = per_client.agg(
-        F.count_if("d1").alias("active_today"), F.count_if("d7").alias("active_7d"), F.count_if("d30").alias("active_30d"),
-        _n(F.sum("calls")).alias("calls_today"))
+    active = active_clients(days, {"active_today": F.col("day") == t, "active_7d": F.col("day") > day(today, 7), "active_30d": F.col("day") > day(today, 30)})
+    called = days.agg(_n(F.sum(F.when(F.col("day") == t, F.col("calls")))).alias("calls_today"))
     known = clients.agg(F.count("*").alias("clients_total"), F.count_if(F.to_date("created_at") == t).alias("new_today"))
     watching = live(watches).groupBy("client_id").agg(F.count("*").alias("n")) \
         .agg(F.count("*").alias("clients_with_watches"), _n(F.sum("n")).alias("live_watches"))
@@ -52,7 +83,7 @@ def kpis(usage: DataFrame, counts: DataFrame, clients: DataFrame, watches: DataF
     people = (F.col("metric") == "page_view") & F.col("dim").endswith("|browser") & (F.col("day") == t)
     counted = counts.agg(_n(F.sum(F.when(anon, F.col("n")))).alias("anon_calls_today"),
                          _n(F.sum(F.when(people, F.col("n")))).alias("people_views_today"))
-    parts = [active, known, watching, counted]
+    parts = [active, called, known, watching, counted]
     names = [c for p in parts for c in p.columns]
     # Each part is one row; stacking and folding them needs no join.
     rows = [p.select(*[F.col(c).cast("bigint").alias(c) if c in p.columns else F.lit(None).cast("bigint").alias(c) for c in names])
@@ -69,17 +100,19 @@ def calendar(df: DataFrame, today, days: int = 30) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(day(today, days - 1), day(today))).alias("day"))
 
 
-def daily_series(usage: DataFrame, counts: DataFrame, clients: DataFrame, today, days: int = 30) -> DataFrame:
-    """A dense series: active and new clients, calls, anonymous calls, and views by kind of visitor."""
-    recent = (F.col("day") > day(today, days)) & (F.col("day") <= day(today))
-    by_client = usage.filter(recent).groupBy("day", "client_id").agg(F.sum("calls").alias("calls"))
-    used = by_client.groupBy("day").agg(F.count("*").alias("active"), F.sum("calls").alias("calls"))
+def daily_series(days: DataFrame, counts: DataFrame, clients: DataFrame, today, n: int = 30) -> DataFrame:
+    """A dense series of `n` days: active and new clients, calls, anonymous calls, and views by kind of visitor.
+
+    `days` are the daily bitmaps of `client_days`.
+    """
+    recent = (F.col("day") > day(today, n)) & (F.col("day") <= day(today))
+    used = days.filter(recent).groupBy("day").agg(F.sum(F.when(F.col("bucket").isNotNull(), F.bitmap_count("clients"))).alias("active"), F.sum("calls").alias("calls"))
     new = clients.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("new"))
     is_view = F.col("metric") == "page_view"
     seen = counts.filter(recent).groupBy("day").agg(
         F.sum(F.when(F.col("metric") == "anonymous_search", F.col("n"))).alias("anon"),
         *[F.sum(F.when(is_view & F.col("dim").endswith(f"|{c}"), F.col("n"))).alias(c) for c in CLASSES])
-    return calendar(usage, today, days).join(used, "day", "left").join(new, "day", "left").join(seen, "day", "left") \
+    return calendar(days, today, n).join(used, "day", "left").join(new, "day", "left").join(seen, "day", "left") \
         .select("day", *[_n(F.col(c)).alias(c) for c in ("active", "new", "calls", "anon", *CLASSES)])
 
 
@@ -126,12 +159,22 @@ def page_table(counts: DataFrame, today) -> DataFrame:
         .orderBy((F.col("browser") + F.col("ai") + F.col("other")).desc(), "path")
 
 
-def retention(clients: DataFrame, usage: DataFrame, today, now) -> DataFrame:
-    """Clients of the last 30 days, before today, that used a tool; and how many used one on a later day."""
-    last = usage.groupBy("client_id").agg(F.max("day").alias("last_day"))
-    return clients.filter((F.col("created_at") > ago(now, days=30)) & (F.to_date("created_at") < day(today))) \
-        .join(last, "client_id").agg(
-            F.count("*").alias("cohort"), F.count_if(F.col("last_day") > F.to_date("created_at")).alias("returned"))
+def retention(clients: DataFrame, usage: ClientDays, today, now) -> DataFrame:
+    """Clients of the last 30 days, before today, that used a tool; and how many used one on a later day.
+
+    Per day of arrival the bitmap of its clients meets the union of all days' bitmaps and that of the later days'.
+    """
+    came = clients.filter((F.col("created_at") > ago(now, days=30)) & (F.to_date("created_at") < day(today))) \
+        .join(usage.numbers, "client_id").groupBy(F.to_date("created_at").alias("came"), F.bitmap_bucket_number("number").alias("bucket")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("cohort"))
+    # Every day counts for the at most 31 days of arrival before it.
+    last = F.least(F.date_sub("day", 1), day(today))
+    later = usage.days.filter(F.col("bucket").isNotNull() & (last >= day(today, 31))) \
+        .select("bucket", "clients", F.explode(F.sequence(day(today, 31), last)).alias("came")).groupBy("came", "bucket").agg(F.bitmap_or_agg("clients").alias("later"))
+    sides = came.select("came", "bucket", F.col("cohort").alias("bits"), F.lit(True).alias("own")).unionByName(
+        later.select("came", "bucket", F.col("later").alias("bits"), F.lit(False).alias("own")))
+    met = sides.groupBy("came", "bucket").agg(F.max(F.when(F.col("own"), F.bitmap_count("bits"))).alias("n"), F.bitmap_and_agg("bits").alias("both"), F.count(F.lit(1)).alias("sides"))
+    return met.agg(_n(F.sum("n")).alias("cohort"), _n(F.sum(F.when((F.col("sides") == 2) & F.col("n").isNotNull(), F.bitmap_count("both")))).alias("returned"))
 
 
 def merge_identities(usage: DataFrame, mapping: DataFrame) -> DataFrame:
