@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from checks import payloads as Y
-from checks.registry import query
+from checks.registry import query, spread
 from checks.views import ox_remote, ox_seniority
 from jobdelta.operators import extract as X
 
@@ -21,7 +21,7 @@ DERIVED = f"{ox_remote('title', 'location')} AS remote, {ox_seniority('title')}
 
 
 def payloads(i, adapter):
-    p = i.sql(Y.payload_sql(adapter))
+    p = spread(i.sql(Y.payload_sql(adapter)))
     return p.unionByName(i.sql(Y.ICIMS_SEARCH)) if adapter == "icims" else p
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import query, spread
 from checks.views import ORACLE_VIEWS
 from jobdelta.functions.request_words import place_aliases
 from jobdelta.operators import requests as R
@@ -27,7 +27,7 @@ ORACLE_VIEWS["ox_requests"] = f"""SELECT {_K} AS id,
 
 
 def _read(i):
-    return R.interpret_requests(i.sql(REQUESTS), "request", service="jobhound")
+    return R.interpret_requests(spread(i.sql(REQUESTS)), "request", service="jobhound")
 
 
 @query("e03_interpret_requests", """

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import query, spread
 from checks.views import ORACLE_VIEWS, ox_label, ox_remote, ox_seniority, ox_term
 from jobdelta.functions import pay as P
 from jobdelta.functions import text as X
 from jobdelta.functions import urls as U
+from jobdelta.functions.sql import register_functions
 from jobdelta.operators.boards import dedupe_boards
 
 WS = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -37,15 +38,18 @@ def c01(i):
 
 
 # What fx_pay_text was built to say.
-@query("c02_parse_salary", """
+_PAY = """
 SELECT o_orderkey AS id,
   CASE o_orderkey % 4 WHEN 0 THEN CAST(60000 + o_orderkey % 90 * 1000 AS DOUBLE) WHEN 1 THEN CAST(20 + o_orderkey % 60 AS DOUBLE) END AS "min",
   CASE o_orderkey % 4 WHEN 0 THEN CAST(90000 + o_orderkey % 90 * 1000 AS DOUBLE) WHEN 1 THEN CAST(30 + o_orderkey % 60 AS DOUBLE) END AS "max",
   CASE o_orderkey % 4 WHEN 0 THEN 'year' WHEN 1 THEN 'hour' END AS period, CASE WHEN o_orderkey % 4 < 2 THEN 'USD' END AS currency,
   CAST(CASE o_orderkey % 4 WHEN 0 THEN 60000 + o_orderkey % 90 * 1000 WHEN 1 THEN 2080 * (20 + o_orderkey % 60) END AS BIGINT) AS annual_min,
-  CAST(CASE o_orderkey % 4 WHEN 0 THEN 90000 + o_orderkey % 90 * 1000 WHEN 1 THEN 2080 * (30 + o_orderkey % 60) END AS BIGINT) AS annual_max FROM orders""")
+  CAST(CASE o_orderkey % 4 WHEN 0 THEN 90000 + o_orderkey % 90 * 1000 WHEN 1 THEN 2080 * (30 + o_orderkey % 60) END AS BIGINT) AS annual_max FROM orders"""
+
+
+@query("c02_parse_salary", _PAY)
 def c02(i):
-    return i.fx_pay_text.select("id", P.parse_salary(F.col("text")).alias("s")).select(
+    return spread(i.fx_pay_text).select("id", P.parse_salary(F.col("text")).alias("s")).select(
         "id", "s.min", "s.max", "s.period", "s.currency", "s.annual_min", "s.annual_max")
 
 
@@ -78,10 +82,13 @@ def c04(i):
     return i.sql(PERIODS).select("id", P.period_of(F.col("words")).alias("period"))
 
 
-@query("c05_parse_experience", """
-SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(1 + o_orderkey % 12 AS DOUBLE) END AS years FROM orders""")
+_YEARS = """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN CAST(1 + o_orderkey % 12 AS DOUBLE) END AS years FROM orders"""
+
+
+@query("c05_parse_experience", _YEARS)
 def c05(i):
-    return i.fx_pay_text.select("id", P.parse_experience(F.col("text")).alias("years"))
+    return spread(i.fx_pay_text).select("id", P.parse_experience(F.col("text")).alias("years"))
 
 
 @query("c06_posting_details", """
@@ -90,7 +97,7 @@ SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 10 = 0 THEN 111000 WHEN o_o
        CASE WHEN o_orderkey % 3 = 0 THEN CAST(1 + o_orderkey % 12 AS DOUBLE) END AS years FROM orders""")
 def c06(i):
     own = F.when(F.col("id") % 10 == 0, P.make_salary(F.lit(111000), F.lit(None), F.lit("year"), F.lit("usd")))
-    out = P.posting_details(i.fx_pay_text, [F.lit("Clerk"), F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>&nbsp;"))], own)
+    out = P.posting_details(spread(i.fx_pay_text), [F.lit("Clerk"), F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>&nbsp;"))], own)
     return out.select("id", "salary.annual_min", F.col("experience_years").alias("years"))
 
 
@@ -108,7 +115,7 @@ def c07(i):
 
 @query("c08_seniority", f"SELECT id, {ox_seniority('title')} AS seniority FROM ox_titles")
 def c08(i):
-    return i.sql(TITLES).select("id", X.seniority(F.col("title")).alias("seniority"))
+    return spread(i.sql(TITLES)).select("id", X.seniority(F.col("title")).alias("seniority"))
 
 
 @query("c09_search_text", """
@@ -132,12 +139,24 @@ _TEXTS = """SELECT p_partkey AS id, lower(concat(p_name, CASE p_partkey % 8 WHEN
 @query("c11_term_match", " UNION ALL ".join(
     f"SELECT id, '{t}' AS term, {ox_term('text', chr(39) + t + chr(39))} AS hit FROM ({_TEXTS})" for t in _TERMS))
 def c11(i):
-    X.register_functions(i.spark)
+    register_functions(i.spark)
     rows = i.sql(_TEXTS).withColumn("term", F.explode(F.array(*[F.lit(t) for t in _TERMS])))
     return rows.select("id", "term", F.expr("term_match(text, term)").alias("sql_hit"), X.term_match(F.col("text"), F.col("term")).alias("hit")) \
         .select("id", "term", (F.col("hit") & F.col("sql_hit")).alias("hit"))
 
 
+@query("k01_sql_parse_salary", _PAY)
+def k01(i):
+    register_functions(i.spark)
+    return spread(i.fx_pay_text).select("id", F.expr("parse_salary(text)").alias("s")).select("id", "s.min", "s.max", "s.period", "s.currency", "s.annual_min", "s.annual_max")
+
+
+@query("k02_sql_parse_experience", _YEARS)
+def k02(i):
+    register_functions(i.spark)
+    return spread(i.fx_pay_text).select("id", F.expr("parse_experience(text)").alias("years"))
+
+
 _BOARD_URLS = """SELECT s_suppkey AS id, CASE s_suppkey % 12 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' WHEN 3 THEN 'workable' WHEN 4 THEN 'smartrecruiters' WHEN 5 THEN 'recruitee'
      WHEN 6 THEN 'workday' WHEN 7 THEN 'icims' WHEN 8 THEN 'apple' WHEN 9 THEN 'oracle' WHEN 10 THEN 'eightfold' ELSE 'html' END AS adapter,
    CASE s_suppkey % 12 WHEN 0 THEN concat('https://boards-api.greenhouse.io/v1/boards/acme-robotics', s_suppkey, '/jobs') WHEN 1 THEN concat('https://api.eu.lever.co/v0/postings/blue_box.', s_suppkey, '?mode=json')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.views import ORACLE_VIEWS
 from jobdelta.functions.agents import agent_class, with_client_bucket
+from jobdelta.functions.sql import register_functions
 from jobdelta.operators import usage as U
 
 TODAY, NOW = "2024-01-08", "2024-01-08 18:00:00"
@@ -65,14 +66,23 @@ _IPS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('10.0.', user_id
     ELSE concat('2001:0db8:00ab:', lpad(CAST(user_id % 100 AS STRING), 4, '0'), ':1:2:3:', event_id % 90) END AS ip FROM events"""
 
 
-@query("c18_client_bucket", f"""
+_BUCKETS = f"""
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN ip WHEN 1 THEN concat('10.1.', user_id % 250, '.7')
     WHEN 2 THEN concat('2001:db8:0:', user_id % 100, '::/64') ELSE concat('2001:db8:ab:', user_id % 100, '::/64') END AS bucket
-  FROM ({_IPS}) JOIN events USING (event_id)""")
+  FROM ({_IPS}) JOIN events USING (event_id)"""
+
+
+@query("c18_client_bucket", _BUCKETS)
 def c18(i):
     return with_client_bucket(i.sql(_IPS)).select("event_id", "bucket")
 
 
+@query("k03_sql_client_bucket", _BUCKETS)
+def k03(i):
+    register_functions(i.spark)
+    return i.sql(_IPS).select("event_id", F.expr("client_bucket(ip)").alias("bucket"))
+
+
 @query("h03_kpis", f"""
 SELECT (SELECT count(DISTINCT client_id) FROM ox_usage WHERE day = DATE '{TODAY}') AS active_today,
        (SELECT count(DISTINCT client_id) FROM ox_usage WHERE day > DATE '{TODAY}' - 7) AS active_7d,

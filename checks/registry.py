@@ -26,6 +26,11 @@ class Inputs:
         return run_sql(self.spark, self.sf_dir, body)
 
 
+def spread(df):
+    """The rows over all cores: the tables are single small files, where a real table has many."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def query(name: str, oracle: str | None = None):
     def wrap(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))

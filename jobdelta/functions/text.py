@@ -177,14 +177,3 @@ def word_initials(text: Column) -> Column:
             F.rlike(p, F.lit("^[a-z]")),
             F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p))),
         ).otherwise(p)), "")
-
-
-def register_functions(spark) -> None:
-    """`term_match(text, term)` for SQL users, as a native SQL function."""
-    spark.sql(r"""
-        CREATE OR REPLACE TEMPORARY FUNCTION term_match(text STRING, term STRING) RETURNS BOOLEAN
-        RETURN contains(text, term) AND rlike(text, concat(
-          r'(^|[^\p{L}\p{N}])',
-          regexp_replace(term, r'([\\^$.*+?()\[\]{}|/\-&#~])', r'\\$1'),
-          r'(s|es)?($|[^\p{L}\p{N}])'))
-    """)
