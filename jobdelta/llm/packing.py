@@ -1,7 +1,8 @@
 """Best-fit packing of documents into fixed-length sequences by a grouping genetic algorithm.
 
 The groups are bins (sequences). Crossover injects whole well-filled bins of one parent into another, removes
-the bins that would hold a document twice, and places the displaced documents by best fit, longest first.
+the bins that would hold a document twice, and places the displaced documents anew: bins first exchange one or two
+documents for displaced ones that fill them better, then best fit places the rest, longest first.
 
 Documents are dealt at random to blocks of bounded size. Each block is solved by several islands, each a task
 of its own; between epochs every island sends its elite to the next one. Bins that remain poorly filled in
@@ -10,6 +11,8 @@ their block are dissolved and their documents dealt to fewer blocks, until one b
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,6 +26,7 @@ from jobdelta.llm.pretokens import PATTERN, Vocabulary
 CAPACITY = 2048
 BLOCK = 4096  # documents that one block holds on average
 ISLANDS, POPULATION, GENERATIONS, EPOCHS = 2, 4, 4, 2
+SECONDS = 6  # larger halves of a pair that an exchange tries
 WELL_FILLED = 0.995  # bins below this share of the capacity are dealt anew
 TAIL = 8  # of a block's least filled bins, dealt anew when almost none is well filled
 
@@ -130,6 +134,55 @@ def best_fit(sizes: np.ndarray, bins: np.ndarray, loose: np.ndarray, capacity: i
     return bins
 
 
+def exchange(sizes: np.ndarray, bins: np.ndarray, loose: np.ndarray, capacity: int) -> np.ndarray:
+    """`bins` after each open bin gave up one or two documents for one or two loose ones that fill it better.
+
+    Documents given up are loose then, and mostly smaller, so the rest fits more easily. Bins are tried from the
+    fullest on; of all exchanges of a bin the one that fills it most is made.
+    """
+    if not len(loose) or not (bins >= 0).any():
+        return bins
+    bins = bins.copy()
+    placed = np.flatnonzero(bins >= 0)
+    free = capacity - np.bincount(bins[placed], weights=sizes[placed]).astype(np.int64)
+    order = placed[np.argsort(bins[placed], kind="stable")]
+    cuts = np.searchsorted(bins[order], np.arange(len(free) + 1))
+    size_of = sizes.tolist()
+    pool = sorted((size_of[i], i) for i in loose.tolist())
+    for b in np.argsort(free, kind="stable").tolist():
+        room, own = int(free[b]), order[cuts[b] : cuts[b + 1]].tolist()
+        if not room or not own or not pool:
+            continue
+        gain, out, taken = 0, (), ()
+        ways = [(size_of[i], (i,)) for i in own] + [(size_of[i] + size_of[j], (i, j)) for n, i in enumerate(own) for j in own[:n]]
+        for size, given in ways:
+            k = bisect_right(pool, (size + room, len(size_of))) - 1
+            if k >= 0 and pool[k][0] - size > gain:
+                gain, out, taken = pool[k][0] - size, given, (k,)
+            if len(given) == 1 and gain < room:
+                last = bisect_right(pool, (size + room - pool[0][0], len(size_of))) - 1
+                for k in range(last, max(-1, last - SECONDS), -1):  # the larger of two loose ones, then the best second
+                    n = bisect_right(pool, (size + room - pool[k][0], len(size_of)), 0, k) - 1
+                    if n >= 0 and pool[k][0] + pool[n][0] - size > gain:
+                        gain, out, taken = pool[k][0] + pool[n][0] - size, given, (k, n)
+            if gain == room:
+                break
+        if not gain:
+            continue
+        for k in sorted(taken, reverse=True):
+            bins[pool.pop(k)[1]] = b
+        for i in out:
+            bins[i] = -1
+            insort(pool, (size_of[i], i))
+    return bins
+
+
+def refit(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Displaced documents (bin -1) placed again: exchanged first, the rest by best fit."""
+    bins = exchange(sizes, bins, np.flatnonzero(bins < 0), capacity)
+    return best_fit(sizes, bins, np.flatnonzero(bins < 0), capacity)
+
+
 def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> float:
     """Few bins first, then bins as unevenly filled as can be: room gathered in few bins can be used again."""
     fill = np.bincount(bins, weights=sizes) / capacity
@@ -147,7 +200,7 @@ def crossover(sizes: np.ndarray, one: np.ndarray, other: np.ndarray, capacity: i
     broken[one[injected]] = True  # bins that hold a document a second time
     child = np.where(broken[one], -1, one)
     child[injected] = other[injected] + len(broken)
-    return best_fit(sizes, child, np.flatnonzero(child < 0), capacity)
+    return refit(sizes, child, capacity)
 
 
 def mutate(sizes: np.ndarray, bins: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
@@ -156,8 +209,7 @@ def mutate(sizes: np.ndarray, bins: np.ndarray, capacity: int, rng: np.random.Ge
     gone = np.zeros(len(fill), dtype=bool)
     gone[np.argsort(fill, kind="stable")[: max(1, len(fill) // 20)]] = True
     gone[rng.choice(len(fill), size=max(1, len(fill) // 20), replace=False)] = True
-    loose = gone[bins]
-    return best_fit(sizes, np.where(loose, -1, bins), np.flatnonzero(loose), capacity)
+    return refit(sizes, np.where(gone[bins], -1, bins), capacity)
 
 
 def first_population(sizes: np.ndarray, capacity: int, size: int, rng: np.random.Generator) -> list[np.ndarray]:

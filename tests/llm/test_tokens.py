@@ -166,6 +166,29 @@ def test_genetic_steps_keep_every_document():
     assert packing.fitness(sizes, best[0], 100) >= max(packing.fitness(sizes, p, 100) for p in pop)
 
 
+@pytest.mark.parametrize("low,high", [(300, 1100), (500, 760), (100, 900)])
+def test_genetic_search_beats_best_fit(low, high):
+    """Lengths that best fit leaves bins half used by; the settings are those of one island."""
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(low, high, packing.BLOCK).astype(np.int64)
+    best_fit = packing.best_fit(sizes, np.full(len(sizes), -1), np.arange(len(sizes)), packing.CAPACITY).max() + 1
+    floor = -(-int(sizes.sum()) // packing.CAPACITY)
+    found = packing.evolve(sizes, packing.first_population(sizes, packing.CAPACITY, packing.POPULATION, rng), packing.CAPACITY, packing.EPOCHS * packing.GENERATIONS, rng)[0]
+    assert np.bincount(found, weights=sizes).max() <= packing.CAPACITY and (found >= 0).all()
+    assert found.max() + 1 < best_fit or best_fit == floor
+
+
+def test_exchange_loses_no_document():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        sizes = rng.integers(1, 60, 80).astype(np.int64)
+        bins = packing.best_fit(sizes, np.full(80, -1), np.arange(80), 100)
+        bins = np.where(np.isin(bins, rng.choice(bins.max() + 1, 4, replace=False)), -1, bins)
+        after = packing.exchange(sizes, bins, np.flatnonzero(bins < 0), 100)
+        fill = lambda b: np.bincount(b[b >= 0], weights=sizes[b >= 0], minlength=80)
+        assert (fill(after) <= 100).all() and (fill(after) >= fill(bins)).all() and (after >= 0).sum() + (after < 0).sum() == 80
+
+
 def test_packing_blocks_share_their_last_sequences(spark):
     """Two pieces fill a sequence, never well: blocks of an odd number of pieces must not each keep a half-empty one."""
     sizes = [900 + n % 100 for n in range(3000)]
