@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -108,7 +109,25 @@ def test_language_cases(spark):
     assert language.identify(documents(spark, []).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 9, 20])
+def test_language_tells_foreign_texts(spark):
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
+    random_letters = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)) for _ in range(50)]
+    random_words = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)) for _ in range(50)]
+    unseen = ["Съешь же ещё этих мягких французских булок да выпей чаю, сказал он и вышел из комнаты на улицу",
+              "tämä on suomenkielinen lause joka kertoo metsästä ja järvestä jossa kalat uivat", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余成岁律吕调阳"]
+    gibberish = random_letters + random_words + unseen + [random_words[0] + (" " + random_words[1]) * 400]
+    clean = [r for r in docs.filter("length(text) > 200").orderBy("doc_id").limit(200).collect()]
+    short = [" ".join(r.text.split()[:3]) for r in clean]
+    rows = [(-1 - n, t, None) for n, t in enumerate(gibberish)] + [(-1001 - n, t, None) for n, t in enumerate(short)]
+    out = {r.doc_id: r for r in language.identify(docs.union(spark.createDataFrame(rows, docs.schema))).collect()}
+    assert all(out[-1 - n].foreign and out[-1 - n].ambiguous and out[-1 - n].score < 0.5 for n in range(len(gibberish)))
+    assert sum(out[-1001 - n].foreign for n in range(len(short))) <= 2
+    known = [r for d, r in out.items() if d >= 0]
+    assert sum(r.foreign for r in known) <= 0.005 * len(known) and sorted(r.score for r in known)[len(known) // 20] > 0.8
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 6, 9, 20, 200])
 def test_codewords_differ(n):
     code = language.codewords(n).astype(int)
     d = (code.shape[1] - code @ code.T) // 2

@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a brute-force version of it, and odd rows through all of them."""
 
+import random
 import re
 
 import pytest
@@ -33,11 +34,13 @@ def test_toxicity_stage(spark, docs):
 
 
 def test_language_stage(spark, docs):
+    noise = "".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500))
     odd = docs.limit(1).selectExpr("-1L as doc_id", "'12 34' as text", "lang", "source", "n_chars")
+    odd = odd.union(docs.limit(1).selectExpr("-2L as doc_id", f"'{noise}' as text", "cast(null as string) as lang", "source", "n_chars"))
     found = {r.doc_id: r for r in language.identify(docs.union(odd)).collect()}
     kept = {r.doc_id for r in stage("language")(spark, docs.union(odd), SF).collect()}
-    assert kept == {d for d, r in found.items() if r.lang_pred != "und" and r.score >= P.LEAST_LANGUAGE_SCORE}
-    assert -1 not in kept and len(kept) >= 0.99 * docs.count()
+    assert kept == {d for d, r in found.items() if r.lang_pred != "und" and not r.foreign}
+    assert not kept & {-1, -2} and len(kept) >= 0.99 * docs.count()
 
 
 def test_exact_stage(spark, docs):
