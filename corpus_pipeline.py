@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from jobdelta.llm import exact_dedup, language, near_dedup, packing, toxicity
 from jobdelta.llm.common import unused, written
 
-#: Texts whose nearest codeword is hardly nearer than another's are in no language the corpus knows well.
-LEAST_LANGUAGE_SCORE = 0.4
-
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the nearest labelled examples call toxic. Null and empty texts stay."""
@@ -21,12 +18,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that no language's codeword fits. Without any row to learn from all stay."""
+    """Drops documents without a letter, and those foreign to every language of the corpus. Without any row to learn from all stay."""
     model = language.fit(docs)
     if not model.languages:
         return docs
     found = unused(docs, "found")
-    fits = (F.col(f"{found}.lang_pred") != language.UNKNOWN) & (F.col(f"{found}.score") >= LEAST_LANGUAGE_SCORE)
+    fits = (F.col(f"{found}.lang_pred") != language.UNKNOWN) & ~F.col(f"{found}.foreign")
     return language.with_language(docs, model, found).filter(fits).drop(found)
 
 
