@@ -103,7 +103,9 @@ class Encoder:
         for p in {p for ps in found for p in ps}.difference(made):
             ids = self.pretoken(p)
             made[p] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(made.__getitem__, ps)) for ps in found]
+        out = [b"".join(map(made.__getitem__, ps)) for ps in found]
+        self.cache.drop_long(made, found)
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -68,6 +68,11 @@ class UnitCache:
                 del kept[u]
         return out
 
+    def drop_long(self, made: dict, found: list[list[bytes]]) -> None:
+        """Takes pre-tokens beyond `longest` out of `made`: entries of bounded size, of bounded number, take bounded memory."""
+        for p in {p for ps in found for p in ps if len(p) > self.longest}:
+            del made[p]
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that a byte-level vocabulary writes for each byte: printable bytes stand for themselves,

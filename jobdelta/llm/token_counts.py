@@ -119,7 +119,9 @@ class Counter:
         lengths = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct))
         symbols = self.byte_ids[np.frombuffer(b"".join(distinct), dtype=np.uint8)]
         counts.update(zip(distinct, surviving(symbols, lengths, self.pairs).tolist()))
-        return [sum(map(counts.__getitem__, ps)) for ps in found]
+        out = [sum(map(counts.__getitem__, ps)) for ps in found]
+        self.cache.drop_long(counts, found)
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
         segments, owner, out = [], [], [0] * len(texts)

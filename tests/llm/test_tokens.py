@@ -46,6 +46,18 @@ def test_a_full_cache_starts_anew():
         assert [h + sum(r) for h, r in cache.values(["one two three four five", "six"])] == [23, 3]
 
 
+def test_long_pretokens_are_not_kept(library):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(20_000)) + " tail" for _ in range(5)]
+    counter, encoder = token_counts.Counter(PATH), bpe.Encoder(PATH)
+    want = [library(t) for t in texts]
+    for _ in range(2):
+        assert counter.counts(texts) == [len(w) for w in want]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == want
+    for made in (counter.made, encoder.made):
+        assert b" tail" in made and max(map(len, made)) <= counter.cache.longest
+
+
 def test_counts_encoding_and_decoding(spark, library):
     texts = ODD + random_texts(200)
     docs = documents(spark, texts)
