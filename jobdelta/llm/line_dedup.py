@@ -1,7 +1,7 @@
 """Boilerplate lines by the number of distinct sites that carry them.
 
-Every line hash gets a HyperLogLog sketch of its sites; sketches merge by aggregation, so a line of any number
-of pages costs one small row per task. Where the estimate lies so near the threshold that it might be on the
+Occurrences are added up per line hash and site first, so a line of any number of pages costs one small row per
+task and site. Every line hash then gets a HyperLogLog sketch of its sites; sketches merge by aggregation. Where the estimate lies so near the threshold that it might be on the
 wrong side, the sites are counted exactly. Lines on enough sites are removed from all documents.
 """
 
@@ -17,6 +17,9 @@ SKETCH_BITS = 12
 #: Six standard errors of a sketch of 2^12 registers (1.04 / sqrt(4096) each).
 MARGIN = 6 * 1.04 / 2 ** (SKETCH_BITS / 2)
 
+#: The blanks that do not count at a line's ends.
+BLANKS = " \t\n\x0b\x0c\r"
+
 _KEY = ["line_a", "line_b"]
 _DOC = ["id", "text_a", "text_b"]
 
@@ -30,23 +33,23 @@ def _identified(docs: DataFrame, site: str) -> DataFrame:
 
 def _lines(rows: DataFrame, *carry: str) -> DataFrame:
     """Each line that is not blank, by 128 bits of hash and its place."""
-    line = F.trim(F.col("line"))
+    line = F.btrim(F.col("line"), F.lit(BLANKS))
     return rows.select(*carry, F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(line != "") \
         .select(*carry, "place", F.xxhash64(line).alias("line_a"), F.xxhash64(F.lit(1), line).alias("line_b"))
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """line_a, line_b (hash) of the lines that stand on at least `min_sites` distinct sites; null is a site of its own."""
-    lines = _lines(_identified(docs, site), "site")
+    lines = written(_lines(_identified(docs, site), "site").groupBy(*_KEY, "site").agg(F.count(F.lit(1)).alias("n")), "line-sites")
     # A line that occurs fewer times than that cannot be on as many sites: it needs no sketch.
-    often = lines.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select(*_KEY)
+    often = lines.groupBy(*_KEY).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_sites).select(*_KEY)
     candidates = lines.join(often, _KEY, "left_semi")
     spread = candidates.groupBy(*_KEY).agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch")) \
         .select(*_KEY, F.hll_sketch_estimate("sketch").alias("sites"))
     spread = written(spread, "line-spread")
     sure = spread.filter(F.col("sites") > min_sites * (1 + MARGIN)).select(*_KEY)
     near = spread.filter(F.col("sites").between(int(min_sites * (1 - MARGIN)), min_sites * (1 + MARGIN))).select(*_KEY)
-    counted = lines.join(near, _KEY, "left_semi").select(*_KEY, "site").distinct().groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")) \
+    counted = lines.join(near, _KEY, "left_semi").groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")) \
         .filter(F.col("n") >= min_sites).select(*_KEY)
     return written(sure.union(counted), "line-boilerplate")
 
@@ -54,7 +57,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text of every row.
 
-    Lines are compared without blanks at their ends and cut at line feeds only; blank lines stay. A null text
+    Lines are compared without blanks (`BLANKS`) at their ends, cut at line feeds only, and read whole; blank lines stay. A null text
     counts as empty, which is one blank line. Repeated rows are all returned; other columns are ignored; an
     empty table gives an empty one.
     """
@@ -68,11 +71,13 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
                          F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
 
 
+_TRIMMED = "trim(line, ' ' || " + " || ".join(f"chr({ord(c)})" for c in BLANKS[1:]) + ")"
+
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, site, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM d),
-b AS (SELECT trim(line) AS line FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= {MIN_SITES}),
+b AS (SELECT {_TRIMMED} AS line FROM l WHERE {_TRIMMED} <> '' GROUP BY 1 HAVING count(DISTINCT site) >= {MIN_SITES}),
 k AS (SELECT r, count(*) AS n_lines, count(b.line) AS n_removed, string_agg(l.line, chr(10) ORDER BY place) FILTER (WHERE b.line IS NULL) AS text
-        FROM l LEFT JOIN b ON trim(l.line) = b.line GROUP BY r)
+        FROM l LEFT JOIN b ON {_TRIMMED.replace("line", "l.line")} = b.line GROUP BY r)
 SELECT doc_id, n_lines, n_removed, coalesce(text, '') AS text FROM d JOIN k USING (r)
 """
