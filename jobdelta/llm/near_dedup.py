@@ -11,7 +11,7 @@ sorted by signature, and no common prefix is measured: the threshold is fixed, s
    most; then, with the components that these make, every pair that the sketches do not rule out.
 
 Crowded regions are compared whole, like the others: they are split into blocks, and all blocks meet whose set
-sizes allow the similarity. Every link is confirmed on the full sets. A pair at the threshold shares no region of
+sizes allow the similarity, but for two blocks of the region's largest component, which has no links to gain. Every link is confirmed on the full sets. A pair at the threshold shares no region of
 16 trees of depth 3 with a chance of 0.0002, and less the more alike it is.
 """
 
@@ -157,7 +157,8 @@ def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one, other = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return written(written(pairs, "near-pairs").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near-links")
+    # A hub is the `a` of many pairs. That join comes last, when the rows hold the other set: adaptive execution sees its size and splits it.
+    return written(written(pairs, "near-pairs").join(other, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near-links")
 
 
 def _orders() -> list[list[int]]:
@@ -230,22 +231,30 @@ def _compare(rows: list, joining: bool) -> list[tuple[int, int]]:
 
 def _likely(mixed_rows: DataFrame, sets: DataFrame, joining: bool) -> DataFrame:
     """Pairs (a, b) of `_compare` over all regions. A region of more rows than one comparison holds is split into blocks
-    by set size and hash, and every two blocks meet whose sizes are alike enough."""
+    by set size and hash, and every two blocks meet whose sizes are alike enough. Rows of the region's largest part are in
+    blocks of their own, which meet blocks of the other parts only: a family that is one part already costs its rows
+    once for each block of outsiders, and no pairs among itself."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.floor(F.log("n") / math.log(SIZE_STEP)).cast("int")
-    whole = mixed_rows.filter(F.col("rows") <= CROWDED).withColumns({"block": F.lit(0), "low": F.lit(0), "high": F.lit(0)}) \
+    whole = mixed_rows.filter(F.col("rows") <= CROWDED).withColumns({"block": F.lit(0).cast("long"), "low": F.lit(0).cast("long"), "high": F.lit(0).cast("long")}) \
         .join(sets.select("node", "n", "sketch"), "node")
     crowded = mixed_rows.filter(F.col("rows") > CROWDED)
-    # Per crowded region: into how many blocks the rows of each size are dealt.
-    blocks = crowded.select("region", "node").join(sets.select("node", "n"), "node").groupBy("region", size.alias("size")) \
+    largest = crowded.groupBy("region", "part").agg(F.count(F.lit(1)).alias("n")) \
+        .groupBy("region").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    # A cell holds the rows of one size, of the largest part (odd) or of the others (even).
+    cell = (2 * size + (F.col("part") == F.col("largest")).cast("int")).cast("int")
+    # Per crowded region: into how many blocks the rows of each cell are dealt.
+    blocks = crowded.select("region", "node", "part").join(largest, "region").join(sets.select("node", "n"), "node").groupBy("region", cell.alias("cell")) \
         .agg(F.ceil(F.count(F.lit(1)) / (CROWDED // 2)).cast("int").alias("blocks")) \
-        .groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("size", "blocks"))).alias("blocks"))
-    number = lambda size, at: F.shiftleft(size, 24) + at
-    split = crowded.join(sets.select("node", "n", "sketch"), "node").withColumn("size", size).join(blocks, "region") \
-        .withColumn("block", number(F.col("size"), F.pmod(F.xxhash64("node", "n"), F.col("blocks")[F.col("size")]).cast("int"))) \
+        .groupBy("region").agg(F.map_from_entries(F.collect_list(F.struct("cell", "blocks"))).alias("blocks"))
+    number = lambda cell, at: F.shiftleft(cell.cast("long"), 32) + at
+    even = F.col("cell") - F.pmod("cell", F.lit(2))
+    met = F.concat(F.array(even - 2, even, even + 2), F.when(F.col("cell") == even, F.array(even - 1, even + 1, even + 3)).otherwise(F.array().cast("array<int>")))
+    split = crowded.join(largest, "region").join(sets.select("node", "n", "sketch"), "node").withColumn("cell", cell).join(blocks, "region") \
+        .withColumn("block", number(F.col("cell"), F.pmod(F.xxhash64("node", "n"), F.col("blocks")[F.col("cell")]))) \
         .withColumn("other", F.explode(F.flatten(F.transform(
-            F.filter(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1), lambda s: F.map_contains_key("blocks", s)),
-            lambda s: F.transform(F.sequence(F.lit(0), F.col("blocks")[s] - 1), lambda at: number(s, at)))))) \
+            F.filter(met, lambda c: F.map_contains_key("blocks", c)),
+            lambda c: F.transform(F.sequence(F.lit(0), F.col("blocks")[c] - 1), lambda at: number(c, at)))))) \
         .withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     names = ["region", "low", "high", "node", "part", "n", "tree", "block", "keys", "sketch"]
     rows = whole.select(*names).union(split.select(*names))

@@ -20,7 +20,8 @@ def documents(spark, rows):
 
 def twin(name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "conversations", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     res = con.execute(queries.ORACLES[name])
     cols = [c[0] for c in res.description]
     return cols, sorted(map(repr, res.fetchall()))
@@ -143,6 +144,26 @@ def test_near_crowded_regions_keep_single_bridges(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == want
 
 
+def test_near_crowded_family_meets_outsiders_only(spark, monkeypatch):
+    """A family that the first step joins is not compared with itself; outsiders of its regions still find their links."""
+    monkeypatch.setattr(near_dedup, "CROWDED", 8)
+    seen, compare = spark.sparkContext.accumulator(0), near_dedup._compare
+
+    def counted(rows, joining):
+        if len(rows[1]) > 3 and len(set(rows[1].tolist())) == 1:  # the outsiders are three
+            seen.add(1)
+        return compare(rows, joining)
+
+    monkeypatch.setattr(near_dedup, "_compare", counted)
+    words = [f"w{n}" for n in range(120)]
+    text = lambda *at: " ".join("X" if n in at else w for n, w in enumerate(words))
+    rows = [(n, text(n % 100) + f" own{n}", "s") for n in range(100)]
+    rows += [(500, text(10, 22, 34, 46, 58, 70, 82), "s"), (501, text(10, 22, 34, 46, 58, 70, 82, 94), "s"), (502, "other " + text(*range(0, 60)), "s")]
+    out = near_dedup.near_groups(documents(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute_near([(d, t) for d, t, _ in rows])
+    assert seen.value == 0
+
+
 def test_near_repeated_rows_are_one_document(spark):
     text = " ".join(f"w{n}" for n in range(30))
     out = near_dedup.near_groups(documents(spark, [(5, text, "s"), (5, text, "s"), (6, text, "s")])).collect()
@@ -159,11 +180,11 @@ def brute_lines(rows, least=line_dedup.MIN_SITES):
     sites = {}
     for _, t, s in rows:
         for line in (t or "").split("\n"):
-            sites.setdefault(line.strip(" "), set()).add(s or "")
+            sites.setdefault(line.strip(line_dedup.BLANKS), set()).add(s or "")
     out = []
     for d, t, _ in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not x.strip(" ") or len(sites[x.strip(" ")]) < least]
+        kept = [x for x in lines if not x.strip(line_dedup.BLANKS) or len(sites[x.strip(line_dedup.BLANKS)]) < least]
         out.append((str(d), len(lines), len(lines) - len(kept), "\n".join(kept)))
     return sorted(out)
 
@@ -173,6 +194,7 @@ def test_lines(spark):
     rows += [(None, None, None), (100, "", "a"), (101, "footer", "a"), (102, "\n\n", "b"), (103, "x" * 100_000 + "\nfooter", "c")]
     rows += [(200, "footer\nrest", "s1")] * 3
     rows += [(300 + n, "four sites\nkeep", f"t{n % 4}") for n in range(40)]
+    rows += [(400 + n, "\r\n".join(["\tmixed ends" if n % 2 else "mixed ends", "", f"own\u00a0{n}", "last"]), f"u{n % 5}") for n in range(20)]
     out = line_dedup.remove_boilerplate(documents(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_lines, r.n_removed, r.text) for r in out) == brute_lines(rows)
 
