@@ -144,26 +144,6 @@ def test_near_crowded_regions_keep_single_bridges(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == want
 
 
-def test_near_crowded_family_meets_outsiders_only(spark, monkeypatch):
-    """A family that the first step joins is not compared with itself; outsiders of its regions still find their links."""
-    monkeypatch.setattr(near_dedup, "CROWDED", 8)
-    seen, compare = spark.sparkContext.accumulator(0), near_dedup._compare
-
-    def counted(rows, joining):
-        if len(rows[1]) > 3 and len(set(rows[1].tolist())) == 1:  # the outsiders are three
-            seen.add(1)
-        return compare(rows, joining)
-
-    monkeypatch.setattr(near_dedup, "_compare", counted)
-    words = [f"w{n}" for n in range(120)]
-    text = lambda *at: " ".join("X" if n in at else w for n, w in enumerate(words))
-    rows = [(n, text(n % 100) + f" own{n}", "s") for n in range(100)]
-    rows += [(500, text(10, 22, 34, 46, 58, 70, 82), "s"), (501, text(10, 22, 34, 46, 58, 70, 82, 94), "s"), (502, "other " + text(*range(0, 60)), "s")]
-    out = near_dedup.near_groups(documents(spark, rows)).collect()
-    assert {r.doc_id: r.component_id for r in out} == brute_near([(d, t) for d, t, _ in rows])
-    assert seen.value == 0
-
-
 def test_near_repeated_rows_are_one_document(spark):
     text = " ".join(f"w{n}" for n in range(30))
     out = near_dedup.near_groups(documents(spark, [(5, text, "s"), (5, text, "s"), (6, text, "s")])).collect()
