@@ -1,18 +1,19 @@
-"""Near-duplicates by MinHash banding.
-
-Texts with equal shingle sets form a class, and each class takes part once. Several trees group the classes by
-a prefix of signature values of their own, of fixed length; classes with the same prefix are a region. Nothing is
-sorted by signature, and no common prefix is measured: the threshold is fixed, so one length serves all.
-
-1. In each region every class is a neighbour of the region's first. Each class is checked against the neighbour
-   with which it shares most regions. What links becomes components.
-2. Regions that still hold several components compare classes of different components by long sketches, without
-   writing the pairs down: first only as many likely links as would join the components, one per component at
-   most; then, with the components that these make, every pair that the sketches do not rule out.
-
-Crowded regions are compared whole, like the others: they are split into blocks, and all blocks meet whose set
-sizes allow the similarity. Every link is confirmed on the full sets. A pair at the threshold shares no region of
-16 trees of depth 3 with a chance of 0.0002, and less the more alike it is.
+"""Near-duplicates by an LSH forest.
+
+Texts with equal shingle sets form a class, and each class takes part once. Every tree of the forest is an order of
+the classes by a label of its own, a row of MinHash values: ranges are sorted side by side, and each class is told
+apart from the one before it by their longest common prefix. A run of classes that share a prefix is a region.
+
+1. Each class is checked against two others: the neighbour with which it shares the longest prefixes, added up over the
+   orders, and the first class of its regions. The depth of a region is adapted: where more than CROWDED classes share
+   the least prefix, longer ones are taken, until no more do or the labels end. What links becomes components.
+2. Regions of the least depth that still hold several components compare classes of different components by long
+   sketches, without writing the pairs down: first only as many likely links as would join the components, one per
+   component at most; then, with the components that these make, every pair that the sketches do not rule out.
+
+Step 2 goes back to the least depth, so a longer prefix loses no link. Crowded regions are split into blocks there, and
+all blocks meet whose set sizes allow the similarity. Every link is confirmed on the full sets. A pair at the
+threshold shares no region of 16 trees at depth 3 with a chance of 0.0002, and less the more alike it is.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ from jobdelta.llm.components import components
 from jobdelta.llm.shingles import shingle_sets
 
 PERCENT = 75  # intersection of at least so many percent of the union
-VALUES = 128  # of a signature
-TREES, DEPTH = 16, 3
-CROWDED = 2048  # rows that one comparison holds about; a region of more is compared block by block
+TREES, DEPTH, LABEL = 16, 3, 8  # orders; values that a region shares at least; values of a label
+VALUES = TREES * LABEL  # of a signature
+CROWDED = 2048  # rows that one comparison holds about; a region of more is compared block by block, and goes deeper for its first class
 SIZE_STEP = 1.001 * 100 / PERCENT  # sets whose sizes are two such steps apart cannot be similar enough; a little more, for rounding
 SKETCH = 2048  # bits of a sketch: one of each further MinHash value, which agrees with chance (1 + similarity) / 2
 _SHARE = (1 + PERCENT / 100) / 2
@@ -160,25 +162,107 @@ def _confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(written(pairs, "near-pairs").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near-links")
 
 
-def _orders() -> list[list[int]]:
-    """Which signature values are the prefix of each tree."""
-    return [list(range(t * DEPTH, (t + 1) * DEPTH)) for t in range(TREES)]
+def _label(tree: int, depth: int) -> "Column":  # noqa: F821
+    """The first values of a signature's label in one tree."""
+    return F.substring("signature", 4 * LABEL * tree + 1, 4 * depth)
+
 
+def _region(depth: int) -> "Column":  # noqa: F821
+    return F.xxhash64("tree", F.substring("label", 1, 4 * depth))
 
-def _regions(classes: DataFrame) -> DataFrame:
-    """region, tree, node and keys (of its regions in all trees) of classes that share a region with others."""
-    prefixes = [F.concat(*[F.substring("signature", 4 * p + 1, 4) for p in order]) for order in _orders()]
-    keyed = classes.select("node", F.array(*[F.hash(p) for p in prefixes]).alias("keys"),
-                           F.posexplode(F.array(*[F.xxhash64(F.lit(len(prefixes) + t * 1000), p) for t, p in enumerate(prefixes)])).alias("tree", "region"))
-    several = keyed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("region")
-    return keyed.join(several, "region", "left_semi")
 
+def _common(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many values two rows of (tree, label) have in common from the first on; none in different trees."""
+    return np.cumprod(one == other, axis=1).sum(axis=1) - 1
 
-def _mixed(regions: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows of regions that hold several parts, with their part and `rows`, how many the region has."""
-    placed = regions.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+def _neighbours(batches):
+    """Of the sorted rows (tree, label, node) of one range those that share a region with the row before or after them.
+
+    `before` is that row's node and `common` the length of the prefix; the first and the last row of a range always
+    stay, since their other neighbour is elsewhere, with `common` -1 in the first and `last` in the last.
+    """
+    part = TaskContext.get().partitionId()
+    held, before = None, None  # the last row so far, and what was before it
+
+    def rows_of(b: pa.RecordBatch) -> np.ndarray:
+        labels = np.frombuffer(bytes_of(b.column("label"))[0].tobytes(), dtype="<u4").reshape(-1, LABEL)
+        return np.c_[b.column("tree").to_numpy(zero_copy_only=False).astype(np.uint32), labels]
+
+    def given(b: pa.RecordBatch, rows: np.ndarray, n: int, last: bool) -> pa.RecordBatch:
+        """The first n of the rows, of which one more is known unless the range ends."""
+        nonlocal before
+        node = b.column("node").to_numpy(zero_copy_only=False)
+        step = _common(rows[:-1], rows[1:]) if len(rows) > 1 else np.zeros(0, dtype=np.int64)
+        up = np.r_[-1 if before is None else max(0, int(_common(before[0][None], rows[:1])[0])), np.maximum(step, 0)][:n]
+        down = np.r_[np.maximum(step, 0), -1][:n]
+        above = np.r_[-1 if before is None else before[1], node][:n]
+        keep = pa.array((up >= DEPTH) | (down >= DEPTH) | (up < 0) | (down < 0))
+        before = (rows[n - 1], node[n - 1])
+        ends = np.zeros(n, dtype=bool)
+        ends[-1] = last
+        own = b.slice(0, n)
+        return pa.RecordBatch.from_arrays(
+            [own.column("tree"), own.column("label"), own.column("node"), pa.array(up.astype(np.int32)), pa.array(above, mask=up < 0), pa.array(ends),
+             pa.array(np.full(n, part, dtype=np.int32))], names=["tree", "label", "node", "common", "before", "last", "part"]).filter(keep)
+
+    for b in batches:
+        if b.num_rows:
+            if held is not None:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            held = b.slice(b.num_rows - 1)
+            if b.num_rows > 1:
+                yield given(b, rows_of(b), b.num_rows - 1, False)
+    if held is not None:
+        yield given(held, rows_of(held), 1, True)
+
+
+def _orders(classes: DataFrame) -> DataFrame:
+    """tree, label, node, common, before, last, part and region of classes that share a region with others, in every tree's order."""
+    spark = classes.sparkSession
+    labels = F.array(*[_label(t, LABEL) for t in range(TREES)])
+    rows = classes.select("node", F.posexplode(labels).alias("tree", "label")).select("tree", "label", "node")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node") \
+        .mapInArrow(_neighbours, "tree int, label binary, node long, common int, before long, last boolean, part int").withColumn("region", _region(DEPTH))
+
+
+def _next_to(orders: DataFrame) -> DataFrame:
+    """Per class the pair (a, b) with the neighbour that shares the longest prefixes with it, added up over the orders."""
+    # The neighbours on both sides of a border between ranges: two rows per range reach the driver.
+    ends = orders.filter("common < 0 or last").orderBy("part", "tree", "label", "node").select("part", "tree", "label", "node").collect()
+    rows = [np.r_[np.uint32(r["tree"]), np.frombuffer(bytes(r["label"]), dtype="<u4")] for r in ends]
+    across = [(x["node"], y["node"], int(_common(u[None], v[None])[0])) for x, y, u, v in zip(ends, ends[1:], rows, rows[1:]) if x["part"] != y["part"]]
+    pairs = orders.filter(F.col("common") >= DEPTH).select("before", "node", "common") \
+        .union(orders.sparkSession.createDataFrame([p for p in across if p[2] >= DEPTH], "before long, node long, common int"))
+    pairs = pairs.groupBy(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).agg(F.sum("common").alias("n")).filter("a < b")
+    sides = pairs.select("n", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"))
+    best = sides.groupBy("p.b").agg(F.max(F.struct("n", (-F.col("p.a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _first_of(orders: DataFrame) -> DataFrame:
+    """Per class the pair (a, b) with the first class of most of its regions, each at the depth where it is not crowded."""
+    least = written(orders.groupBy("region").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "near-regions")
+    crowded = orders.join(least.filter(F.col("rows") > CROWDED).select("region", F.col("a").alias("whole")), "region")
+    deeper = crowded.select("region", "node", "whole", F.posexplode(F.array(*[_region(d) for d in range(DEPTH + 1, LABEL + 1)])).alias("more", "run"))
+    runs = deeper.groupBy("more", "run").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    # The shortest prefix that is not crowded, else the longest one that is shared, else the region's own.
+    big = F.col("rows") > CROWDED
+    depth = F.when(F.col("rows").isNotNull(), F.struct(big.alias("big"), F.when(big, -F.col("more")).otherwise(F.col("more")).alias("more"), "a"))
+    deep = deeper.join(runs, ["more", "run"], "left").groupBy("region", "node").agg(F.min(depth).alias("d"), F.min("whole").alias("whole")) \
+        .select(F.col("node").alias("b"), F.coalesce("d.a", "whole").alias("a"))
+    plain = orders.join(least.filter(F.col("rows") <= CROWDED).select("region", "a"), "region").select(F.col("node").alias("b"), "a")
+    shared = plain.unionByName(deep).filter("a < b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+
+
+def _mixed(orders: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of regions that hold several parts, with their part, keys (of the class's regions in all trees) and `rows`, how many the region has."""
+    placed = orders.select("region", "tree", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     several = placed.groupBy("region").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high")
-    return placed.join(several.select("region", "rows"), "region")
+    keys = classes.select("node", F.array(*[F.hash(_label(t, DEPTH)) for t in range(TREES)]).alias("keys"))
+    return placed.join(several.select("region", "rows"), "region").join(keys, "node")
 
 
 def _compare(rows: list, joining: bool) -> list[tuple[int, int]]:
@@ -295,16 +379,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # One row for each distinct set, under its smallest id; copies meet in partial aggregates.
     classes = written(table.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
                       .agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "near-classes")
-    regions = written(_regions(classes), "near-regions")
-    sets = _sets(texts.filter("doc_id is not null"), regions.select("node").distinct())
+    orders = written(_orders(classes), "near-orders")
+    sets = _sets(texts.filter("doc_id is not null"), orders.select("node").distinct())
 
-    first = regions.groupBy("region").agg(F.min("node").alias("a"))
-    shared = regions.select("region", F.col("node").alias("b")).join(first, "region").filter("a < b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    links = _confirmed(sets, best)
+    links = _confirmed(sets, _next_to(orders).union(_first_of(orders)).distinct())
     for joining in (True, False):
         parts = written(components(links).select("node", F.col("component").alias("part")), "near-parts")
-        across = written(_mixed(regions, parts), "near-across")
+        across = written(_mixed(orders, classes, parts), "near-across")
         links = links.union(_confirmed(sets, _likely(across, sets, joining)))
     groups = components(links)
 

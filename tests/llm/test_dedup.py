@@ -144,6 +144,41 @@ def test_near_crowded_regions_keep_single_bridges(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == want
 
 
+def test_near_orders_hold_the_longest_common_prefixes(spark):
+    """Every order is sorted over all ranges, and each class's partner is the neighbour with the longest prefixes, as in one sorted list."""
+    rows = [(n, bytes(v for t in range(near_dedup.TREES * near_dedup.LABEL) for v in (0, 0, 0, (n * 7919 >> t % 7) % 2))) for n in range(300)]
+    orders = near_dedup._orders(spark.createDataFrame(rows, "node long, signature binary").repartition(5))
+    got = orders.select("tree", "node", "common", "before", "last").collect()
+    width, total = 4 * near_dedup.LABEL, {}
+    for t in range(near_dedup.TREES):
+        line = sorted((sig[width * t : width * (t + 1)], n) for n, sig in rows)
+        want = {}
+        for (x, a), (y, b) in zip(line, line[1:]):
+            same = next((k for k in range(near_dedup.LABEL) if x[4 * k : 4 * k + 4] != y[4 * k : 4 * k + 4]), near_dedup.LABEL)
+            want[b] = (a, same)
+            if same >= near_dedup.DEPTH:
+                total[min(a, b), max(a, b)] = total.get((min(a, b), max(a, b)), 0) + same
+        own = {r.node: r for r in got if r.tree == t}
+        assert all((r.before, r.common) == want[n] for n, r in own.items() if r.common >= near_dedup.DEPTH)
+        assert {n for n, (_, same) in want.items() if same >= near_dedup.DEPTH} <= set(own)
+    best = {}
+    for (a, b), n in total.items():
+        for x, y in ((a, b), (b, a)):
+            best[x] = max(best.get(x, (0, 0)), (n, -y))
+    want = {(min(x, -y), max(x, -y)) for x, (_, y) in best.items()}
+    assert {(r.a, r.b) for r in near_dedup._next_to(near_dedup.written(orders, "test-orders")).collect()} == want
+
+
+def test_near_first_classes_of_crowded_regions_are_found_deeper(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CROWDED", 3)
+    label = lambda *v: b"".join(x.to_bytes(4, "little") for x in v)
+    labels = [label(1, 1, 1, k // 3, k, 0, 0, 0) for k in range(9)] + [label(2, 2, 2, k, k, k, k, k) for k in range(3)] + [label(3, 3, 3, 3, 3, 3, 3, 3)] * 5
+    rows = [(0, lab, n) for n, lab in enumerate(labels)]
+    orders = spark.createDataFrame(rows, "tree int, label binary, node long").withColumn("region", near_dedup._region(near_dedup.DEPTH))
+    got = {(r.a, r.b) for r in near_dedup._first_of(orders).collect()}
+    assert got == {(0, 1), (0, 2), (3, 4), (3, 5), (6, 7), (6, 8), (9, 10), (9, 11), (12, 13), (12, 14), (12, 15), (12, 16)}
+
+
 def test_near_repeated_rows_are_one_document(spark):
     text = " ".join(f"w{n}" for n in range(30))
     out = near_dedup.near_groups(documents(spark, [(5, text, "s"), (5, text, "s"), (6, text, "s")])).collect()
