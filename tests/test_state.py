@@ -100,6 +100,18 @@ def test_equal_searches_are_matched_once(spark):
     assert {r.watch_id: r["count"] for r in got} == {f"w{n}": want[n % 4] for n in range(600) if n % 4 < 3}
 
 
+def test_counts_are_made_by_class(spark):
+    """Ten times the searches of the same three classes add no pair, and counts equal those of the pairs."""
+    terms = [["ring"], ["gear", "ring"], ["bolt"]]
+    few, lots = (watches(spark, [(f"w{n}", "c", "r1" if n % 6 == 5 else None, terms[n % 3], 0, 0) for n in range(size)]) for size in (60, 600))
+    events = _as_events(many(spark, 90)).withColumn("sign", F.when(F.col("ordinal") % 3 == 0, -1).otherwise(1))
+    met = percolate.meet(events, lots, ["item_key"])
+    assert met.hits.count() == percolate.meet(events, few, ["item_key"]).hits.count() < 4 * 90
+    pairs = percolate.percolate(events, lots, ["item_key", "sign"]).groupBy("watch_id").agg(F.count("*").alias("n"), F.sum("sign").alias("s")).collect()
+    assert {r.watch_id: r.n for r in pairs} == {r.watch_id: r.n for r in percolate.count_hits(events, lots).collect()}
+    assert {r.watch_id: r.s for r in pairs} == {r.watch_id: r.n for r in percolate.count_hits(events, lots, "sign").collect()}
+
+
 def test_deliveries_come_in_bounded_parts(spark):
     log = many(spark, 300).withColumn("big", F.col("ordinal") == 100)
     fields = [c for c in log.columns if c not in ("resource_id", "complete", "big")]
