@@ -131,7 +131,7 @@ SELECT m.watch_id, count(p.key) AS matched FROM ox_mixed m JOIN ox_now p ON
 def e08b(i):
     ev = S._as_events(postings(i.fx_open))
     w = i.sql(MIXED).withColumn("resource_id", F.lit(None).cast("string"))
-    return P.percolate(ev, w, carry=["resource_id", "item_key"]).groupBy("watch_id").agg(F.count("*").alias("matched"))
+    return P.count_hits(ev, w).withColumnRenamed("n", "matched")
 
 
 _GEAR = f"""SELECT resource_id, key, title, posted_at FROM ox_now p
