@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helpers import posting, postings
 from jobdelta.functions.agents import client_bucket
-from jobdelta.operators import counters, percolate, usage
+from jobdelta.operators import counters, delivery, percolate, usage
 from jobdelta.operators.delivery import outbox
 from jobdelta.operators.search import _as_events, matching
 from jobdelta.operators.snapshot import posting_delta
@@ -112,6 +112,21 @@ def test_counts_are_made_by_class(spark):
     assert {r.watch_id: r.s for r in pairs} == {r.watch_id: r.n for r in percolate.count_hits(events, lots, "sign").collect()}
 
 
+def test_unread_counts_and_first_changes_need_no_pairs(spark):
+    """Counts past each cursor and each watch's first changes equal those of all pairs, with cursors among and past the changes."""
+    terms = [["ring"], ["bolt"]]
+    w = watches(spark, [(f"w{n}", f"c{n % 3}", None, terms[n % 2], [0, 7, 40, 41, 500, 13][n % 6], 0) for n in range(24)])
+    log = _as_events(many(spark, 90)).withColumn("change_id", F.col("ordinal") + 1)
+    pairs = {}
+    for r in delivery.unread(log, w, carry=["change_id"]).collect():
+        pairs.setdefault(r.watch_id, []).append(r.change_id)
+    assert 0 < len(pairs) < 24 and {r.watch_id: r.n for r in delivery.unread_counts(log, w).collect()} == {k: len(v) for k, v in pairs.items()}
+    first = {}
+    for r in percolate.first_hits(log, w, 3, ["change_id"], "cursor_id").collect():
+        first.setdefault(r.watch_id, []).append(r.change_id)
+    assert {k: sorted(v) for k, v in first.items()} == {k: sorted(v)[:3] for k, v in pairs.items()}
+
+
 def test_deliveries_come_in_bounded_parts(spark):
     log = many(spark, 300).withColumn("big", F.col("ordinal") == 100)
     fields = [c for c in log.columns if c not in ("resource_id", "complete", "big")]
