@@ -1,6 +1,7 @@
 import random
 import re
 
+import __spark_entry__
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,3 +179,10 @@ def test_filters_are_not_cut(spark):
         S.search_open(postings(spark, [posting("r", "a")]), limit=0)
     many = postings(spark, [posting("r", f"k{n}", "Java") for n in range(150)])
     assert S.search_open(many, limit=140, keywords=["java"]).count() == 140
+
+
+def test_unread_rows_are_shaped_before_they_are_handed_out(spark):
+    """What a row shows of its change is worked out once per change and class, below the join that hands rows to searches."""
+    plan = __spark_entry__.queries()["f01_unread"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top, below = plan.split("Join", 1)
+    assert "date_format" in below and "date_format" not in top
