@@ -100,11 +100,12 @@ class Encoder:
         made = self.made
         if len(made) > self.cache.limit:
             made.clear()
-        for p in {p for ps in found for p in ps}.difference(made):
+        new = set().union(*found).difference(made)
+        for p in new:
             ids = self.pretoken(p)
             made[p] = struct.pack(f"<{len(ids)}I", *ids)
         out = [b"".join(map(made.__getitem__, ps)) for ps in found]
-        self.cache.drop_long(made, found)
+        self.cache.drop_long(made, [new])
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -125,6 +126,8 @@ class Encoder:
 class Decoder:
     """Bytes of ids: all tokens in one array, and where each begins."""
 
+    RUN = 1 << 13  # ids whose bytes are gathered at once
+
     def __init__(self, path: str):
         v = Vocabulary(path)
         tokens = v.tokens | {n: s.encode() for s, n in v.specials.items()}
@@ -138,9 +141,13 @@ class Decoder:
     def bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, one after the other, and how many each has."""
         length = self.length[ids]
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ids) else 0
-        return self.blob[np.arange(total) + np.repeat(self.start[ids] - (ends - length), length)], length
+        parts = []
+        for at in range(0, len(ids), self.RUN):  # index arrays that stay in the processor's cache
+            n = length[at : at + self.RUN]
+            ends = np.cumsum(n)
+            total = int(ends[-1])
+            parts.append(self.blob[np.arange(total) + np.repeat(self.start[ids[at : at + self.RUN]] - (ends - n), n)])
+        return np.concatenate(parts) if parts else self.blob[:0], length
 
 
 def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:

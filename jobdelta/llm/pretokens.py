@@ -7,6 +7,8 @@ place, so the stretches between ("units") can be looked up one by one: most unit
 from __future__ import annotations
 
 import json
+import re
+import string
 from collections.abc import Callable
 
 import regex
@@ -18,24 +20,28 @@ from jobdelta.llm.common import once
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _BEFORE_WORD = regex.compile(r" (?=\S)")
+_NO_WORD = re.compile(r" (?!\S)")  # re's blanks are those of regex and a few more
 _FIND = regex.compile(PATTERN)
+_MARKS = frozenset(string.punctuation)
 #: Below this character all Unicode versions class letters, digits and blanks alike; above, the library's own version decides.
 _SETTLED = "\u0530"
 
 
 def units(text: str) -> tuple[str, list[str]]:
     """The stretch before the first cut, and the stretches after the cuts, each without its leading blank."""
-    parts = text.split(" ")
-    for p in parts[1:]:
-        if not p or p[0].isspace():
-            parts = _BEFORE_WORD.split(text)
-            break
+    parts = _BEFORE_WORD.split(text) if _NO_WORD.search(text) else text.split(" ")
     return parts[0], parts[1:]
 
 
 def find(text: str) -> list[bytes]:
     """The pre-tokens of a text, in order, as UTF-8."""
     if text.isascii() or max(text) < _SETTLED:
+        # Most texts are a word, or a word and one mark: their pre-tokens are known without a search.
+        word = text[1:] if text[:1] == " " else text
+        if word.isalpha():
+            return [text.encode()]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return [text[:-1].encode(), text[-1:].encode()]
         return [p.encode() for p in _FIND.findall(text)]
     letters = once("byte letters", byte_letters)
     return [bytes(letters[c] for c in p) for p, _ in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
