@@ -47,10 +47,19 @@ def find(text: str) -> list[bytes]:
     return [bytes(letters[c] for c in p) for p, _ in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
 
 
+def keep_used(kept: dict, used: set, limit: int) -> None:
+    """Empties a dictionary of more than `limit` entries but for those of `used`: frequent ones stand in nearly every request."""
+    if len(kept) > limit:
+        stay = {u: kept[u] for u in used if u in kept}
+        kept.clear()
+        if len(stay) <= limit // 2:
+            kept.update(stay)
+
+
 class UnitCache:
     """What `encode` makes of units, kept for up to `limit` units.
 
-    `encode` takes a list of strings and returns a value for each. Emptying a full cache costs time only.
+    `encode` takes a list of strings and returns a value for each. A full cache is emptied but for what is asked for now.
     """
 
     def __init__(self, encode: Callable[[list[str]], list], limit: int = 200_000, longest: int = 64):
@@ -59,10 +68,10 @@ class UnitCache:
     def values(self, texts: list[str]) -> list[tuple]:
         """For each text the value of its first stretch, and an iterator over those of the others."""
         kept = self.kept
-        if len(kept) > self.limit:
-            kept.clear()
         cut = [units(t) for t in texts]
-        new = set().union(*(rest for _, rest in cut)).difference(kept)
+        used = set().union(*(rest for _, rest in cut))
+        keep_used(kept, used, self.limit)
+        new = used.difference(kept)
         heads = list({h for h, _ in cut})
         new = list(new)
         made = self.encode(heads + [" " + u for u in new])

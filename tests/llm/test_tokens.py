@@ -58,6 +58,25 @@ def test_long_pretokens_are_not_kept(library):
         assert b" tail" in made and max(map(len, made)) <= counter.cache.longest
 
 
+def test_a_full_cache_keeps_what_is_asked_for():
+    asked = []
+    cache = UnitCache(lambda us: asked.extend(us) or [len(u) for u in us], limit=8)
+    for n in range(30):
+        cache.values([f"x the {n}"])
+    assert asked.count(" the") == 1 and len(cache.kept) <= cache.limit + 2
+
+
+def test_pretokens_step_together(library):
+    e = bpe.Encoder(PATH)
+    rng = random.Random(4)
+    made = ["".join(rng.choice(["ofre", "ñar", "st", "s", "th", "ha", "hé", "e"]) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    made += ["ab" * 3000, "s" * 777]
+    ps = [b"", *[m.encode() for m in made]]
+    out = [np.frombuffer(x, "<u4").tolist() for x in e.pretokens(ps)]
+    assert out == [[], *[library(m) for m in made]] == [e.pretoken(p) for p in ps]
+    assert e.pretokens([]) == [] and e.pretokens([b""]) == [b""]
+
+
 def test_counts_encoding_and_decoding(spark, library):
     texts = ODD + random_texts(200)
     docs = documents(spark, texts)
