@@ -30,6 +30,7 @@ SMOOTHING = 0.5
 NARROW = 0.1  # lead in loss per bit below which a text is ambiguous
 LEAST_REACH = 0.4  # of the language's usual reach, below which a text is foreign
 SLACK = 1.0  # standard deviations of an n-gram, over the root of their number, that a short text may fall short
+STEP = 1 << 18  # bytes of texts whose n-grams are made at once: they take some 200 bytes for each
 UNKNOWN = "und"
 
 # Letters of every script keep their bytes; A-Z in lower case; other ASCII becomes a blank.
@@ -104,7 +105,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and language: how often each bucket occurs. One row for each bucket that does."""
     sums: dict[str, np.ndarray] = {}
     for big in batches:
-        for b in sized(big, "text", 1 << 20):
+        for b in sized(big, "text", STEP):
             codes, owner = grams(*bytes_of(b.column("text")))
             langs = b.column("lang").dictionary_encode()
             names, which = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
@@ -178,7 +179,7 @@ def predictor(model: Model):
             return out
         batch = pa.RecordBatch.from_arrays([pa.array(texts.fillna(""), pa.string())], names=["text"])
         start = 0
-        for b in sized(batch, "text", 1 << 20):
+        for b in sized(batch, "text", STEP):
             data, ends = bytes_of(b.column("text"))
             good = np.flatnonzero(_has_letter(b.column("text"), data, ends))
             margins, n = _margins(m, data, ends)

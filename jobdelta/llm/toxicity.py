@@ -29,6 +29,7 @@ TERMS = 1024  # terms of the space, at most
 NEIGHBOURS = 24  # distinct vectors that vote
 LEAST_SEEN = 3  # toxic examples that hold a term
 BLOCK = 64  # index entries in a block
+ROWS = 1024  # texts whose neighbours are listed at once
 PRIOR_WEIGHT = 1.0  # examples that the share of toxic rows counts for in a vote
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -258,9 +259,10 @@ def scorer(model: Model):
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Scorer(model)  # of this task alone: what it remembers goes when the task ends
         for part in texts:
-            out = [own.score(t or "") for t in part]
-            yield pd.DataFrame({"score": [float(s) for s, _, _ in out], "neighbours": [[{"doc_id": d, "cosine": c, "toxic_share": y} for d, c, y in near] for _, near, _ in out],
-                                "terms": [t for _, _, t in out]})
+            for at in range(0, len(part), ROWS):
+                out = [own.score(t or "") for t in part.iloc[at : at + ROWS]]
+                yield pd.DataFrame({"score": [float(s) for s, _, _ in out], "neighbours": [[{"doc_id": d, "cosine": c, "toxic_share": y} for d, c, y in near] for _, near, _ in out],
+                                    "terms": [t for _, _, t in out]})
 
     return F.pandas_udf(run, "score double, neighbours array<struct<doc_id: long, cosine: double, toxic_share: double>>, terms array<string>")
 

@@ -3,10 +3,12 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from jobdelta.llm import fingerprints, hmm, language, queries, toxicity
@@ -276,3 +278,19 @@ def test_fingerprint_cases(spark):
     assert fingerprints.compare_with_next(documents(spark, []).limit(0)).count() == 0
     alone = fingerprints.compare_with_next(documents(spark, [(4, "a lone document of some length here", None)])).first()
     assert alone.near_next == 1.0
+
+
+def test_language_counts_in_steps_of_bounded_memory(monkeypatch):
+    texts = ["Ein Satz, und noch einer %d. " % n * 40 for n in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["de", "en"] * 1000)], names=["text", "lang"])
+
+    def counted():
+        return {(r["lang"], r["bucket"]): r["n"] for b in language._counted(iter([batch])) for r in b.to_pylist()}
+
+    tracemalloc.start()
+    found = counted()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 2 << 20 and peak < 80e6
+    monkeypatch.setattr(language, "STEP", 1 << 30)  # all at once
+    assert counted() == found
