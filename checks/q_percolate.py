@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import query, spread
 from checks.shapes import changes, postings
 from checks.views import ORACLE_VIEWS, ox_passes, ox_term
 from jobdelta.operators import counters
@@ -155,13 +155,13 @@ def e10(i):
 def _indexed(i):
     """An index of the postings before, brought up to date by what differs now, in two updates."""
     path = scratch_path(i.spark, "index")
-    now = postings(i.fx_open)
+    now = materialize(spread(postings(i.fx_open)), "postings")  # made once for all listings below
     h = F.pmod(F.xxhash64("key"), F.lit(10))
     before = now.filter(h < 8).withColumn("title", F.when(h == 0, F.concat(F.lit("old "), "title")).otherwise(F.col("title")))
     middle = now.filter((h < 7) | (h == 8))
     X.write_index(before, path, block_docs=2048)
     for old, new in ((before, middle), (middle, now)):
-        delta = posting_delta(old, new)
+        delta = materialize(posting_delta(old, new), "posting-delta")  # its two sides are read apart
         X.update_index(i.spark, path, delta.filter("sign > 0").drop("sign"), delta.filter("sign < 0"), block_docs=2048)
     return path
 

@@ -82,13 +82,19 @@ def posting_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     A posting that changed in any field is both. Digests meet in one aggregation with partial sums; equal rows cancel.
     """
     fields = [c for c in new.columns if c in old.columns and c not in (*KEY, "ordinal", "complete")]
-    digest = F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    # Never null, so that no filter on it is made below the joins.
+    digest = F.coalesce(F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})), F.lit(""))
     sides = [df.withColumn("_d", digest) for df in (old, new)]
     net = sides[0].select(*KEY, "_d", F.lit(-1).alias("sign")).union(sides[1].select(*KEY, "_d", F.lit(1))) \
         .groupBy(*KEY, "_d").agg(F.sum("sign").cast("int").alias("sign")).filter("sign <> 0")
     net = materialize(net, "delta")
     columns = [*KEY, *fields, *[c for c in ("ordinal", "complete") if c in old.columns and c in new.columns]]
-    parts = [df.join(net.filter(F.col("sign") * s > 0), [*KEY, "_d"]).select(*columns, "sign") for df, s in zip(sides, (-1, 1))]
+    # Digests are made a second time for keys that differ only.
+    parts = []
+    for df, s in ((old, -1), (new, 1)):
+        differ = net.filter(F.col("sign") * s > 0)
+        rows = df.join(differ.select(*KEY), KEY, "left_semi").withColumn("_d", digest)
+        parts.append(rows.join(differ, [*KEY, "_d"]).select(*columns, "sign"))
     return parts[0].unionByName(parts[1])
 
 

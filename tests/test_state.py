@@ -198,3 +198,14 @@ def test_kept_unread_counts_hold_no_row_per_pair(spark):
     expected = {f"w{n}": sum(k > max(3 * n, n % 5) for k in ring[0]) + sum(k > 3 * n for k in ring[1]) for n in range(30) if n != 3}
     assert {r.watch_id: r.pending for r in state.counts.collect()} == expected | {"late": sum(k > 10 for k in ring[1])}
     assert state.hits.count() == sum(k > 0 for k in ring[0] + ring[1]) + sum(k > 10 for k in ring[1])
+
+
+def test_delta_makes_digests_again_for_differing_keys_only(spark):
+    schema = "resource_id string, key string, title string"
+    old = spark.createDataFrame([("r", f"k{n}", "a") for n in range(50)], schema)
+    new = spark.createDataFrame([("r", f"k{n}", "b" if n == 7 else "a") for n in range(1, 51)], schema)
+    delta = posting_delta(old, new)
+    assert {(r.key, r.title, r.sign) for r in delta.collect()} == {("k0", "a", -1), ("k7", "a", -1), ("k7", "b", 1), ("k50", "a", 1)}
+    # In both sides' plans the semi join with the differing keys stands below the digest.
+    plan = delta._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == plan.count("Join LeftSemi") == 2 and plan.index("md5(") < plan.index("Join LeftSemi")
