@@ -176,12 +176,17 @@ def check(i):
 _THIRD = f"""{_ROUNDS} UNION ALL SELECT concat('sm', p_partkey // 50), concat('job:smartrecruiters:', p_partkey), 'JOB_ADDED' FROM part WHERE p_partkey % 10 = 0"""
 
 
+def _land(i, n, path):
+    """A round in up to 32 files, so that its payloads are read by as many tasks; three rounds stay within one trigger's 100 files."""
+    _round(i, n).repartition(32, "resource_id").write.mode("append").parquet(path)
+
+
 # All three rounds land in one trigger: each is compared with the one before it, as if they had come one by one.
 @query("d18_stream_changes", _THIRD)
 def d18(i):
     root = scratch_path(i.spark, "d18")
     for n in (3, 1, 2):
-        _round(i, n).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        _land(i, n, f"{root}/in")
     stream = P.stream_payloads(i.spark, f"{root}/in", max_files=100)
     stream_changes(stream, root, lambda b: X.extract_postings(b, adapters=["smartrecruiters"])).awaitTermination()
     return read_changes(i.spark, root).select("resource_id", "item_key", "type")
@@ -192,7 +197,7 @@ def d18c(i):
     root = scratch_path(i.spark, "d18c")
     for rounds in ((1,), (2, 3)):
         for n in rounds:
-            _round(i, n).coalesce(1).write.mode("append").parquet(f"{root}/in")
+            _land(i, n, f"{root}/in")
         stream = P.stream_payloads(i.spark, f"{root}/in", max_files=100)
         stream_changes(stream, root, lambda b: X.extract_postings(b, adapters=["smartrecruiters"])).awaitTermination()
     return read_changes(i.spark, root).select("resource_id", "item_key", "type")
